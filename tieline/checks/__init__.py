@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["composition", "careers"]
+MODULES = ["composition", "careers", "people"]
 
 
 def load():
