@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["composition", "careers", "people"]
+MODULES = ["composition", "careers", "people", "services"]
 
 
 def load():
