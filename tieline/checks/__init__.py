@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["composition", "careers", "people", "services"]
+MODULES = ["composition", "careers", "people", "services", "report"]
 
 
 def load():

@@ -232,3 +232,120 @@ IGNORED_FILES = [
     (r"^device[_\s]*information\.csv$", "Device telemetry — not imported by design"),
     (r"^ip[_\s]*addresses.*\.csv$", "Security telemetry — not imported by design"),
 ]
+
+# --- insight text formats; {names} are filled from metric columns -----------------------------------
+INSIGHTS = {
+    "top-company": {
+        "title": "{count} connections associated with {label}",
+        "description": "{share_of_network}% of the network currently lists {label} as employer ({count} of {total}).",
+        "category": "composition", "trust": "derived",
+        "why": "Shows where current employment is concentrated.",
+        "evidence": "{count} people with current employer {label}.",
+        "expression": "{count} / {total}",
+        "assumptions": ["Grouped by normalised company key so “Acme Inc” and “Acme” count as one company."],
+    },
+    "company-concentration": {
+        "title": {"low": "Company representation is concentrated", "high": "Company representation is spread out",
+                  "moderate": "Company representation is moderately concentrated"},
+        "description": "{explanation}",
+        "category": "concentration", "trust": "derived",
+        "why": "Concentration describes whether a few employers dominate the network.",
+        "evidence": "HHI {hhi} on classified employers; coverage {coverage_percent}%.",
+        "expression": "HHI = Σ (share_i)² over classified current employers",
+        "assumptions": ["Unknown employers are excluded from HHI and reported as coverage."],
+    },
+    "top-industry": {
+        "title": "{label} is the largest classified industry",
+        "description": "{count} of {known} classified connections ({share_of_known}%). {unknown} could not be classified.",
+        "category": "composition", "trust": "inferred",
+        "why": "Industry mix is mostly inferred when LinkedIn did not export an industry field.",
+        "evidence": "{method}",
+        "expression": "{count} / {known} classified",
+    },
+    "gap-industry": {
+        "title": "{label} is relatively small in this network",
+        "description": "{count} of {known} classified connections ({share_of_known}%). This is below half the median category share. "
+                       "That is a description of the data, not a recommendation to add connections.",
+        "category": "gap", "trust": "inferred",
+        "why": "Useful if you are checking coverage of a sector you care about.",
+        "evidence": "{count} classified as {label}.",
+        "expression": "{count} / {known}",
+    },
+    "growth-window": {
+        "title": "{last_90_days} connections added in the last 90 days",
+        "description": "{last_90_days} of {known} dated connections fall in the last 90 days. Growth is {acceleration}. "
+                       "Earliest Connected On in the file: {earliest_day}.",
+        "category": "growth", "trust": "derived",
+        "why": "Shows recent network expansion using only rows that have a connection date.",
+        "evidence": "Dated connections: {known} of {total} ({coverage_percent}% coverage).",
+        "expression": "{last_90_days} dated connections with Connected On in the last 90 days",
+        "assumptions": ["People without Connected On are excluded from growth, not counted as zero new connections."],
+    },
+    "career-moves": {
+        "title": "{people} {people_have} more than one employer on record",
+        "description": "{moves} company-to-company transitions were reconstructed from employment rows. "
+                       "Most LinkedIn connection exports contain only a current employer, not a full résumé. "
+                       "Moves then appear only across incremental imports.",
+        "category": "career", "trust": "derived",
+        "why": "Employment history (including incremental imports) is the only supported evidence of a job change.",
+        "evidence": "{moves} transitions across {people} people.",
+        "expression": "count of people with ≥2 distinct company keys in employment",
+        "assumptions": [
+            "Most LinkedIn connection exports contain only a current employer, not a full résumé. Moves then appear only across incremental imports.",
+            "Title differences without a date are not treated as promotions.",
+            "Sharing a company with someone is not evidence that the two people know each other.",
+        ],
+    },
+    "location-coverage": {
+        "title": "Location is almost never present for connections",
+        "description": "{known} of {total} connections have a location ({percent}%). LinkedIn’s Connections.csv does not include a "
+                       "location column, so geographic analytics cannot be computed from a typical export.",
+        "category": "quality", "trust": "observed",
+        "why": "Prevents treating missing geography as “everyone is in one place”.",
+        "evidence": "location IS NULL on {unknown} people rows.",
+        "expression": "{known} / {total}",
+        "assumptions": [],
+    },
+    "new-since-import": {
+        "title": "{new} connections first appeared in the latest Connections.csv import",
+        "description": "Compared with the previous connections import. {gone} people from earlier imports were not in the latest Connections.csv.",
+        "category": "change", "trust": "derived",
+        "why": "This is the supported way to see what changed between exports.",
+        "evidence": "first_import_id = {current_import}.",
+        "expression": "count of people whose first_import_id is the latest connections import",
+        "assumptions": [
+            "People not present in the latest Connections.csv are listed as not seen in that import. That is not proof they were removed from LinkedIn.",
+        ],
+    },
+}
+
+# --- question intents: (intent, pattern); order matters -----------------------------------------------
+QUESTION_KEYWORDS = [
+    ("network_size", r"how (large|big)|how many (people|connections)|network size|total connections"),
+    ("what_changed", r"what changed|since (my )?(last|previous) (import|export)"),
+    ("underrepresented", r"underrepresented|missing industries|network gaps"),
+    ("recent_movers", r"changed (jobs?|companies)|recently (moved|changed)"),
+    ("top_companies", r"which companies|top companies|most people"),
+]
+FORMER_COMPANY_QUESTION = r"(?:previously|formerly|used to) work(?:ed)? at ([a-z0-9&.'\-\s]+)"
+CURRENT_COMPANY_QUESTION = r"(?:work(?:s|ed)? at|connections at|who (?:at|in my network works at))\s+(.+?)\??$"
+LOCATION_QUESTION = r"(?:in|from|based in)\s+([a-z\s]+)\??$"
+LOCATION_WORDS = r"where|location|city|country"
+INDUSTRY_QUESTION = r"(?:how many|who).*(fintech|healthcare|ai|software|consulting|finance)"
+PATH_QUESTION = r"from\s+(.+?)\s+(?:to|→|->)\s+(.+?)\??$"
+ANSWER_TEXT = {
+    "network_size": "{total} connections in the imported network (excluding you).",
+    "people_at_company": "{n} connection{s} currently list an employer matching “{needle}”.",
+    "people_former_company": "{n} connection{s} have a former employment row matching “{needle}”.",
+    "recent_movers": "{people} {people_have} more than one employer on record ({moves} transitions).",
+    "industry_found": "{count} of {known} classified connections ({share_of_known}%) match {label}. {unknown} unclassified.",
+    "industry_none": "No classified connections match “{needle}”. {unknown} unclassified of {total}.",
+    "few_classified": "Only {known} connections could be classified, which is too few for a gap comparison.",
+    "underrepresented": "Smaller classified industries: {bins}. This is not a recommendation to add connections.",
+    "what_changed": "{new} first seen in the latest Connections.csv import; {gone} not seen in that import; {moves} company transitions on record.",
+    "people_in_location": "{n} connection{s} have a location containing “{needle}”. {without} have no location.",
+    "career_path": "{n} recorded transition{s} from an employer matching “{needle}” to one matching “{needle2}”.",
+    "no_employer": "No current employer data in the import.",
+    "unsupported": "That question could not be mapped to a structured query. Try asking who works at a company, which companies are largest, "
+                   "who changed employers, what changed since the last import, or how large the network is.",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tieline.functions import fixed_values as fv, metrics as m
+from tieline.functions.templates import number
 
 
 def diversity_band(normalized: Column) -> Column:
@@ -14,11 +15,6 @@ def diversity_band(normalized: Column) -> Column:
     )
 
 
-def _number(c: Column) -> Column:
-    """A one-decimal number without a trailing zero."""
-    return F.regexp_replace(F.format_string("%.1f", c.cast("double")), r"\.0$", "")
-
-
 def concentration(bins: DataFrame, top_n: int = 5) -> DataFrame:
     """One row per workspace and dimension. With N the sum of counts,
     HHI = Σn²/N² and entropy = ln N − Σ(n·ln n)/N, so plain sums are enough and no bin is shuffled twice."""
@@ -45,14 +41,14 @@ def concentration(bins: DataFrame, top_n: int = 5) -> DataFrame:
     explanation = (
         F.when(F.col("known") == 0, F.lit("Not enough classified records to measure concentration."))
         .when(F.col("hhi") >= fv.CONCENTRATION_HIGH, F.concat(
-            F.lit("The network is concentrated: the top "), shown, F.lit(" groups account for "), _number(F.col("top_share")),
-            F.lit("% of classified records (HHI "), _number(m.round1(F.col("hhi") * 10000)), F.lit(" on the 0–10,000 scale).")))
+            F.lit("The network is concentrated: the top "), shown, F.lit(" groups account for "), number(F.col("top_share")),
+            F.lit("% of classified records (HHI "), number(m.round1(F.col("hhi") * 10000)), F.lit(" on the 0–10,000 scale).")))
         .when(F.col("hhi") >= fv.CONCENTRATION_MODERATE, F.concat(
-            F.lit("Moderate concentration. The top "), shown, F.lit(" groups account for "), _number(F.col("top_share")),
+            F.lit("Moderate concentration. The top "), shown, F.lit(" groups account for "), number(F.col("top_share")),
             F.lit("% of classified records.")))
         .otherwise(F.concat(
             F.lit("The classified records are spread across many groups. The top "), shown, F.lit(" account for "),
-            _number(F.col("top_share")), F.lit("%.")))
+            number(F.col("top_share")), F.lit("%.")))
     )
     return out.select(
         "ws", "dimension", "hhi", "entropy", "normalized_entropy",
