@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tieline.functions import fixed_values as fv
-from tieline.functions.text import clean
+from tieline.functions.text import clean, let
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -27,7 +27,11 @@ def _instant(y: Column, mo: Column, d: Column, h: Column | None = None, mi: Colu
 
 
 def parse_date(c: Column) -> Column:
-    raw = clean(c)
+    """The instant a text names, null when it names none."""
+    return let(clean(c), _read)
+
+
+def _read(raw: Column) -> Column:
     part = lambda pattern, i: F.regexp_extract(raw, pattern, i)
     iso = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?"
     day_first = r"^(\d{1,2})\s+([A-Za-z]{3,})\.?,?\s+(\d{4})$"

@@ -349,3 +349,25 @@ ANSWER_TEXT = {
     "unsupported": "That question could not be mapped to a structured query. Try asking who works at a company, which companies are largest, "
                    "who changed employers, what changed since the last import, or how large the network is.",
 }
+
+# --- reasons shown for archive entries and files that are not read --------------------------------------
+ARCHIVE_REASONS = {
+    "absolute": "Absolute paths are not allowed",
+    "traversal": "Path traversal entry rejected",
+    "long": "Path is too long",
+    "deep": "Nested too deeply",
+    "system": "System file ignored",
+    "nested": "Nested archives are not extracted",
+    "many": "Archive exceeds {n} entries",
+    "large": "Entry exceeds {n}MB",
+    "broken": "Could not decompress",
+}
+ARCHIVE_ERRORS = {
+    "EMPTY_ARCHIVE": "The uploaded archive is empty (0 bytes).",
+    "INVALID_ARCHIVE": "That file is not a ZIP archive.",
+    "ARCHIVE_BOMB": "The archive decompresses to more than {n}MB.",
+    "MALFORMED_ARCHIVE": "The archive is corrupted and could not be read.",
+    "EMPTY_ARCHIVE_CONTENTS": "The archive contains no readable files.",
+    "NO_FILES": "No readable files were found in the upload.",
+    "NO_LINKEDIN_DATA": "None of the uploaded files look like a LinkedIn export.",
+}

@@ -20,8 +20,14 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", _WORD_EDGE)
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once: a lambda argument can be named many times without
+    its expression being repeated, which keeps nested normalisers small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nullif_blank(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def clean(c: Column) -> Column:
@@ -38,7 +44,7 @@ def clean(c: Column) -> Column:
 
 def optional(c: Column) -> Column:
     """`clean`, with empty and placeholder values as null."""
-    return without_placeholder(clean(c))
+    return let(clean(c), without_placeholder)
 
 
 def without_placeholder(cleaned: Column) -> Column:
@@ -82,17 +88,18 @@ def comparison_key(c: Column) -> Column:
 
 def _key_of_clean(cleaned: Column) -> Column:
     single_from, single_to, dropped, longer_json = _folding()
-    low = F.lower(cleaned)
     longer_chars = "".join(json.loads(longer_json))
-    longer_map = F.from_json(F.lit(longer_json), "map<string,string>")
-    spread = F.array_join(
-        F.transform(F.split(low, ""), lambda ch: F.coalesce(F.try_element_at(longer_map, ch), ch)), ""
-    )
-    expanded = F.when(low.rlike(f"[{longer_chars}]"), spread).otherwise(low)
-    folded = F.when(
-        low.rlike(r"[^\x00-\x7F]"), F.translate(expanded, single_from + dropped, single_to)
-    ).otherwise(low)
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+
+    def expand(low: Column) -> Column:
+        longer_map = F.from_json(F.lit(longer_json), "map<string,string>")
+        spread = F.transform(F.split(low, ""), lambda ch: F.coalesce(F.try_element_at(longer_map, ch), ch))
+        return F.when(low.rlike(f"[{longer_chars}]"), F.array_join(spread, "")).otherwise(low)
+
+    def fold(low: Column) -> Column:
+        plain = F.translate(expand(low), single_from + dropped, single_to)
+        return F.when(low.rlike(r"[^\x00-\x7F]"), plain).otherwise(low)
+
+    return F.trim(F.regexp_replace(let(F.lower(cleaned), fold), "[^a-z0-9]+", " "))
 
 
 def header_key(c: Column) -> Column:
@@ -109,19 +116,22 @@ def full_name(first: Column, last: Column) -> Column:
 
 def _network_path(c: Column) -> Column:
     """Path of a URL on the network's host, else null."""
-    raw = clean(c)
-    url = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    host = F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    path = F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
-    return F.when((raw != "") & ~host.rlike(r"\s") & host.rlike(fv.NETWORK_HOST), path)
+
+    def path_of(url: Column) -> Column:
+        host = F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+        path = F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
+        return F.when(host.rlike(fv.NETWORK_HOST), path)
+
+    with_scheme = lambda raw: F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    return let(let(clean(c), with_scheme), path_of)
 
 
 def profile_slug(c: Column) -> Column:
     """Handle of a profile URL, percent-decoded and lower-cased, else null."""
-    raw = F.regexp_extract(_network_path(c), r"(?i)/(?:in|pub)/([^/]+)", 1)
     # url_decode would turn a literal plus sign into a space.
-    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    return nullif_blank(F.regexp_replace(F.lower(decoded), "/+$", ""))
+    decode = lambda raw: F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    handle = let(F.regexp_extract(_network_path(c), r"(?i)/(?:in|pub)/([^/]+)", 1), decode)
+    return nullif_blank(F.regexp_replace(F.lower(handle), "/+$", ""))
 
 
 def profile_url(c: Column) -> Column:
@@ -134,19 +144,18 @@ def company_url(c: Column) -> Column:
 
 
 def email(c: Column) -> Column:
-    raw = F.lower(clean(c))
-    return F.when(raw.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"), raw)
+    return let(F.lower(clean(c)), lambda raw: F.when(raw.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"), raw))
 
 
 def phone(c: Column) -> Column:
-    digits = F.regexp_replace(clean(c), r"[^0-9+]", "")
-    return F.when(F.length(F.regexp_replace(digits, r"\+", "")) >= 6, digits)
+    long_enough = lambda digits: F.when(F.length(F.regexp_replace(digits, r"\+", "")) >= 6, digits)
+    return let(F.regexp_replace(clean(c), r"[^0-9+]", ""), long_enough)
 
 
 def company_name(c: Column) -> Column:
     """Without a trailing parenthetical; the whole text when nothing else is left."""
-    raw = optional(c)
-    return F.coalesce(nullif_blank(F.trim(F.regexp_replace(raw, r"\s*\([^)]*\)\s*$", ""))), raw)
+    shorten = lambda raw: F.coalesce(nullif_blank(F.trim(F.regexp_replace(raw, r"\s*\([^)]*\)\s*$", ""))), raw)
+    return let(optional(c), shorten)
 
 
 _SUFFIX_TAIL = "( (" + "|".join(fv.LEGAL_SUFFIXES) + "))+$"
@@ -198,9 +207,7 @@ def slug(c: Column) -> Column:
 
 def csv_cell(c: Column) -> Column:
     """Guard against spreadsheet formulas, then quote; null is an empty cell."""
-    text = c.cast("string")
-    guarded = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
-    quoted = F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace(formula_guard(c), F.lit('"'), F.lit('""')), F.lit('"'))
     return F.coalesce(quoted, F.lit(""))
 
 
@@ -214,6 +221,10 @@ def safe_filename(c: Column) -> Column:
     base = F.element_at(F.split(F.regexp_replace(c, r"[\\/]+$", ""), r"[\\/]"), -1)
     base = F.regexp_replace(F.regexp_replace(base, r"\x00", ""), r"[^a-zA-Z0-9._ ()-]", "_")
     base = F.trim(F.regexp_replace(base, r"^\.+", ""))
-    extension = F.regexp_extract(base, r"(?<=.)(\.[^.]*)$", 1)
-    short = F.concat(base.substr(F.lit(1), F.lit(200) - F.length(extension)), extension)
-    return F.when(base == "", F.lit("unnamed")).when(F.length(base) > 200, short).otherwise(base)
+
+    def shorten(name: Column) -> Column:
+        extension = F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
+        short = F.concat(F.substring(name, F.lit(1), F.lit(200) - F.length(extension)), extension)
+        return F.when(name == "", F.lit("unnamed")).when(F.length(name) > 200, short).otherwise(name)
+
+    return let(base, shorten)
