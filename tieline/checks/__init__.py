@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["composition", "careers", "people", "services", "report"]
+MODULES = ["composition", "careers", "people", "services", "report", "text"]
 
 
 def load():

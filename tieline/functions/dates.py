@@ -11,7 +11,7 @@ EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def _month_number(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in fv.MONTH_NAMES.items() for x in pair])
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in fv.MONTH_NAMES.items())))
     return F.try_element_at(table, F.lower(name))
 
 

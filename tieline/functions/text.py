@@ -81,6 +81,18 @@ def _folding() -> tuple[str, str, str, str]:
     return "".join(single_from), "".join(single_to), "".join(dropped), json.dumps(longer)
 
 
+def _ranges(chars: str, gap: int = 16) -> str:
+    """A character class holding `chars`, as few ranges; above U+2000 small gaps are closed, which only
+    sends a few more rows down the exact path."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if spans and code - spans[-1][1] <= (gap if code > 0x2000 else 1):
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(f"{chr(a)}-{chr(z)}" for a, z in spans)
+
+
 def comparison_key(c: Column) -> Column:
     """Lower-cased, accent-free, punctuation-free key."""
     return _key_of_clean(clean(c))
@@ -88,7 +100,7 @@ def comparison_key(c: Column) -> Column:
 
 def _key_of_clean(cleaned: Column) -> Column:
     single_from, single_to, dropped, longer_json = _folding()
-    longer_chars = "".join(json.loads(longer_json))
+    longer_chars = _ranges("".join(json.loads(longer_json)))
 
     def expand(low: Column) -> Column:
         longer_map = F.from_json(F.lit(longer_json), "map<string,string>")

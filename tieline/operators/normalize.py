@@ -415,18 +415,22 @@ CANDIDATES = ["people", "companies", "employment", "connections", "interactions"
               "profile_fields", "messages", "conversations", "activities", "job_rows"]
 
 
-def normalize_datasets(raw: DataFrame, keep=lambda name, df: df) -> Canonical:
+def normalize_datasets(raw: DataFrame, keep=lambda name, df: df, together=lambda *actions: [a() for a in actions]) -> Canonical:
     """All datasets of a batch: canonical tables, people merged and weak identities reconciled.
 
     `keep(name, df)` may store a table and return it as read back; the import job does, so that each
-    cell is parsed once and the merges that follow start from plain columns."""
+    cell is parsed once and the merges that follow start from plain columns. `together` may run
+    independent `keep`s at once."""
     owner, out = keep("owners", owners(raw)), Canonical()
     for step in STEPS:
         step(raw, owner, out)
-    rows = {name: keep(f"candidate_{name}", out.union(name)) for name in CANDIDATES}
+    held = together(*[lambda name=name: keep(f"candidate_{name}", out.union(name)) for name in CANDIDATES],
+                    lambda: keep("outcomes", out.outcomes()))
+    rows = dict(zip(CANDIDATES, held))
     people = keep("merged_people", identity.merge_people(rows["people"]))
     remap = keep("weak_to_strong", identity.weak_to_strong(people))
-    done = Canonical(judged=out.judged)
+    done = Canonical()
+    done.add("outcomes", held[-1])
     done.add("people", identity.reconcile_people(people, remap))
     done.add("companies", identity.merge_companies(rows["companies"]))
     done.add("jobs", merge_jobs(rows["job_rows"]))

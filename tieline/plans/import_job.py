@@ -14,6 +14,7 @@ from tieline.operators import identity, rollups
 from tieline.operators.merge import dedupe_first
 from tieline.operators.normalize import Canonical, normalize_datasets
 from tieline.plans.warehouse import Warehouse, surrogate
+from tieline.session import run_together
 from tieline.sources import archive, catalogue, delimited
 
 SCOPE = ["ws", "import_id"]
@@ -55,7 +56,7 @@ def _latest(stamp: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: DataFrame) -> dict[str, DataFrame]:
-    """Merge a wave's canonical tables in dependency order."""
+    """Merge a wave's canonical tables. People come first; tables that only need them go together."""
     stamp = stage.keep("stamp", uploads.groupBy(*SCOPE).agg(F.min("uploaded_at").alias("_at")))
     buckets = warehouse.touched(stamp)
     c = F.col
@@ -64,7 +65,7 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
 
     companies = one("companies").withColumn("name", t.truncate(c("name"), 300)).withColumn("company_id", surrogate("ws", "company_key"))
     zero = {k: F.lit(0) for k in ("connection_count", "current_count", "former_count")}
-    warehouse.merge("companies", _latest(stamp, companies).withColumns(zero), buckets)
+    companies = _latest(stamp, companies).withColumns(zero)
 
     # Weak identities may belong to people stored by earlier imports.
     remap = stage.keep("remap", identity.weak_to_stored(people, warehouse.read("people", buckets)))
@@ -75,14 +76,14 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
         "current_company": t.truncate(c("current_company"), 300), "current_title": t.truncate(c("current_title"), 300),
         "interaction_count": F.lit(0), "last_interaction_at": F.lit(None).cast("timestamp_ntz")})
     batch = stage.keep("people", _latest(stamp, rows))
-    warehouse.merge("people", batch, buckets)
+    merges = {"companies": companies, "people": batch}
     known = batch.select("ws", "import_id", "person_id", "person_key", "name", "is_self")
     ids = known.select("ws", "import_id", "person_id")
     # Owner rows of imports without a profile have no person and are dropped, like any row without one.
     belongs = lambda df: df.join(ids, ["ws", "import_id", "person_id"], "left_semi")
     child = lambda name: belongs(moved(one(name)))
 
-    warehouse.merge("connections", _latest(stamp, dedupe_first(child("connections"), [*SCOPE, "person_id"])), buckets)
+    merges["connections"] = _latest(stamp, dedupe_first(child("connections"), [*SCOPE, "person_id"]))
 
     same = {"_c": t.comparison_key(c("company_name")), "_t": t.comparison_key(c("title")), "_s": F.coalesce("start_date", F.lit(""))}
     employment = dedupe_first(child("employment").withColumns(same), [*SCOPE, "person_id", *same])
@@ -93,41 +94,43 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
         "description": t.truncate(c("description"), 4000)}).withColumns({
         "employment_id": surrogate("ws", "person_id", low(c("company_name")), low(c("title")), F.coalesce("start_date", F.lit(""))),
         "company_id": F.when(c("company_key").isNotNull(), surrogate("ws", "company_key"))})
-    warehouse.merge("employment", _latest(stamp, employment).withColumn("observed_at", c("_at")), buckets)
+    merges["employment"] = _latest(stamp, employment).withColumn("observed_at", c("_at"))
 
     same = {f"_{x}": t.comparison_key(c(x)) for x in ("school", "degree", "field_of_study")}
     education = dedupe_first(child("education").withColumns(same), [*SCOPE, "person_id", *same]).withColumns(
         {x: t.truncate(c(x), 300) for x in ("school", "degree", "field_of_study")})
     education = education.withColumn("education_id", surrogate("ws", "person_id", low(c("school")), low(c("degree")), low(c("field_of_study"))))
-    warehouse.merge("education", _latest(stamp, education), buckets)
+    merges["education"] = _latest(stamp, education)
 
     skills = child("skills").groupBy(*SCOPE, "person_id", F.lower("skill").alias("skill_key")).agg(
         t.truncate(F.min_by("skill", "ord"), 200).alias("skill"), F.sum("points").alias("endorsements"))
-    warehouse.merge("skills", _latest(stamp, skills), buckets)
-    warehouse.merge("emails", _latest(stamp, dedupe_first(child("emails"), [*SCOPE, "person_id", "email"])), buckets)
-    warehouse.merge("phone_numbers", _latest(stamp, dedupe_first(child("phone_numbers"), [*SCOPE, "person_id", "phone_number"])), buckets)
+    merges["skills"] = _latest(stamp, skills)
+    merges["emails"] = _latest(stamp, dedupe_first(child("emails"), [*SCOPE, "person_id", "email"]))
+    merges["phone_numbers"] = _latest(stamp, dedupe_first(child("phone_numbers"), [*SCOPE, "person_id", "phone_number"]))
     fields = _latest(stamp, dedupe_first(child("profile_fields"), [*SCOPE, "person_id", "field_name"])).withColumn("observed_at", c("_at"))
-    warehouse.merge("profile_fields", fields, buckets)
+    merges["profile_fields"] = fields
+
+    owner = known.filter("is_self").select(*SCOPE, c("person_id").alias("owner_id"))
+    activities = dedupe_first(one("activities"), [*SCOPE, "external_id"]).join(owner, SCOPE, "left").withColumn("person_id", c("owner_id"))
+    merges["activities"] = _latest(stamp, activities)
+    jobs = one("jobs").withColumn("company_key", t.nullif_blank(t.company_key(c("company_name")))).withColumns({
+        "job_id": surrogate("ws", "external_id"), "company_id": F.when(c("company_key").isNotNull(), surrogate("ws", "company_key"))})
+    merges["jobs"] = _latest(stamp, jobs)
+
+    touched = child("interactions").withColumn("interaction_id", surrogate(
+        "ws", "person_id", "kind", F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("undated"))))
+    merges["interactions"] = _latest(stamp, dedupe_first(touched, [*SCOPE, "interaction_id"]))
+    run_together(warehouse.spark, *[lambda n=n, df=df: warehouse.merge(n, df, buckets) for n, df in merges.items()])
 
     stored = warehouse.read("people", buckets)
     talks = identity.resolve_counterparts(one("conversations"), stored).withColumn("conversation_id", surrogate("ws", "conversation_key"))
     talks = stage.keep("conversations", _latest(stamp, talks).withColumn("message_count", F.lit(0)))
     warehouse.merge("conversations", talks, buckets)
-    owner = known.filter("is_self").select(*SCOPE, c("person_id").alias("owner_id"))
     other = talks.select(*SCOPE, "conversation_key", "conversation_id", c("person_id").alias("other_id"))
     messages = one("messages").join(other, [*SCOPE, "conversation_key"]).join(owner, SCOPE, "left").withColumns({
         "sender_id": F.when(c("direction") == "outbound", c("owner_id")).otherwise(c("other_id")), "message_id": surrogate("ws", "external_id")})
     warehouse.merge("messages", _latest(stamp, dedupe_first(messages, [*SCOPE, "message_id"])), buckets)
 
-    activities = dedupe_first(one("activities"), [*SCOPE, "external_id"]).join(owner, SCOPE, "left").withColumn("person_id", c("owner_id"))
-    warehouse.merge("activities", _latest(stamp, activities), buckets)
-    jobs = one("jobs").withColumn("company_key", t.nullif_blank(t.company_key(c("company_name")))).withColumns({
-        "job_id": surrogate("ws", "external_id"), "company_id": F.when(c("company_key").isNotNull(), surrogate("ws", "company_key"))})
-    warehouse.merge("jobs", _latest(stamp, jobs), buckets)
-
-    touched = child("interactions").withColumn("interaction_id", surrogate(
-        "ws", "person_id", "kind", F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("undated"))))
-    warehouse.merge("interactions", _latest(stamp, dedupe_first(touched, [*SCOPE, "interaction_id"])), buckets)
     return {"stamp": stamp, "buckets": buckets}
 
 
@@ -135,10 +138,10 @@ def derive(warehouse: Warehouse, buckets: list[int]) -> None:
     """Recompute everything derived in the touched buckets; running it again changes nothing."""
     read = lambda table: warehouse.read(table, buckets)
     linked = rollups.link_employment(read("employment"), read("companies"))
-    warehouse.replace("employment", rollups.retire_snapshots(linked), buckets)
     talks = read("conversations").drop("message_count", "last_message_at", "started_at").join(
         rollups.conversation_totals(read("messages")), ["ws", "conversation_id"], "left").fillna(0, ["message_count"])
-    warehouse.replace("conversations", talks, buckets)
+    run_together(warehouse.spark, lambda: warehouse.overwrite("employment", rollups.retire_snapshots(linked)),
+                 lambda: warehouse.overwrite("conversations", talks))
     employment, people = read("employment"), rollups.connection_dates(read("people"), read("connections"))
     totals = rollups.interaction_totals(read("conversations"), read("messages"), read("interactions"))
     role = rollups.owner_current_role(employment, people).select(
@@ -149,9 +152,10 @@ def derive(warehouse: Warehouse, buckets: list[int]) -> None:
         .withColumns({"current_company": F.when(F.col("_has"), F.col("_company")).otherwise(F.col("current_company")),
                       "current_title": F.when(F.col("_has"), F.col("_title")).otherwise(F.col("current_title"))})
     )
-    warehouse.replace("people", people, buckets)
     bare = read("companies").drop("connection_count", "current_count", "former_count")
-    warehouse.replace("companies", rollups.company_totals(bare, employment, read("people")), buckets)
+    counted = rollups.company_totals(bare, employment, read("people"))
+    warehouse.overwrite("companies", counted)
+    warehouse.overwrite("people", people)
 
 
 def file_outcomes(entries: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -210,8 +214,9 @@ def run_wave(warehouse: Warehouse, uploads: DataFrame, completed_at: str, max_ro
     stage = Stage(warehouse.spark, warehouse.root)
     uploads = stage.keep("uploads", uploads)
     entries, files, raw = scan(stage, uploads, max_rows)
-    canonical = normalize_datasets(raw, stage.keep)
-    outcomes = stage.keep("outcomes", canonical.outcomes())
+    together = lambda *actions: run_together(warehouse.spark, *actions)
+    canonical = normalize_datasets(raw, stage.keep, together)
+    outcomes = canonical.tables["outcomes"][0]
     done = persist(stage, warehouse, canonical, uploads)
     derive(warehouse, done["buckets"])
     per_file = stage.keep("import_files", file_outcomes(entries, files, outcomes))

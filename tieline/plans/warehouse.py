@@ -172,3 +172,43 @@ class Warehouse:
             F.count_if(F.col("first_import_id") == F.col("last_import_id")).alias("created"),
             F.count_if(F.col("first_import_id") != F.col("last_import_id")).alias("updated"),
         )
+
+
+PERSON_TABLES = ["connections", "employment", "education", "skills", "emails", "phone_numbers", "profile_fields", "interactions", "person_tags"]
+
+
+def delete_import(warehouse: Warehouse, import_ids: DataFrame, with_data: bool) -> int:
+    """Remove imports (ws, import_id); with their data, the people only they brought go too, together
+    with those people's rows, and everything derived is recomputed. Returns the number of people removed."""
+    from tieline.operators.maintenance import imported_only_by, without_people
+    from tieline.plans.import_job import derive
+
+    buckets = warehouse.touched(import_ids)
+    removed = 0
+    if with_data:
+        # The list is stored first, because the tables it is read from are rewritten below.
+        path = f"{warehouse.root}/_staged/removed"
+        imported_only_by(warehouse.read("people", buckets), import_ids).select("ws", "person_id").write.mode("overwrite").parquet(path)
+        gone = warehouse.spark.read.parquet(path)
+        removed = gone.count()
+        for table in ["people", *PERSON_TABLES]:
+            if warehouse.exists(table):
+                warehouse.replace(table, without_people(warehouse.read(table, buckets), gone), buckets)
+        for table in ("conversations",):
+            unlinked = warehouse.read(table, buckets).join(gone.withColumn("_gone", F.lit(True)), ["ws", "person_id"], "left")
+            warehouse.replace(table, unlinked.withColumn("person_id", F.when(F.col("_gone").isNull(), F.col("person_id"))), buckets)
+        derive(warehouse, buckets)
+    for table in ("imports", "import_files"):
+        if warehouse.exists(table):
+            warehouse.replace(table, warehouse.read(table, buckets).join(import_ids, ["ws", "import_id"], "left_anti"), buckets)
+    return removed
+
+
+def reset_workspaces(warehouse: Warehouse, workspaces: DataFrame, confirm: str) -> None:
+    """Erase every stored row of the given workspaces. Must be confirmed with the word DELETE."""
+    if confirm != "DELETE":
+        raise ValueError('pass confirm="DELETE" to erase every imported record')
+    buckets = warehouse.touched(workspaces)
+    for table in TABLES:
+        if warehouse.exists(table):
+            warehouse.replace(table, warehouse.read(table, buckets).join(workspaces, "ws", "left_anti"), buckets)
