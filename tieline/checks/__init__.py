@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["composition", "careers", "people", "services", "report", "text"]
+MODULES = ["composition", "careers", "people", "services", "report", "text", "ingest"]
 
 
 def load():
