@@ -5,6 +5,7 @@ Input rows are (ws, import_id, source_file, row_no, row map). Arrival order is e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,6 +34,8 @@ class Canonical:
 
     tables: dict[str, list[DataFrame]] = field(default_factory=dict)
     judged: list[DataFrame] = field(default_factory=list)
+    # May store a table and return it as read back.
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df
 
     def add(self, table: str, rows: DataFrame) -> None:
         self.tables.setdefault(table, []).append(rows)
@@ -235,7 +238,7 @@ def connection_rows(raw: DataFrame) -> DataFrame:
 
 
 def normalize_connections(raw: DataFrame, owner: DataFrame, out: Canonical) -> None:
-    rows = connection_rows(raw)
+    rows = out.keep("parsed_connections", connection_rows(raw).drop("row", "row_no", "dataset"))
     _judge(out, rows, "connections", F.col("person_key").isNotNull())
     kept = rows.filter(F.col("person_key").isNotNull())
     c = F.col
@@ -340,16 +343,19 @@ def normalize_messages(raw: DataFrame, owner: DataFrame, out: Canonical) -> None
         "counterpart_url": F.when(c("mine"), t.profile_url(pick("recipient profile urls", "recipientprofileurls"))).otherwise(c("sender_url"))})
     fallback = F.concat(F.lit("counterpart:"), F.coalesce(
         t.nullif_blank(t.comparison_key(c("counterpart_name"))), t.profile_slug(c("counterpart_url")), F.lit("unknown")))
-    rows = rows.withColumn("conversation_key", F.coalesce(t.optional(pick("conversation id", "conversationid")), fallback))
+    rows = rows.withColumns({
+        "conversation_key": F.coalesce(t.optional(pick("conversation id", "conversationid")), fallback),
+        "subject": t.optional(pick("subject")), "topic": t.optional(pick("conversation title", "subject"))}).drop("row")
+    rows = out.keep("parsed_messages", rows)
     out.add("messages", rows.select(
         *TRACE, "conversation_key",
         F.concat_ws("#", "conversation_key", F.coalesce(dates.iso_instant(c("sent_at")), F.concat(F.lit("row"), c("row_no").cast("string"))),
                     _digest(c("content"))).alias("external_id"),
         t.nullif_blank(c("sender")).alias("sender_name"), t.nullif_blank(c("receiver")).alias("recipient_name"),
-        t.truncate(t.optional(pick("subject")), 500).alias("subject"), t.truncate(c("content"), 20000).alias("content"), "sent_at",
+        t.truncate(c("subject"), 500).alias("subject"), t.truncate(c("content"), 20000).alias("content"), "sent_at",
         F.when(c("mine"), "outbound").otherwise("inbound").alias("direction")))
     first = F.struct(
-        t.truncate(F.coalesce(t.optional(pick("conversation title", "subject")), c("counterpart_name")), 300).alias("title"),
+        t.truncate(F.coalesce("topic", "counterpart_name"), 300).alias("title"),
         "counterpart_name", "counterpart_url", "source_file")
     out.add("conversations", rows.groupBy(*SCOPE, "conversation_key").agg(F.min_by(first, "ord").alias("f"), F.min("ord").alias("ord")).select(
         *SCOPE, "conversation_key", "ord", "f.*"))
@@ -421,7 +427,7 @@ def normalize_datasets(raw: DataFrame, keep=lambda name, df: df, together=lambda
     `keep(name, df)` may store a table and return it as read back; the import job does, so that each
     cell is parsed once and the merges that follow start from plain columns. `together` may run
     independent `keep`s at once."""
-    owner, out = keep("owners", owners(raw)), Canonical()
+    owner, out = keep("owners", owners(raw)), Canonical(keep=keep)
     for step in STEPS:
         step(raw, owner, out)
     held = together(*[lambda name=name: keep(f"candidate_{name}", out.union(name)) for name in CANDIDATES],

@@ -12,9 +12,8 @@ def split_hot(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> tupl
 
     Sizes come from a map-side combined count. At most rows/threshold groups can be hot, which
     bounds the broadcast side whatever the input size."""
-    hot_keys = df.groupBy(*keys).count().filter(F.col("count") > threshold).drop("count")
-    marked = df.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), keys, "left")
-    return marked.filter("_hot IS NULL").drop("_hot"), marked.filter("_hot").drop("_hot")
+    hot_keys = F.broadcast(df.groupBy(*keys).count().filter(F.col("count") > threshold).drop("count"))
+    return df.join(hot_keys, keys, "left_anti"), df.join(hot_keys, keys, "left_semi")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], segment: Column, value: Column,

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tieline.functions import text as t
+from tieline.sources import facts
 from tieline.session import checkpoint_dir
 
 COMPANY_NAMES = [
@@ -52,13 +53,16 @@ class stored_table:
         if tables is None:
             return self
         path = f"{tables.warehouse}/{self.name}"
-        if path not in _WRITTEN:
-            self.build(tables).write.mode("overwrite").parquet(path)
-            _WRITTEN.add(path)
-        return tables.spark.read.parquet(path)
+        if path not in _READ:
+            rows = self.build(tables)
+            rows.write.mode("overwrite").parquet(path)
+            # With its schema given, reading back needs no job that opens the files.
+            _READ[path] = tables.spark.read.schema(rows.schema).parquet(path)
+        return _READ[path]
 
 
-_WRITTEN: set[str] = set()
+# Tables opened in this process, by application and path.
+_READ: dict[str, DataFrame] = {}
 
 
 class Binding:
@@ -73,7 +77,10 @@ class Binding:
         return f"{checkpoint_dir(self.spark)}/tieline/{self.spark.sparkContext.applicationId}/{source}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        path = f"{self.spark.sparkContext.applicationId}:{self.directory}/{name}.parquet"
+        if path not in _READ:
+            _READ[path] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return _READ[path]
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -144,6 +151,14 @@ class Binding:
                     F.when(F.length("company_key") % 3 == 0, F.lit("Software")).alias("industry"))
         )
 
+    @stored_table
+    def fact_people(self) -> DataFrame:
+        return facts.fact_people(self.people, self.employment)
+
+    @stored_table
+    def fact_employment(self) -> DataFrame:
+        return facts.without_owners(self.employment, self.people)
+
     @cached_property
     def education(self) -> DataFrame:
         key = F.col("person_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -65,33 +66,64 @@ def latest_current(employment: DataFrame) -> DataFrame:
     )
 
 
-def load_facts(people: DataFrame, employment: DataFrame, education: DataFrame, companies: DataFrame,
-               imports: DataFrame, import_files: DataFrame) -> NetworkFacts:
-    owners = people.filter("is_self").select("ws", "person_id")
-    others = people.filter(~F.col("is_self")).join(latest_current(employment), ["ws", "person_id"], "left")
-    with_connections = import_files.filter(F.col("dataset") == "connections").select(
+def fact_people(people: DataFrame, employment: DataFrame) -> DataFrame:
+    """Everyone but the owners, with key and id of the current employer."""
+    return people.filter(~F.col("is_self")).join(latest_current(employment), ["ws", "person_id"], "left").drop("is_self")
+
+
+def without_owners(rows: DataFrame, people: DataFrame) -> DataFrame:
+    return rows.join(people.filter("is_self").select("ws", "person_id"), ["ws", "person_id"], "left_anti")
+
+
+def fact_imports(imports: DataFrame, import_files: DataFrame) -> DataFrame:
+    """Completed imports, with whether they held a connections file."""
+    held = import_files.filter(F.col("dataset") == "connections").select(
         "import_id", F.lit(True).alias("had_connections")
     ).distinct()
-    completed = (
-        imports.filter(F.col("status").isin(fv.COMPLETED_STATUSES))
-        .join(with_connections, "import_id", "left")
+    return (
+        imports.filter(F.col("status").isin(fv.COMPLETED_STATUSES)).join(held, "import_id", "left")
         .withColumn("had_connections", F.coalesce("had_connections", F.lit(False)))
     )
-    self_row = people.filter("is_self").select(
-        "ws", "person_id", "name", "headline", "location", "industry", "profile_url"
-    )
-    context = owner_context(people, employment, education)
-    return NetworkFacts(
-        people=others.drop("is_self"),
-        employment=employment.join(owners, ["ws", "person_id"], "left_anti"),
-        education=education.filter(F.col("school").isNotNull()).join(owners, ["ws", "person_id"], "left_anti"),
-        companies=companies,
-        imports=completed,
-        owners=self_row.join(context, ["ws", "person_id"]),
-    )
 
 
-def facts_of(tables) -> NetworkFacts:
-    """Facts from any object with warehouse tables as attributes."""
-    return load_facts(tables.people, tables.employment, tables.education, tables.companies,
-                      tables.imports, tables.import_files)
+def fact_owners(people: DataFrame, employment: DataFrame, education: DataFrame) -> DataFrame:
+    row = people.filter("is_self").select("ws", "person_id", "name", "headline", "location", "industry", "profile_url")
+    return row.join(owner_context(people, employment, education), ["ws", "person_id"])
+
+
+class LoadedFacts:
+    """The facts of any object that has warehouse tables as attributes. Each is planned on first use;
+    where the object stores fact tables of its own, they are read instead of joined again."""
+
+    def __init__(self, tables):
+        self.tables = tables
+
+    @cached_property
+    def people(self) -> DataFrame:
+        stored = getattr(self.tables, "fact_people", None)
+        return stored if stored is not None else fact_people(self.tables.people, self.tables.employment)
+
+    @cached_property
+    def employment(self) -> DataFrame:
+        stored = getattr(self.tables, "fact_employment", None)
+        return stored if stored is not None else without_owners(self.tables.employment, self.tables.people)
+
+    @cached_property
+    def education(self) -> DataFrame:
+        return without_owners(self.tables.education.filter(F.col("school").isNotNull()), self.tables.people)
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return self.tables.companies
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return fact_imports(self.tables.imports, self.tables.import_files)
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        return fact_owners(self.tables.people, self.tables.employment, self.tables.education)
+
+
+def facts_of(tables) -> LoadedFacts:
+    return LoadedFacts(tables)
