@@ -93,7 +93,7 @@ for _name in BUILDERS:
 
 
 def concentration_sql(dimension: str, label: str) -> str:
-    return f"""SELECT ws, '{label}' AS dimension, round(sum(p * p), 9) AS hhi, round(greatest(-sum(p * ln(p)), 0), 9) AS entropy,
+    return f"""SELECT ws, '{label}' AS dimension, round(sum(p * p), 9) AS hhi, round(greatest(0 - sum(p * ln(p)), 0), 9) AS entropy,
       count(*) AS groups, sum(count) FILTER (rank <= 5)::BIGINT AS top_count, any_value(known) AS known, any_value(total) AS total
       FROM (SELECT *, count * 1.0::DOUBLE / sum(count) OVER (PARTITION BY ws) AS p,
               row_number() OVER (PARTITION BY ws ORDER BY count DESC, key) AS rank FROM {dimension}) GROUP BY ws"""

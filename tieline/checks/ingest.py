@@ -141,11 +141,11 @@ def _dataset(tables):
     return tables.table("pages").select("page_id", catalogue.detect_dataset(name, keys).alias("dataset"))
 
 
-@query("import_checksum", """SELECT 'w' || (page_id % 40) AS ws, sha256(string_agg(filename || digest, '' ORDER BY filename, digest)) AS checksum
-  FROM (SELECT page_id, 'page-' || page_id || '.html' AS filename, sha256(html) AS digest FROM pages) GROUP BY page_id % 40""", base=False)
+@query("import_checksum", """SELECT 'w' || (page_id // 20) AS ws, sha256(string_agg(filename || digest, '' ORDER BY filename, digest)) AS checksum
+  FROM (SELECT page_id, 'page-' || page_id || '.html' AS filename, sha256(html) AS digest FROM pages) GROUP BY page_id // 20""", base=False)
 def _checksum(tables):
     files = tables.table("pages").select(
-        F.concat(F.lit("w"), (F.col("page_id") % 40).cast("string")).alias("ws"), IMPORT.alias("import_id"),
+        F.concat(F.lit("w"), (F.col("page_id") / 20).cast("long").cast("string")).alias("ws"), IMPORT.alias("import_id"),
         F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("html").cast("binary").alias("content"))
     return archive.upload_checksums(files).drop("import_id")
 

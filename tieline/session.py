@@ -15,6 +15,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # Ranks up to this bound are cut before the shuffle; profile lists need 2,700.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "3000",
     # One archive can inflate to more than a gigabyte, so Arrow batches must not hold many.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
