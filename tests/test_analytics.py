@@ -137,6 +137,8 @@ def test_context_score_and_signals(spark):
     assert one["p1"].s == ["dormant", "changed_company", "shared_company", "shared_school"] and one["p2"].s == ["no_company"]
     assert scoring.find_opportunities(facts, NOW, scoring.OpportunityQuery()).count() == 0
     assert [r.name for r in scoring.reconnection_candidates(facts, NOW).collect()] == ["Ada"]
+    saved = scoring.OpportunityQuery.from_json('{"company": "acme", "recentlyMoved": true}')
+    assert [r.reasons for r in scoring.find_opportunities(facts, NOW, saved).collect()] == [["Works at Acme", "More than one employer on record"]]
 
 
 def test_bad_parameters_are_refused(spark):

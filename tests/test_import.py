@@ -139,3 +139,27 @@ def test_datasets_without_reference_fixture(imported):
     assert {r.activity_type for r in rows(imported, "activities", "w8")} == {"comment", "reaction", "share"}
     jobs = {r.title: r for r in rows(imported, "jobs", "w8")}
     assert jobs["VP Platform"].applied_at is None and jobs["Head of Infrastructure"].saved_at == dt.datetime(2026, 2, 10)
+
+
+def test_report_over_the_warehouse(imported, spark):
+    from tieline.plans.dashboard import dashboard
+    from tieline.plans.report import AnalyticsReport
+    from tieline.plans.warehouse import append_snapshots
+    from tieline.sources.facts import facts_of
+
+    class Tables:
+        def __getattr__(self, name):
+            if name.startswith("fact_"):
+                raise AttributeError(name)
+            return imported.read(name)
+
+    tables = Tables()
+    report = AnalyticsReport(facts_of(tables), "2026-03-01 00:00:00")
+    one = {r.ws: r for r in report.summary.collect()}
+    assert one["w2"].network_size == 13 and one["w2"].new_connections == 1 and one["w1"].moves == 0
+    assert {r.id for r in report.insights.filter("ws = 'w2'").collect()} >= {"top-company", "growth-window", "location-coverage"}
+    shown = dashboard(tables, "2026-03-01 00:00:00")
+    assert {r.ws: r.connections for r in shown["totals"].collect()}["w1"] == 12
+    append_snapshots(imported, report.summary, "2026-03-02 00:00:00")
+    append_snapshots(imported, report.summary, "2026-03-03 00:00:00")
+    assert imported.read("snapshots").filter("ws = 'w2'").count() == 1

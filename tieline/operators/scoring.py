@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -95,6 +96,13 @@ class OpportunityQuery:
     recently_moved: bool = False
     older_quiet: bool = False
 
+    @classmethod
+    def from_json(cls, text: str) -> "OpportunityQuery":
+        """The query a saved segment stores; unknown keys are refused."""
+        given = json.loads(text)
+        names = {"pastCompany": "past_company", "recentlyMoved": "recently_moved", "olderQuiet": "older_quiet"}
+        return cls(**{names.get(k, k): v for k, v in given.items()})
+
 
 def find_opportunities(facts: NetworkFacts, now: str, wanted: OpportunityQuery, limit: int = 50) -> DataFrame:
     """People matching every given filter, with one reason each, by score then name. No filter, no rows."""

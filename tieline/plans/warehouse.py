@@ -212,3 +212,16 @@ def reset_workspaces(warehouse: Warehouse, workspaces: DataFrame, confirm: str)
     for table in TABLES:
         if warehouse.exists(table):
             warehouse.replace(table, warehouse.read(table, buckets).join(workspaces, "ws", "left_anti"), buckets)
+
+
+def append_snapshots(warehouse: Warehouse, summary: DataFrame, now: str, metric_type: str = "network_report") -> None:
+    """Store a report summary (one row per workspace) as JSON, for workspaces without a snapshot since
+    their last import."""
+    from tieline.operators.maintenance import due_snapshots
+
+    at = F.lit(now).cast("timestamp_ntz")
+    rows = summary.select("ws", at.alias("snapshot_at"), F.lit(metric_type).alias("metric_type"), F.to_json(F.struct(*summary.columns)).alias("metric_data"))
+    due = due_snapshots(rows, warehouse.read("snapshots"), warehouse.read("imports"), now)
+    path = f"{warehouse.root}/_staged/snapshot_rows"
+    due.write.mode("overwrite").parquet(path)
+    warehouse.merge("snapshots", warehouse.spark.read.parquet(path))
