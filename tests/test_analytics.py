@@ -101,9 +101,10 @@ def test_colleagues_and_related_companies_by_brute_force(spark):
         rows += [{"person_id": f"p{p}", "company_name": k, "company_key": k, "is_current": True} for k in mine for _ in range(2)]
     everyone = people(spark, [{"person_id": p} for p in sets]).withColumn("is_self", F.col("person_id") == "p0")
     employment = jobs(spark, rows).withColumn("company_id", F.concat(F.lit("id-"), F.col("company_key")))
-    got = {r.person_id: r.colleagues for r in pe.colleague_counts(everyone, employment).collect()}
     want = {p: sum(1 for q in sets if q != p and q != "p0" and sets[p] & sets[q]) for p in sets if sets[p]}
-    assert got == want
+    for limit in (12, 2, 0):
+        got = {r.person_id: r.colleagues for r in pe.colleague_counts(everyone, employment, limit).collect()}
+        assert got == want, limit
     known = spark.createDataFrame([("w", k, f"id-{k}", k) for k in [*"abcdefgh", "big"]], "ws string, company_key string, company_id string, name string")
     related = {(r.company_id, r.other_name): r.shared_people for r in co.related_companies(employment, everyone, known, limit=50).collect()}
     keys = {k for s in sets.values() for k in s}

@@ -249,26 +249,49 @@ def employer_sets(people: DataFrame, employment: DataFrame) -> DataFrame:
     )
 
 
-def colleague_counts(people: DataFrame, employment: DataFrame) -> DataFrame:
+SUBSET_LIMIT = 12
+
+
+def _subsets(c: Column) -> Column:
+    """All non-empty subsets of a small array, each in the array's order."""
+    grown = F.aggregate(
+        c, F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x))))
+    )
+    return F.filter(grown, lambda s: F.size(s) > 0)
+
+
+def colleague_counts(people: DataFrame, employment: DataFrame, subset_limit: int = SUBSET_LIMIT) -> DataFrame:
     """(ws, person_id, colleagues): distinct other people, owners aside, who share an employer.
 
-    Pairs of people are never formed. Every colleague is counted at the most popular employer shared,
-    that is, at an employer where the two sets of still more popular employers are disjoint. People are
-    grouped by that set, so the most popular employer holds a single group, the next at most two, and
-    only distinct sets, with their sizes, meet each other."""
+    Pairs of people are never formed. People are first grouped by their set of employers. Sets of up to
+    `subset_limit` employers use inclusion and exclusion: each set emits its subsets, one count per
+    subset says how many people hold it, and every set adds and subtracts the counts of its own subsets,
+    which is linear in the number of sets. Where a larger set is involved, a colleague is counted at the
+    most popular employer shared, that is, where the two sets of still more popular employers are
+    disjoint; only distinct such sets meet there, at least one of them a large one's."""
     sets = employer_sets(people, employment)
-    distinct_sets = sets.groupBy("ws", "employers").agg(F.sum((~F.col("is_self")).cast("long")).alias("members"))
+    distinct_sets = sets.groupBy("ws", "employers").agg(F.sum((~F.col("is_self")).cast("long")).alias("members")).withColumn(
+        "large", F.size("employers") > subset_limit)
+
+    parts = distinct_sets.filter("NOT large").select("ws", "employers", "members", F.explode(_subsets(F.col("employers"))).alias("part"))
+    holding = parts.groupBy("ws", "part").agg(F.sum("members").alias("_n"))
+    sign = F.when(F.size("part") % 2 == 1, F.col("_n")).otherwise(-F.col("_n"))
+    among_small = parts.join(holding, ["ws", "part"]).groupBy("ws", "employers").agg(F.sum(sign).alias("_n"))
+
     at = distinct_sets.select(
-        "ws", "employers", "members", F.posexplode("employers").alias("_position", "company_key")
+        "ws", "employers", "members", "large", F.posexplode("employers").alias("_position", "company_key")
     ).withColumn("ahead", F.slice("employers", F.lit(1), F.col("_position")))
-    groups = at.groupBy("ws", "company_key", "ahead").agg(F.sum("members").alias("members"))
-    other = groups.filter("members > 0").select("ws", "company_key", F.col("ahead").alias("their_ahead"), F.col("members").alias("_n"))
+    place = ["ws", "company_key", "ahead", "large"]
+    groups = at.groupBy(*place).agg(F.sum("members").alias("members"))
+    other = groups.filter("members > 0").select(
+        "ws", "company_key", F.col("ahead").alias("_theirs"), F.col("large").alias("_large"), F.col("members").alias("_n"))
+    meet = lambda mine, theirs: mine.select(*place).join(theirs, ["ws", "company_key"]).filter(~F.arrays_overlap("ahead", "_theirs"))
     met = (
-        groups.select("ws", "company_key", "ahead").join(other, ["ws", "company_key"])
-        .filter(~F.arrays_overlap("ahead", "their_ahead"))
-        .groupBy("ws", "company_key", "ahead").agg(F.sum("_n").alias("_n"))
+        meet(groups.filter("large"), other).unionByName(meet(groups.filter("NOT large"), other.filter("_large")))
+        .groupBy(*place).agg(F.sum("_n").alias("_n"))
     )
-    per_set = at.join(met, ["ws", "company_key", "ahead"]).groupBy("ws", "employers").agg(F.sum("_n").alias("_n"))
+    with_large = at.join(met, place).groupBy("ws", "employers").agg(F.sum("_n").alias("_n"))
+    per_set = among_small.unionByName(with_large).groupBy("ws", "employers").agg(F.sum("_n").alias("_n"))
     return sets.join(per_set, ["ws", "employers"], "left").select(
         *PERSON, (F.coalesce("_n", F.lit(0)) - F.when(F.col("is_self") | F.col("_n").isNull(), 0).otherwise(1)).alias("colleagues")
     )
