@@ -249,7 +249,7 @@ def employer_sets(people: DataFrame, employment: DataFrame) -> DataFrame:
     )
 
 
-SUBSET_LIMIT = 12
+SUBSET_LIMIT = 9
 
 
 def _subsets(c: Column) -> Column:
@@ -272,6 +272,9 @@ def colleague_counts(people: DataFrame, employment: DataFrame, subset_limit: int
     sets = employer_sets(people, employment)
     distinct_sets = sets.groupBy("ws", "employers").agg(F.sum((~F.col("is_self")).cast("long")).alias("members")).withColumn(
         "large", F.size("employers") > subset_limit)
+    # Few bytes become many rows below, so the sets are spread by number, which AQE does not undo.
+    slots = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct_sets = distinct_sets.repartition(slots, "ws", "employers")
 
     parts = distinct_sets.filter("NOT large").select("ws", "employers", "members", F.explode(_subsets(F.col("employers"))).alias("part"))
     holding = parts.groupBy("ws", "part").agg(F.sum("members").alias("_n"))
