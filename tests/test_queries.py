@@ -34,7 +34,10 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from tieline import checks
+
+    registry = checks.load()
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
 def test_entry(spark):
