@@ -39,6 +39,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Arrow batches that hold long texts stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def blanks_to_spaces(text: Column) -> Column:
     return F.translate(text, BLANKS[1:], " " * (len(BLANKS) - 1))
 
