@@ -4,11 +4,13 @@ Doubling every byte position would send each of them through seven sorts. Here t
 100 bytes at a position are built from pairs of names within the row, as fingerprints, which agree across the cluster; Spark sorts only
 where names must meet. The first round is at `ANCHOR` bytes, over sampled positions: of the anchor names in each 100-byte window the
 smallest is taken, so equal windows take equal anchors. Runs of windows with one anchor are named by their first and last window.
-An anchor name whose runs are all alike is settled. Only the others go on to the round at `LENGTH` bytes, window by window."""
+An anchor name whose runs are all alike is settled. The others go on to a round at `CORE` bytes, which the windows of each `GRAIN` shifts
+against the anchor share, and what that leaves open to the round at `LENGTH` bytes, window by window."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from tieline.llm.common import bounded_batches, pick, stored
 
 LENGTH, ANCHOR = 100, 32
 WINDOW = LENGTH - ANCHOR + 1
+GRAIN = 8
+CORE = LENGTH - GRAIN + 1
 PART = 1 << 20  # windows handled at once
 PLACE = np.uint64((1 << 21) - 1)
 LAST = np.iinfo(np.int64).max
@@ -33,24 +37,56 @@ def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each string of ANCHOR and of LENGTH bytes, by start; `data` has LENGTH bytes at least."""
+def names(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each string of ANCHOR, of CORE and of LENGTH bytes, by start; `data` has LENGTH bytes at least."""
     name, size = pair(data.astype(np.uint64) + np.uint64(1), np.uint64(0x5851F42D4C957F2D)), 1
     at = None
     while size < 64:
         if size == ANCHOR:
             at = name
         name, size = pair(name[:-size], name[size:]), 2 * size
-    return at, pair(name[: len(data) - LENGTH + 1], name[LENGTH - 64 :])
+    return at, *(pair(name[: len(data) - size + 1], name[size - 64 :]) for size in (CORE, LENGTH))
 
 
-def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For parts of a text: anchor position, its name, first window, last window, name of the run, and the names of the part's
-    windows with their start."""
+class Part(NamedTuple):
+    """Windows `base`, `base` + 1, ... of a text, in runs of one anchor. Places count from the start of the text, but for the
+    index of `core` and `full`, which starts at `base`."""
+
+    base: int
+    at: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    core: np.ndarray
+    full: np.ndarray
+
+    def run_names(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        shape = ((at - first) * WINDOW + (last - at + WINDOW)).astype(np.uint64)
+        return pair(pair(self.full[first - self.base], self.full[last - self.base]), shape)
+
+    def split(self, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs with these sorted anchor positions in grains: anchor position and name, grain, first and last window."""
+        mine = np.flatnonzero(among(self.at, wanted))
+        at, low, high = self.at[mine], (self.at - self.last)[mine] // GRAIN, (self.at - self.first)[mine] // GRAIN
+        row, grain = spread(low, high)
+        at = at[row]
+        return at, self.anchor[mine][row], grain, np.maximum(self.first[mine][row], at - grain * GRAIN - GRAIN + 1), np.minimum(self.last[mine][row], at - grain * GRAIN)
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, value) for the values low to high of each index."""
+    size = high - low + 1
+    row = np.repeat(np.arange(len(low)), size)
+    return row, low[row] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def parts(text: bytes) -> Iterator[Part]:
+    """Nothing for texts under LENGTH bytes."""
+    data = np.frombuffer(text, np.uint8)
     total = len(data) - LENGTH + 1
     for base in range(0, total, PART):
         count = min(PART, total - base)
-        anchor, full = names(data[base : base + count + LENGTH - 1])
+        anchor, core, full = names(data[base : base + count + LENGTH - 1])
         low = (anchor & ~PLACE) | np.arange(len(anchor), dtype=np.uint64)
         size = 1
         while size * 2 <= WINDOW:
@@ -61,8 +97,7 @@ def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         last = np.concatenate([first[1:] - 1, [count - 1]])
         at = where[first]
-        shape = ((at - first) * WINDOW + (last - at + WINDOW)).astype(np.uint64)
-        yield at + base, anchor[at], first + base, last + base, pair(pair(full[first], full[last]), shape), full, base
+        yield Part(base, at + base, anchor[at], first + base, last + base, core, full)
 
 
 def among(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -103,48 +138,72 @@ TAG_BITS = 20
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text."""
+
     def each():
         for batch in batches:
             for mark, text, _ in texts(batch):
-                if len(text) >= LENGTH:
-                    yield firsts([(anchor, run, at) for at, anchor, _, _, run, _, _ in runs(np.frombuffer(text, np.uint8))], mark)
+                if found := [(p.anchor, p.run_names(p.at, p.first, p.last), p.at) for p in parts(text)]:
+                    yield firsts(found, mark)
+
+    return sent(each())
+
+
+def _grains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grains of the runs at `places`, under the name of what their windows share."""
+
+    def each():
+        for batch in batches:
+            for mark, text, row in texts(batch):
+                wanted, found = listed(batch, "places", row), []
+                for p in parts(text):
+                    at, anchor, grain, first, last = p.split(wanted)
+                    shared = pair(pair(anchor, p.core[at - grain * GRAIN - p.base]), grain.astype(np.uint64))
+                    found.append((shared, p.run_names(at, first, last), at * GRAINS + grain))
+                if found:
+                    yield firsts(found, mark)
 
     return sent(each())
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the runs at `places`, each window."""
+    """The windows of the grains at `places`."""
 
     def each():
         for batch in batches:
             for mark, text, row in texts(batch):
-                wanted, parts = np.sort(batch.column("places")[row].values.to_numpy() >> TAG_BITS), []
-                if len(text) < LENGTH:
-                    continue
-                for at, anchor, first, last, _, full, base in runs(np.frombuffer(text, np.uint8)):
-                    mine = np.flatnonzero(among(at, wanted))
-                    size = last[mine] - first[mine] + 1
-                    start = np.repeat(first[mine], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    shift = (np.repeat(at[mine], size) - start).astype(np.uint64)
-                    parts.append((np.repeat(anchor[mine], size), pair(full[start - base], shift), start))
-                yield firsts(parts, mark)
+                wanted, found = listed(batch, "places", row), []
+                for p in parts(text):
+                    at, anchor, grain, first, last = p.split(np.unique(wanted // GRAINS))
+                    mine = among(at * GRAINS + grain, wanted)
+                    row, start = spread(first[mine], last[mine])
+                    found.append((anchor[mine][row], pair(p.full[start - p.base], (at[mine][row] - start).astype(np.uint64)), start))
+                if found:
+                    yield firsts(found, mark)
 
     return sent(each())
 
 
-def removed(text: bytes, settled: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """Whether each byte goes. settled: sorted anchors of the runs whose windows are all new; fresh: starts of other new windows.
-    Every other window is a repeat."""
-    data = np.frombuffer(text, np.uint8)
-    change = np.zeros(len(data) + 1, np.int32)
-    if len(data) >= LENGTH:
-        new = np.zeros(len(data) - LENGTH + 2, np.int32)
-        for at, _, first, last, _, _, _ in runs(data):
-            mine = among(at, settled)
-            new[first[mine]] += 1
-            new[last[mine] + 1] -= 1
+def listed(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    value = batch.column(column)[row]
+    return np.sort(value.values.to_numpy() >> TAG_BITS) if value.is_valid else np.zeros(0, np.int64)
+
+
+def removed(text: bytes, runs: np.ndarray, grains: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether each byte goes, from the sorted places of the runs, grains and windows that are all new. Other windows are repeats."""
+    change = np.zeros(len(text) + 1, np.int32)
+    if len(text) >= LENGTH:
+        new = np.zeros(len(text) - LENGTH + 2, np.int32)
+        for p in parts(text):
+            mine = among(p.at, runs)
+            new[p.first[mine]] += 1
+            new[p.last[mine] + 1] -= 1
+            at, _, grain, first, last = p.split(np.unique(grains // GRAINS))
+            mine = among(at * GRAINS + grain, grains)
+            np.add.at(new, first[mine], 1)
+            np.add.at(new, last[mine] + 1, -1)
         new = np.cumsum(new)[:-1] > 0
-        new[fresh] = True
+        new[windows] = True
         starts = np.flatnonzero(~new)
         change[starts] += 1
         change[starts + LENGTH] -= 1
@@ -152,15 +211,11 @@ def removed(text: bytes, settled: np.ndarray, fresh: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def own(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
-        value = batch.column(column)[row]
-        return np.sort(value.values.to_numpy() >> TAG_BITS) if value.is_valid else np.zeros(0, np.int64)
-
     for batch in batches:
         size, start, end, kept = [], [], [], []
         for _, text, row in texts(batch):
-            settled = np.setdiff1d(own(batch, "first", row), own(batch, "opened", row), assume_unique=True)
-            gone = removed(text, settled, own(batch, "fresh", row))
+            own = {kind: listed(batch, kind, row) for kind in KINDS}
+            gone = removed(text, np.setdiff1d(own["run"], own["open_run"]), np.setdiff1d(own["grain"], own["open_grain"]), own["window"])
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             size.append(len(text))
             start.append(edges[::2])
@@ -170,6 +225,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(start, spans), pa.array(end, spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
+KINDS = ["run", "open_run", "grain", "open_grain", "window"]
+GRAINS = 16  # above WINDOW / GRAIN
+
+
 def _earliest(found: DataFrame) -> DataFrame:
     """Of each name its first document, and there its place; copies meet in the tasks that read them before they are sent."""
     return found.groupBy("anchor", "name").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
@@ -187,17 +246,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     named = ", ".join(f"{x} long" for x in NAMED)
     docs = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)).alias("tag"), "text")
     key = [F.col("doc_id"), F.col("place").bitwiseAND((1 << TAG_BITS) - 1).alias("tag")]
-    first = stored(_earliest(docs.mapInArrow(_runs, named)).select("anchor", "doc_id", "place"), "runs")
-    shared = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    opened = stored(first.join(shared, "anchor", "left_semi").select("doc_id", "place"), "opened")
-    asked = opened.groupBy(*key).agg(F.collect_list("place").alias("places"))
-    seen = docs.join(asked, ["doc_id", "tag"]).mapInArrow(_windows, named)
-    fresh = stored(_earliest(seen).select("doc_id", "place"), "windows")
-    kinds = {"first": first, "opened": opened, "fresh": fresh}
+    found, asked = {}, None
+    for kind, work in (("run", _runs), ("grain", _grains), ("window", _windows)):
+        first = _earliest((docs if asked is None else docs.join(asked, ["doc_id", "tag"])).mapInArrow(work, named))
+        if kind == "window":
+            found[kind] = stored(first.select("doc_id", "place"), kind)
+            break
+        found[kind] = first = stored(first.select("anchor", "doc_id", "place"), kind)
+        shared = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+        found["open_" + kind] = stored(first.join(shared, "anchor", "left_semi").select("doc_id", "place"), "open_" + kind)
+        asked = found["open_" + kind].groupBy(*key).agg(F.collect_list("place").alias("places"))
     rows = None
-    for kind, df in kinds.items():
-        df = df.select(*key, "place", F.lit(kind).alias("kind"))
+    for kind, df in found.items():
+        df = df.select(*key, "place", F.lit(KINDS.index(kind)).cast("byte").alias("kind"))
         rows = df if rows is None else rows.union(df)
-    lists = rows.groupBy("doc_id", "tag").agg(*[F.collect_list(F.when(F.col("kind") == kind, F.col("place"))).alias(kind) for kind in kinds])
+    lists = rows.groupBy("doc_id", "tag").agg(*[F.collect_list(F.when(F.col("kind") == i, F.col("place"))).alias(kind) for i, kind in enumerate(KINDS)])
     cut = docs.join(lists, ["doc_id", "tag"], "left").mapInArrow(_cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
