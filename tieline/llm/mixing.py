@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tieline.llm.common import n_words, pick, running_start, same, stored
+from tieline.llm.common import DOCUMENT, n_words, pick, running_start, same, stored
 
 #: The golden ratio's fraction in 32 bits, and the weights dealt to sources in order.
 GOLDEN = 2654435769
@@ -97,16 +97,21 @@ def streams(docs: DataFrame, seed: int, bucket_words: int) -> DataFrame:
     return same(rows.withColumn("own", own), starts, ["source", "bucket"]).withColumn("begin", F.col("start") + F.col("own")).drop("own", "start", "bucket", "draw")
 
 
-def mixed(docs: DataFrame, block: int = 4096, seed: int = 5, bucket_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text, source) -> (documents, pieces).
+def numbered(docs: DataFrame, *others: str) -> DataFrame:
+    """The rows to mix, numbered: row, doc_id, source, size, text_hash and the other columns asked for."""
+    rows = pick(docs, *dict.fromkeys(("doc_id", "text", "source", *others))).withColumn("size", n_words(F.col("text"))).withColumn("text_hash", F.xxhash64("text"))
+    return stored((rows if "text" in others else rows.drop("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def mixed(rows: DataFrame, block: int = 4096, seed: int = 5, bucket_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """`numbered` rows -> (documents, pieces).
 
     documents: row, doc_id, source, size, source_size, target, begin. pieces: (slot, source, rank, row, from_word, to_word), the words
     each slot of the schedule takes from a document: slot `rank` of a source is words [rank * block, ...) of its shuffled documents laid
     end to end, again from the start when they are used up, at most `MAX_EPOCHS` times. Everything follows from hashes of ids and texts,
     so reruns agree; a hot source is cut into buckets before any prefix sum. Null texts have no words, null is a source, the last.
     Repeated rows are documents of their own. Documents without words take no part; a table without rows gives none."""
-    rows = pick(docs, "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = rows.select("row", "doc_id", "source", "size", "text_hash")
     targets = stored(source_targets(rows), "targets")
     documents = stored(same(streams(rows, seed, bucket_words).drop("text_hash"), targets, ["source"]), "streams")
     plan = schedule(targets, block)
@@ -126,8 +131,17 @@ def mixed(docs: DataFrame, block: int = 4096, seed: int = 5, bucket_words: int =
     return documents, pieces
 
 
-def taken(docs: DataFrame, **settings: int) -> DataFrame:
-    """(row, doc_id, size, source_size, target, taken) for each row of `docs`."""
-    documents, pieces = mixed(docs, **settings)
+def taken(rows: DataFrame, **settings: int) -> DataFrame:
+    """(row, doc_id, size, source_size, target, taken) for each of the `numbered` rows."""
+    documents, pieces = mixed(rows, **settings)
     used = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     return documents.join(used, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def repeated(docs: DataFrame, **settings: int) -> DataFrame:
+    """The columns of documents, each document as many times as the mix takes it. Only where a source's target ends within a document
+    is it taken in part; there the nearer whole number counts."""
+    rows = numbered(docs, *DOCUMENT)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    copies = taken(rows, **settings).filter("size > 0 AND taken > 0").select("row", times.alias("times")).filter("times > 0")
+    return rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOCUMENT)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieline.llm import host_rules, line_dedup, mixing, neighbours, packing, sharding, simhash, suffix_dedup, toxicity
+from tieline.llm import host_rules, licences, line_dedup, mixing, neighbours, packing, sharding, simhash, suffix_dedup, toxicity
 from tieline.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).drop("row")
+    return mixing.taken(mixing.numbered(table(spark, sf_dir, "documents"))).drop("row")
 
 
 @query("op7_sharding")
@@ -68,6 +68,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("row.doc_id").alias("doc_id"), sharding.text_size(text).alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_licences")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 @query("op9_neighbours")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
