@@ -46,8 +46,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).join(F.broadcast(taken), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def selected(sample: DataFrame, least_docs: int, least_z: float) -> DataFrame:
-    """(doc, toxic, feature) of the features that occur with toxic texts more often than chance explains."""
+def selected(sample: DataFrame, least_docs: int, least_z: float, least_odds: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, f) and (f, feature) of the features that occur with toxic texts more often than chance explains, by `least_odds` in log
+    odds at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,25 +65,29 @@ def selected(sample: DataFrame, least_docs: int, least_z: float) -> DataFrame:
     a, b = F.col("hits") + 0.5, F.col("misses") + 0.5
     odds = F.log(a / (F.lit(size.get(1, 0) + 1) - a)) - F.log(b / (F.lit(size.get(0, 0) + 1) - b))
     counts = rows.groupBy("feature").agg(F.sum("toxic").alias("hits"), F.sum(1 - F.col("toxic")).alias("misses"))
-    kept = counts.filter((F.col("hits") >= least_docs) & (odds / F.sqrt(1 / a + 1 / b) > least_z)).select("feature")
-    return rows.join(kept, "feature")
+    kept = counts.filter((F.col("hits") >= least_docs) & (odds > least_odds) & (odds / F.sqrt(1 / a + 1 / b) > least_z))
+    kept = stored(kept.select(F.monotonically_increasing_id().alias("f"), "feature"), "kept")
+    return rows.join(kept, "feature").select("doc", "f"), kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least_docs: int = 3, least_z: float = 2.5, strength: float = 0.1, steps: int = 600) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least_docs: int = 3, least_z: float = 2.5, least_odds: float = 1.5, strength: float = 0.1, steps: int = 600) -> Model | None:
     """Fitted on a sample of at most `train_rows` labelled texts; None without toxic and harmless ones.
 
     The labels know two grades. Toxic texts are graded by how many of the selected features with no harmless text they hold: up to the
     median of these counts 1, above it 2. Weights are not negative, so harmless words make up for nothing, and those that do not help
     are pulled to zero; cuts keep their order."""
     sample = stored(training_rows(docs, labels, train_rows).withColumn("doc", F.monotonically_increasing_id()), "sample")
-    rows = selected(sample, least_docs, least_z).collect()  # at most the selected features of `train_rows` texts
-    texts = [(r.doc, r.toxic) for r in sample.select("doc", "toxic").orderBy("doc").collect()]
-    if not rows or len({t for _, t in texts}) < 2:
+    found, kept = selected(sample, least_docs, least_z, least_odds)
+    texts = sample.select("doc", F.col("toxic").cast("int").alias("toxic")).orderBy("doc").toArrow().to_pydict()  # `train_rows` at most
+    names = dict(zip(*kept.orderBy("feature").select("f", "feature").toArrow().to_pydict().values(), strict=True))
+    if not names or len(set(texts["toxic"])) < 2:
         return None
-    names = sorted({r.feature for r in rows})
-    column, line = {f: i for i, f in enumerate(names)}, {d: i for i, (d, _) in enumerate(texts)}
-    at = np.array([(line[r.doc], column[r.feature]) for r in rows])
-    toxic, n, m = np.array([t for _, t in texts]), len(texts), len(names)
+    rows = found.toArrow()  # numbers only: the selected features of `train_rows` texts
+    known = np.array(sorted(names))
+    at = np.stack([np.searchsorted(texts["doc"], rows.column("doc").to_numpy()), np.searchsorted(known, rows.column("f").to_numpy())], 1)
+    at = at[np.lexsort((at[:, 1], at[:, 0]))]
+    names = [names[f] for f in known.tolist()]
+    toxic, n, m = np.array(texts["toxic"]), len(texts["doc"]), len(names)
     telling = np.bincount(at[:, 1], toxic[at[:, 0]] == 0, m) == 0
     marks = np.bincount(at[:, 0], telling[at[:, 1]], n)
     grade = np.where(toxic == 0, 0, np.where(marks > np.median(marks[toxic == 1]), 2, 1))
