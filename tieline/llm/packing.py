@@ -35,10 +35,13 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
     """(id, df) over all documents; each task sends one row per id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total, here = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         for batch in batches:
             for ids in batch.column("ids"):
-                total[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
+                here[np.frombuffer(ids.as_buffer(), "<u2")] = True
+                found = np.flatnonzero(here)
+                total[found] += 1
+                here[found] = False
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["id", "df"])
 

@@ -10,7 +10,7 @@ against the anchor share, and what that leaves open to the round at `LENGTH` byt
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,15 @@ from tieline.llm.common import bounded_batches, pick, stored
 LENGTH, ANCHOR = 100, 32
 WINDOW = LENGTH - ANCHOR + 1
 GRAIN = 8
+GRAINS = 16  # above WINDOW / GRAIN
 CORE = LENGTH - GRAIN + 1
-PART = 1 << 20  # windows handled at once
+BLOCK = 1 << 20  # bytes looked at together
 PLACE = np.uint64((1 << 21) - 1)
 LAST = np.iinfo(np.int64).max
+ROW = 1 << 44  # places of runs are below
+TAG_BITS = 20
+NAMED = ["anchor", "name", "doc_id", "place"]
+KINDS = ["run", "open_run", "grain", "open_grain", "window"]
 
 
 def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -37,40 +42,15 @@ def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def names(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each string of ANCHOR, of CORE and of LENGTH bytes, by start; `data` has LENGTH bytes at least."""
-    name, size = pair(data.astype(np.uint64) + np.uint64(1), np.uint64(0x5851F42D4C957F2D)), 1
-    at = None
-    while size < 64:
-        if size == ANCHOR:
-            at = name
-        name, size = pair(name[:-size], name[size:]), 2 * size
-    return at, *(pair(name[: len(data) - size + 1], name[size - 64 :]) for size in (CORE, LENGTH))
-
-
-class Part(NamedTuple):
-    """Windows `base`, `base` + 1, ... of a text, in runs of one anchor. Places count from the start of the text, but for the
-    index of `core` and `full`, which starts at `base`."""
-
-    base: int
-    at: np.ndarray
-    anchor: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
-    core: np.ndarray
-    full: np.ndarray
+def doubled(name: np.ndarray, step: int, level: int) -> np.ndarray:
+    """`pair` of each name with the one `step` behind it, by fewer operations: the names of two bytes are spread already."""
+    out = name[:-step] * np.uint64(0x9E3779B97F4A7C15 + (level << 33))
+    out += name[step:]
+    out ^= out >> np.uint64(32)
+    return out
 
-    def run_names(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        shape = ((at - first) * WINDOW + (last - at + WINDOW)).astype(np.uint64)
-        return pair(pair(self.full[first - self.base], self.full[last - self.base]), shape)
 
-    def split(self, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The runs with these sorted anchor positions in grains: anchor position and name, grain, first and last window."""
-        mine = np.flatnonzero(among(self.at, wanted))
-        at, low, high = self.at[mine], (self.at - self.last)[mine] // GRAIN, (self.at - self.first)[mine] // GRAIN
-        row, grain = spread(low, high)
-        at = at[row]
-        return at, self.anchor[mine][row], grain, np.maximum(self.first[mine][row], at - grain * GRAIN - GRAIN + 1), np.minimum(self.last[mine][row], at - grain * GRAIN)
+TWO_BYTES = pair(pair(np.arange(1 << 16, dtype=np.uint64), np.uint64(0x5851F42D4C957F2D)), np.uint64(0x14057B7EF767814F))
 
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,26 +60,6 @@ def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, low[row] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def parts(text: bytes) -> Iterator[Part]:
-    """Nothing for texts under LENGTH bytes."""
-    data = np.frombuffer(text, np.uint8)
-    total = len(data) - LENGTH + 1
-    for base in range(0, total, PART):
-        count = min(PART, total - base)
-        anchor, core, full = names(data[base : base + count + LENGTH - 1])
-        low = (anchor & ~PLACE) | np.arange(len(anchor), dtype=np.uint64)
-        size = 1
-        while size * 2 <= WINDOW:
-            low, size = np.minimum(low[:-size], low[size:]), size * 2
-        if size < WINDOW:
-            low = np.minimum(low[: len(low) - (WINDOW - size)], low[WINDOW - size :])
-        where = (low & PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        last = np.concatenate([first[1:] - 1, [count - 1]])
-        at = where[first]
-        yield Part(base, at + base, anchor[at], first + base, last + base, core, full)
-
-
 def among(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Whether each of `x` is in the sorted `wanted`."""
     if not len(wanted):
@@ -108,125 +68,164 @@ def among(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(at, len(wanted) - 1)] == x
 
 
-def firsts(parts: list[tuple[np.ndarray, ...]], mark: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """(anchor, name, place) of one text -> the first of each name, with document and tag."""
-    anchor, name, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    kept = np.sort(np.unique(name, return_index=True)[1])
-    return anchor[kept].view(np.int64), name[kept].view(np.int64), np.full(len(kept), mark[0]), (place[kept] << TAG_BITS) | mark[1]
+class Block:
+    """Texts, or parts of a long one that overlap, end to end, with their windows of LENGTH bytes in runs of one anchor. Positions are
+    those in the block; `shift` of a run's segment leads to those in the text."""
+
+    def __init__(self, segments: list[tuple[int, int, bytes]]):
+        row, start, data = zip(*segments, strict=True)
+        size = np.array([len(x) for x in data])
+        begin = np.cumsum(size) - size
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        name, step = TWO_BYTES[(raw[:-1].astype(np.uint16) << np.uint16(8)) | raw[1:]], 2
+        while step < ANCHOR:
+            name, step = doubled(name, step, step), 2 * step
+        self.names, self.bytes = name, len(raw)
+        low = (name & ~PLACE) | np.arange(len(name), dtype=np.uint64)
+        span = 1
+        while span * 2 <= WINDOW:
+            low, span = np.minimum(low[:-span], low[span:]), span * 2
+        low = np.minimum(low[: len(low) - (WINDOW - span)], low[WINDOW - span :])
+        segment, self.window = spread(begin, begin + size - LENGTH)
+        where = (low[self.window] & PLACE).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        self.first, self.last = self.window[edge], self.window[np.concatenate([edge[1:], [len(where)]]) - 1]
+        self.at, segment = where[edge], segment[edge]
+        self.row, self.shift = np.array(row)[segment], (np.array(start) - begin)[segment]
+        self.anchor = name[self.at]
+
+    @cached_property
+    def half(self) -> np.ndarray:
+        return doubled(self.names, ANCHOR, ANCHOR)
+
+    @cached_property
+    def full(self) -> np.ndarray:
+        return self._longer(LENGTH)
+
+    @cached_property
+    def core(self) -> np.ndarray:
+        return self._longer(CORE)
+
+    def _longer(self, size: int) -> np.ndarray:
+        return pair(self.half[: self.bytes - size + 1], self.half[size - 2 * ANCHOR : self.bytes - 2 * ANCHOR + 1])
 
+    def run_names(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        shape = ((at - first) * WINDOW + (last - at + WINDOW)).astype(np.uint64)
+        return pair(pair(self.full[first], self.full[last]), shape)
 
-def texts(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bytes, int]]:
-    for row, (key, mark, value) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True)):
-        yield (key, mark), (value.as_py() or "").encode(), row
+    def split(self, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs in the sorted `wanted` in grains: number of the run, grain, first and last window."""
+        mine = np.flatnonzero(among(self.row * ROW + self.at + self.shift, wanted))
+        row, grain = spread((self.at - self.last)[mine] // GRAIN, (self.at - self.first)[mine] // GRAIN)
+        run = mine[row]
+        return run, grain, np.maximum(self.first[run], self.at[run] - grain * GRAIN - GRAIN + 1), np.minimum(self.last[run], self.at[run] - grain * GRAIN)
 
+    def grain_places(self, run: np.ndarray, grain: np.ndarray) -> np.ndarray:
+        return (self.row[run] * ROW + self.at[run] + self.shift[run]) * GRAINS + grain
 
-def sent(found: Iterator[tuple[np.ndarray, ...]], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """In batches of about `rows`."""
-    out, held = [], 0
-    for x in found:
-        out.append(x)
-        held += len(x[0])
-        if held >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], NAMED)
-            out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], NAMED)
 
+def blocks(texts: list[bytes]) -> Iterator[Block]:
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        for start in range(0, len(text) - LENGTH + 1, BLOCK):
+            held.append((row, start, text[start : start + BLOCK + LENGTH - 1]))
+            size += len(held[-1][2])
+            if size >= BLOCK // 2:
+                yield Block(held)
+                held, size = [], 0
+    if held:
+        yield Block(held)
 
-NAMED = ["anchor", "name", "doc_id", "place"]
-TAG_BITS = 20
 
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [(x.as_py() or "").encode() for x in batch.column("text")]
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of each text."""
 
-    def each():
-        for batch in batches:
-            for mark, text, _ in texts(batch):
-                if found := [(p.anchor, p.run_names(p.at, p.first, p.last), p.at) for p in parts(text)]:
-                    yield firsts(found, mark)
+def listed(batch: pa.RecordBatch, column: str, unit: int) -> np.ndarray:
+    """The places of a list column, sorted, with their row before them; `unit` is above all places."""
+    lists = batch.column(column)
+    size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    return np.sort(row * unit + (lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) >> TAG_BITS))
 
-    return sent(each())
 
+def sent(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """(anchor, name, row, place) of a batch: the first of each name of a text, with document and tag."""
+    if not found:
+        return
+    anchor, name, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    kept = np.sort(np.unique(pair(name, row.astype(np.uint64)), return_index=True)[1])
+    row = row[kept]
+    doc, tag = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "tag"))
+    columns = (anchor[kept].view(np.int64), name[kept].view(np.int64), doc, (place[kept] << TAG_BITS) | tag)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], NAMED)
 
-def _grains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The grains of the runs at `places`, under the name of what their windows share."""
 
-    def each():
-        for batch in batches:
-            for mark, text, row in texts(batch):
-                wanted, found = listed(batch, "places", row), []
-                for p in parts(text):
-                    at, anchor, grain, first, last = p.split(wanted)
-                    shared = pair(pair(anchor, p.core[at - grain * GRAIN - p.base]), grain.astype(np.uint64))
-                    found.append((shared, p.run_names(at, first, last), at * GRAINS + grain))
-                if found:
-                    yield firsts(found, mark)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text."""
+    for batch in batches:
+        yield from sent(batch, [(b.anchor, b.run_names(b.at, b.first, b.last), b.row, b.at + b.shift) for b in blocks(texts_of(batch))])
+
 
-    return sent(each())
+def _grains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grains of the runs at `places`, under the name of what their windows share."""
+    for batch in batches:
+        wanted, found = listed(batch, "places", ROW), []
+        for b in blocks(texts_of(batch)):
+            run, grain, first, last = b.split(wanted)
+            shared = pair(pair(b.anchor[run], b.core[b.at[run] - grain * GRAIN]), grain.astype(np.uint64))
+            found.append((shared, b.run_names(b.at[run], first, last), b.row[run], (b.at + b.shift)[run] * GRAINS + grain))
+        yield from sent(batch, found)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the grains at `places`."""
-
-    def each():
-        for batch in batches:
-            for mark, text, row in texts(batch):
-                wanted, found = listed(batch, "places", row), []
-                for p in parts(text):
-                    at, anchor, grain, first, last = p.split(np.unique(wanted // GRAINS))
-                    mine = among(at * GRAINS + grain, wanted)
-                    row, start = spread(first[mine], last[mine])
-                    found.append((anchor[mine][row], pair(p.full[start - p.base], (at[mine][row] - start).astype(np.uint64)), start))
-                if found:
-                    yield firsts(found, mark)
-
-    return sent(each())
-
-
-def listed(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
-    value = batch.column(column)[row]
-    return np.sort(value.values.to_numpy() >> TAG_BITS) if value.is_valid else np.zeros(0, np.int64)
-
-
-def removed(text: bytes, runs: np.ndarray, grains: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Whether each byte goes, from the sorted places of the runs, grains and windows that are all new. Other windows are repeats."""
-    change = np.zeros(len(text) + 1, np.int32)
-    if len(text) >= LENGTH:
-        new = np.zeros(len(text) - LENGTH + 2, np.int32)
-        for p in parts(text):
-            mine = among(p.at, runs)
-            new[p.first[mine]] += 1
-            new[p.last[mine] + 1] -= 1
-            at, _, grain, first, last = p.split(np.unique(grains // GRAINS))
-            mine = among(at * GRAINS + grain, grains)
-            np.add.at(new, first[mine], 1)
-            np.add.at(new, last[mine] + 1, -1)
-        new = np.cumsum(new)[:-1] > 0
-        new[windows] = True
-        starts = np.flatnonzero(~new)
-        change[starts] += 1
-        change[starts + LENGTH] -= 1
-    return np.cumsum(change)[:-1] > 0
+    for batch in batches:
+        wanted, found = listed(batch, "places", ROW * GRAINS), []
+        for b in blocks(texts_of(batch)):
+            run, grain, first, last = b.split(np.unique(wanted // GRAINS))
+            mine = among(b.grain_places(run, grain), wanted)
+            index, start = spread(first[mine], last[mine])
+            run = run[mine][index]
+            found.append((b.anchor[run], pair(b.full[start], (b.at[run] - start).astype(np.uint64)), b.row[run], start + b.shift[run]))
+        yield from sent(batch, found)
+
+
+def repeats(texts: list[bytes], runs: np.ndarray, grains: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
+    """For each text whether its bytes go, from the sorted places of the runs, grains and windows that are all new: any other window
+    is a repeat."""
+    size = np.array([len(t) + 1 for t in texts], np.int64)  # and a byte between texts that stays
+    begin = np.cumsum(size) - size
+    change = np.zeros(size.sum() + 1, np.int32)
+    for b in blocks(texts):
+        new = np.zeros(b.bytes + 1, np.int32)
+        mine = among(b.row * ROW + b.at + b.shift, runs)
+        new[b.first[mine]] += 1
+        new[b.last[mine] + 1] -= 1
+        run, grain, first, last = b.split(np.unique(grains // GRAINS))
+        mine = among(b.grain_places(run, grain), grains)
+        index, at = spread(first[mine], last[mine])
+        known = np.cumsum(new) > 0
+        known[at] = True
+        owner = np.searchsorted(b.first, b.window, "right") - 1
+        start, row = b.window + b.shift[owner], b.row[owner]
+        old = ~known[b.window] & ~among(row * ROW + start, windows)
+        at = (begin[row] + start)[old]
+        change[at] += 1
+        change[at + LENGTH] -= 1
+    gone = np.cumsum(change) > 0
+    return [gone[a : a + n - 1] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size, start, end, kept = [], [], [], []
-        for _, text, row in texts(batch):
-            own = {kind: listed(batch, kind, row) for kind in KINDS}
-            gone = removed(text, np.setdiff1d(own["run"], own["open_run"]), np.setdiff1d(own["grain"], own["open_grain"]), own["window"])
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            size.append(len(text))
-            start.append(edges[::2])
-            end.append(edges[1::2])
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+        own, texts = {kind: listed(batch, kind, ROW * GRAINS if "grain" in kind else ROW) for kind in KINDS}, texts_of(batch)
+        gone = repeats(texts, np.setdiff1d(own["run"], own["open_run"]), np.setdiff1d(own["grain"], own["open_grain"]), own["window"])
+        edges = [np.flatnonzero(np.diff(g, prepend=False, append=False)) for g in gone]
+        kept = [np.frombuffer(t, np.uint8)[~g].tobytes() if g.any() else t for t, g in zip(texts, gone, strict=True)]
         spans = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(start, spans), pa.array(end, spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
-
-
-KINDS = ["run", "open_run", "grain", "open_grain", "window"]
-GRAINS = 16  # above WINDOW / GRAIN
+        columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array([e[::2] for e in edges], spans), pa.array([e[1::2] for e in edges], spans), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
 def _earliest(found: DataFrame) -> DataFrame:

@@ -3,65 +3,84 @@
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-SEPARATOR = "<|endoftext|>"
-PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
+TAIL = ".,!?;:"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level tokenizers name bytes by printable characters: themselves where they are, else the ones from 256 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Chunks(dict):
+    """Ids of the chunks between white space, found when first asked for. Few enough to stay in the processor's cache."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.find(chunk)
+        return ids
 
 
 class WordTokenizer:
-    """For tokenizers that lower-case, drop white space and never join what it separates. Ids are little-endian unsigned 16 bits.
+    """For byte-level BPE that lower-cases, drops white space and never joins letters with anything else. Ids are little-endian
+    unsigned 16 bits.
 
-    Two bounded caches hold the ids of chunks between white space, and of their cores: a run of letters, lower-cased, and the
-    punctuation after it are separate words to such a tokenizer. Letters outside the Latin blocks and everything else go to the
-    tokenizer as they are."""
+    A run of letters, lower-cased, and the punctuation after it are words of their own to such a tokenizer, so a run of Latin letters can
+    go straight to its BPE model, and its ids are kept for later texts. Everything else goes through the whole tokenizer. What is kept is
+    dropped when it has more than `entries` words."""
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 1_500_000, chunks: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.entries, self.chunks, self.cores = entries, {}, {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.raw = [i.to_bytes(2, "little") for i in range(1 << 16)]
+        self.entries, self.chunk_entries = entries, chunks
+        self.words: dict[str, bytes] = {}
+        self.chunks = Chunks(self._find)
+        probe = "Straßeñé"
+        if self._word(probe.lower()) != self._whole(probe):
+            raise ValueError("not a tokenizer of lower-cased byte-level words")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.chunks) > self.entries:
-            self.chunks.clear()
-        if len(self.cores) > self.entries:
-            self.cores = {"": b""}
-        missing = set().union(*split) - self.chunks.keys()
-        parts = []
-        for chunk in missing:
-            m = PLAIN.fullmatch(chunk)
-            if m and max(m[1]) < "ɐ" and "İ" not in chunk:
-                parts.append((chunk, m[1].lower(), m[2]))
-            else:
-                parts.append((chunk, chunk, ""))
-        self._encode(list({x for p in parts for x in p[1:]} - self.cores.keys()))
-        for chunk, core, tail in parts:
-            self.chunks[chunk] = self.cores[core] + self.cores[tail]
-        return [b"".join(map(self.chunks.__getitem__, s)) for s in split]
-
-    def _encode(self, words: list[str], at_once: int = 2000) -> None:
-        joined = [w for w in words if "<|" not in w]
-        for i in range(0, len(joined), at_once):
-            part = joined[i : i + at_once]
-            ids = self._ids(SEPARATOR.join(part))
-            ends = 2 * np.flatnonzero(ids == self.separator)
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(part, [*ends.tolist(), len(raw)], strict=True):
-                self.cores[word] = raw[start:end]
-                start = end + 2
-        for word in words:
-            if "<|" in word:
-                self.cores[word] = self._ids(word).tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        out = []
+        for text in texts:
+            if len(self.chunks) > self.chunk_entries:
+                self.chunks.clear()
+            if len(self.words) > self.entries:
+                self.words.clear()
+            out.append(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+        return out
+
+    def _find(self, chunk: str) -> bytes:
+        core = chunk.rstrip(TAIL)
+        if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
+            word, tail = core.lower(), chunk[len(core) :]
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.words[word] = self._word(word)
+            return ids + self.chunks[tail] if tail else ids
+        ids = self.words.get(chunk)
+        if ids is None:
+            ids = self.words[chunk] = self._whole(chunk)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(named)])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 @lru_cache(maxsize=2)
