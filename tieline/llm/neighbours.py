@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tieline.llm.common import pick, stored
 
+SPACING = 0.2
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -81,14 +82,14 @@ class Lists:
 
     def postings(self, x: np.ndarray, slack: float, copies: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the nearest list, and for vectors near a border others within `slack` of its distance, unless a list taken
-        is nearer to them than the vector is."""
+        is so near to them that it stands for them: nearer than `SPACING` times the vector's distance."""
         ids, gaps = self.search(self.lift(x), 4 * copies)
         taken = np.zeros(ids.shape, bool)
         taken[:, 0] = True
         for c in range(1, ids.shape[1]):
             near = (gaps[:, c] <= (1 + slack) * gaps[:, 0]) & (taken.sum(1) < copies)
             between = np.sqrt(((self.centroids[ids[:, :c]] - self.centroids[ids[:, c]][:, None]) ** 2).sum(2))
-            taken[:, c] = near & ~(taken[:, :c] & (between < gaps[:, c : c + 1])).any(1)
+            taken[:, c] = near & ~(taken[:, :c] & (between < SPACING * gaps[:, c : c + 1])).any(1)
         row, column = np.nonzero(taken)
         return row, ids[row, column]
 
@@ -133,7 +134,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000, list_rows: int = 256, most_lists: int = 4096, slack: float = 0.1, copies: int = 4, ratio: float = 1.25, width: int = 192, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000, list_rows: int = 2048, most_lists: int = 4096, slack: float = 0.1, copies: int = 4, ratio: float = 1.06, width: int = 128, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest found of the rows for which `is_query(vec_id)` holds, their own rows left out.
 
     Centroids are fitted on a sample of at most `sample_rows` vectors; every vector is in a list, those near borders in up to `copies`. A

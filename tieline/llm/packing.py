@@ -20,32 +20,40 @@ PIECE_COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids): 16-bit ids with the end id; null text is empty."""
+    """(doc_id, ids, terms): 16-bit ids with the end id; null text is empty. Each task adds a row without ids, whose terms are how many of
+    its documents hold each id, as 32-bit pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(tokenizer), np.array([END], "<u2").tobytes()
+        total, here = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, bool)
         for batch in batches:
-            ids = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            rows = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
+            for ids in rows:
+                here[np.frombuffer(ids, "<u2")] = True
+                found = np.flatnonzero(here)
+                total[found] += 1
+                here[found] = False
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], ["doc_id", "ids", "terms"])
+        found = np.flatnonzero(total)
+        terms = np.stack([found.astype("<u4"), total[found]], 1).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([terms], pa.binary())], ["doc_id", "ids", "terms"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary, terms binary")
 
 
-def document_frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, df) over all documents; each task sends one row per id at most."""
+def document_frequencies(terms: DataFrame) -> DataFrame:
+    """(id, df) over all documents, from the rows with terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, here = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                here[np.frombuffer(ids.as_buffer(), "<u2")] = True
-                found = np.flatnonzero(here)
-                total[found] += 1
-                here[found] = False
+            for x in batch.column("terms"):
+                pairs = np.frombuffer(x.as_buffer(), "<u4").reshape(-1, 2)
+                total[pairs[:, 0]] += pairs[:, 1]
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["id", "df"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
+    return terms.select("terms").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
 
 
 class Index:
@@ -59,17 +67,38 @@ class Index:
         count = np.concatenate([c for _, c in found]).astype(float)
         doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / mean))
-        used = np.flatnonzero(weight > 0)
+        # Postings of terms in an eighth of the documents are kept as rows over all of them, which add up faster.
+        self.n = len(docs)
+        often = np.flatnonzero(np.bincount(term, minlength=len(idf)) * 8 > self.n)
+        self.place = np.full(len(idf), -1)
+        self.place[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n))
+        frequent = self.place[term] >= 0
+        self.rows[self.place[term[frequent]], doc[frequent]] = weight[frequent]
+        used = np.flatnonzero((weight > 0) & ~frequent)
         order = used[np.argsort(term[used], kind="stable")]
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = len(docs)
 
     def scores(self, doc: int) -> np.ndarray:
-        begin, end = self.begin[self.terms[doc]], self.begin[self.terms[doc] + 1]
+        terms = self.terms[doc]
+        place = self.place[terms]
+        begin, end = self.begin[terms], self.begin[terms + 1]
         size = end - begin
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self.rows[place[place >= 0]].sum(0)
+
+
+def best_first(scores: np.ndarray, rest: np.ndarray, some: int = 64) -> Iterator[np.ndarray]:
+    """`rest` by falling score, the first `some` at once and then all others."""
+    order = -scores[rest]
+    if len(rest) > 4 * some:
+        top = np.sort(np.argpartition(order, some)[:some])
+        yield rest[top[np.argsort(order[top], kind="stable")]]
+        others = np.ones(len(rest), bool)
+        others[top] = False
+        rest, order = rest[others], order[others]
+    yield rest[np.argsort(order, kind="stable")]
 
 
 def fill(sizes: np.ndarray, index: Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -90,10 +119,8 @@ def fill(sizes: np.ndarray, index: Index, window: int) -> Iterator[list[tuple[in
         room -= out[0][2]
         rest = np.flatnonzero(free)
         if room and len(rest):
-            ranked = rest[np.argsort(-index.scores(seed)[rest], kind="stable")]
             best = None
-            for start in range(0, len(ranked), 64):
-                part = ranked[start : start + 64]
+            for part in best_first(index.scores(seed), rest):
                 for d in part[sizes[part] <= room].tolist():
                     if sizes[d] <= room:
                         out.append((d, 0, int(sizes[d])))
@@ -124,11 +151,12 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, shard_tokens: in
     spark = docs.sparkSession
     bounded_batches(spark)
     size = (F.length("ids") / 2).cast("long")
-    tokens = stored(tokenised(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    both = stored(tokenised(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens, terms = both.filter("terms IS NULL").drop("terms"), both.filter("terms IS NOT NULL")
     n, total, tails = tokens.agg(F.count("*"), F.sum(size), F.sum(size % window)).first()
     shards = max(1, -(-(tails or 0) // shard_tokens))
     frequency = np.zeros(1 << 16)
-    for r in document_frequencies(tokens).collect():  # one row for each id of the tokenizer at most
+    for r in document_frequencies(terms).collect():  # one row for each id of the tokenizer at most
         frequency[r.id] = r.df
     idf = spark.sparkContext.broadcast(np.where(frequency > 0, np.maximum(0, np.log((n - frequency + 0.5) / (frequency + 0.5))), 0))
     mean = (total or 1) / max(1, n)
