@@ -236,7 +236,7 @@ def _profile(tables):
 
 
 @query("norm_profile_lists", """, named AS (SELECT ws, person_id, employment_id, CASE WHEN company_name IS NOT NULL AND title IS NOT NULL THEN title || ' — ' || company_name ELSE title END AS v FROM employment_all)
-  SELECT person_id::VARCHAR AS ws, left(string_agg(v, '; ' ORDER BY employment_id), 8000) AS field_value FROM named WHERE v IS NOT NULL GROUP BY person_id""")
+  SELECT person_id::VARCHAR AS ws, string_agg(v, '; ' ORDER BY employment_id) AS field_value FROM named WHERE v IS NOT NULL GROUP BY person_id""")
 def _lists(tables):
     raw = raw_rows(tables.employment, "certifications", F.col("employment_id"), {"name": F.col("title"), "authority": F.col("company_name")}, ws="person_id")
     return run(nz.normalize_profile_lists, raw).union("profile_fields").select("ws", "field_value")

@@ -199,10 +199,6 @@ def parse_count(c: Column) -> Column:
     return F.greatest(F.coalesce(digits.try_cast("int"), F.lit(0)), F.lit(0))
 
 
-def truncate(c: Column, limit: int) -> Column:
-    return F.substring(c, 1, limit)
-
-
 def key_of(c: Column) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit(""))))
 

@@ -21,13 +21,24 @@ def dedupe_first(df: DataFrame, keys: list[str], order: str = "ord") -> DataFram
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
+def one_per_key(batch: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
+    """A batch with repeated keys reduced by the rules: EITHER, LARGEST and SUM over all rows of a key, the other columns from the
+    largest row, so that the outcome does not depend on the order of rows. The join on the same keys needs no further shuffle."""
+    over = {EITHER: F.bool_or, LARGEST: F.max, SUM: F.sum}
+    rest = [c for c in batch.columns if c not in keys and rules.get(c) not in over]
+    folded = [over[rules[c]](c).alias(c) for c in batch.columns if rules.get(c) in over]
+    grouped = batch.groupBy(*keys).agg(F.max(F.struct(F.lit(True).alias("_held"), *rest)).alias("_row"), *folded)
+    return grouped.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in batch.columns])
+
+
 def merge_rows(stored: DataFrame, batch: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
     """Stored rows after the batch, with `inserted` telling new rows from known ones.
-    Keys must be unique and non-null on both sides. Applying the same batch again changes nothing,
+    Keys must be non-null, and unique among stored rows; a batch may repeat them. Applying the same batch again changes nothing,
     unless a SUM rule is used."""
     unknown = set(rules.values()) - set(RULES)
     if unknown:
         raise ValueError(f"unknown merge rules {sorted(unknown)}")
+    batch = one_per_key(batch, keys, rules)
     s, b = stored.withColumn("_old", F.lit(True)).alias("s"), batch.withColumn("_new", F.lit(True)).alias("b")
     joined = s.join(b, [F.col(f"s.{k}") == F.col(f"b.{k}") for k in keys], "full_outer")
     old, new = F.col("s._old").isNotNull(), F.col("b._new").isNotNull()

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.functions import dates, fixed_values as fv, text as t
 from tieline.operators import identity
@@ -120,7 +120,7 @@ def normalize_profile(raw: DataFrame, owner: DataFrame, out: Canonical) -> None:
     columns = {c: F.col(c) for c in ("name", "first_name", "last_name", "headline", "location", "industry", "profile_url")}
     out.add("people", _person(rows, **columns, is_self=F.lit(True), confidence=F.lit(100)))
     values = F.array(*[
-        F.struct(F.lit(f).alias("field_name"), t.truncate(t.optional(pick(h)), 8000).alias("field_value"))
+        F.struct(F.lit(f).alias("field_name"), t.optional(pick(h)).alias("field_value"))
         for f, h in (("summary", "summary"), ("websites", "websites"), ("twitter_handles", "twitter handles"), ("maiden_name", "maiden name"))
     ])
     fields = rows.select(*TRACE, "person_key", F.explode(values).alias("f")).select(*TRACE, "person_key", "f.*")
@@ -209,11 +209,9 @@ def normalize_profile_lists(raw: DataFrame, owner: DataFrame, out: Canonical) ->
             value = F.when(detail.isNotNull(), F.concat(value, F.lit(opening), detail, F.lit(closing))).otherwise(value)
         rows = dataset_rows(raw, dataset).withColumn("value", value)
         _judge(out, rows, dataset, F.col("value").isNotNull())
-        # Every entry has a character and a separator, so 8,000 characters hold under 2,700 entries.
-        nth = F.row_number().over(W.partitionBy(*SCOPE, "source_file").orderBy("row_no"))
-        head = rows.filter(F.col("value").isNotNull()).withColumn("_n", nth).filter("_n <= 2700").groupBy(*SCOPE, "source_file").agg(
+        head = rows.filter(F.col("value").isNotNull()).groupBy(*SCOPE, "source_file").agg(
             F.sort_array(F.collect_list(F.struct("row_no", "value"))).alias("v"), F.min("ord").alias("ord"))
-        joined = t.truncate(F.array_join(F.transform("v", lambda x: x["value"]), "; "), 8000)
+        joined = F.array_join(F.transform("v", lambda x: x["value"]), "; ")
         out.add("profile_fields", _owned(head, owner).select(*TRACE, "person_key", F.lit(dataset).alias("field_name"), joined.alias("field_value")))
 
 
@@ -323,7 +321,7 @@ def normalize_recommendations(raw: DataFrame, owner: DataFrame, out: Canonical)
 
 
 def _digest(content: Column) -> Column:
-    return F.substring(F.sha2(F.coalesce(content, F.lit("")), 256), 1, 16)
+    return F.sha2(F.coalesce(content, F.lit("")), 256)
 
 
 def normalize_messages(raw: DataFrame, owner: DataFrame, out: Canonical) -> None:
@@ -352,10 +350,10 @@ def normalize_messages(raw: DataFrame, owner: DataFrame, out: Canonical) -> None
         F.concat_ws("#", "conversation_key", F.coalesce(dates.iso_instant(c("sent_at")), F.concat(F.lit("row"), c("row_no").cast("string"))),
                     _digest(c("content"))).alias("external_id"),
         t.nullif_blank(c("sender")).alias("sender_name"), t.nullif_blank(c("receiver")).alias("recipient_name"),
-        t.truncate(c("subject"), 500).alias("subject"), t.truncate(c("content"), 20000).alias("content"), "sent_at",
+        c("subject").alias("subject"), c("content").alias("content"), "sent_at",
         F.when(c("mine"), "outbound").otherwise("inbound").alias("direction")))
     first = F.struct(
-        t.truncate(F.coalesce("topic", "counterpart_name"), 300).alias("title"),
+        F.coalesce("topic", "counterpart_name").alias("title"),
         "counterpart_name", "counterpart_url", "source_file")
     out.add("conversations", rows.groupBy(*SCOPE, "conversation_key").agg(F.min_by(first, "ord").alias("f"), F.min("ord").alias("ord")).select(
         *SCOPE, "conversation_key", "ord", "f.*"))
@@ -377,7 +375,7 @@ def normalize_activities(raw: DataFrame, owner: DataFrame, out: Canonical) -> No
         when = F.coalesce(dates.iso_instant(F.col("at")), F.concat(F.lit("row"), F.col("row_no").cast("string")))
         out.add("activities", rows.filter(usable).select(
             *TRACE, F.concat_ws(":", F.lit(kind), F.coalesce("url", F.lit("")), when, _digest(F.col("content"))).alias("external_id"),
-            F.lit(kind).alias("activity_type"), t.truncate(F.col("content"), 8000).alias("content"), F.col("url").alias("content_url"),
+            F.lit(kind).alias("activity_type"), F.col("content").alias("content"), F.col("url").alias("content_url"),
             F.col("at").alias("created_at")))
 
 
@@ -398,7 +396,7 @@ def normalize_jobs(raw: DataFrame, owner: DataFrame, out: Canonical) -> None:
         kept = rows.filter(usable)
         out.add("job_rows", kept.select(
             *TRACE, F.concat(F.lit(prefix + ":"), F.coalesce("url", F.concat_ws("|", *parts))).alias("external_id"),
-            t.truncate(F.coalesce("position", "company"), 300).alias("title"), c("company").alias("company_name"), "url",
+            F.coalesce("position", "company").alias("title"), c("company").alias("company_name"), "url",
             *[v.alias(k) for k, v in at.items()]))
         _companies(out, kept, c("company"))
 

@@ -78,7 +78,7 @@ def global_search(people: DataFrame, companies: DataFrame, conversations: DataFr
                   term: str, types: list[str] | None = None, limit: int = 20) -> DataFrame:
     """(ws, position, type, id, title, subtitle, detail, score, total); total counts hits within the
     limits of each branch. Each branch keeps its best rows before the branches meet."""
-    term, limit = term.strip(), min(limit, 50)
+    term = term.strip()
     unknown = set(types or []) - set(TYPES)
     if unknown:
         raise ValueError(f"unknown search types {sorted(unknown)}")

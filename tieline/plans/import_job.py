@@ -13,7 +13,7 @@ from tieline.functions import fixed_values as fv, text as t
 from tieline.operators import identity, rollups
 from tieline.operators.merge import dedupe_first
 from tieline.operators.normalize import Canonical, normalize_datasets
-from tieline.plans.warehouse import Warehouse, surrogate
+from tieline.plans.warehouse import Warehouse, delete_folder, surrogate
 from tieline.session import run_together
 from tieline.sources import archive, catalogue, delimited
 
@@ -33,6 +33,9 @@ class Stage:
         writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def drop(self) -> None:
+        delete_folder(self.spark, self.root)
+
 
 def scan(stage: Stage, uploads: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries without content, file summaries with dataset, raw rows by dataset)."""
@@ -63,7 +66,7 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
     one = lambda name: canonical.tables[name][0]
     people = stage.keep("people_0", one("people"))
 
-    companies = one("companies").withColumn("name", t.truncate(c("name"), 300)).withColumn("company_id", surrogate("ws", "company_key"))
+    companies = one("companies").withColumn("company_id", surrogate("ws", "company_key"))
     zero = {k: F.lit(0) for k in ("connection_count", "current_count", "former_count")}
     companies = _latest(stamp, companies).withColumns(zero)
 
@@ -72,8 +75,7 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
     moved = lambda df: identity.remap_keys(df, remap).withColumn("person_id", surrogate("ws", "person_key"))
     # A weak row and the strong row it turns out to be may both be in this import; the first one stands.
     rows = dedupe_first(identity.remap_keys(people, remap), [*SCOPE, "person_key"]).withColumns({
-        "person_id": surrogate("ws", "person_key"), "name": t.truncate(c("name"), 300), "headline": t.truncate(c("headline"), 500),
-        "current_company": t.truncate(c("current_company"), 300), "current_title": t.truncate(c("current_title"), 300),
+        "person_id": surrogate("ws", "person_key"),
         "interaction_count": F.lit(0), "last_interaction_at": F.lit(None).cast("timestamp_ntz")})
     batch = stage.keep("people", _latest(stamp, rows))
     merges = {"companies": companies, "people": batch}
@@ -90,20 +92,18 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
     low = lambda x: F.lower(F.coalesce(x, F.lit("")))
     key = t.nullif_blank(t.company_key(c("company_name")))
     employment = employment.withColumns({
-        "company_key": key, "company_name": t.truncate(c("company_name"), 300), "title": t.truncate(c("title"), 300),
-        "description": t.truncate(c("description"), 4000)}).withColumns({
+        "company_key": key}).withColumns({
         "employment_id": surrogate("ws", "person_id", low(c("company_name")), low(c("title")), F.coalesce("start_date", F.lit(""))),
         "company_id": F.when(c("company_key").isNotNull(), surrogate("ws", "company_key"))})
     merges["employment"] = _latest(stamp, employment).withColumn("observed_at", c("_at"))
 
     same = {f"_{x}": t.comparison_key(c(x)) for x in ("school", "degree", "field_of_study")}
-    education = dedupe_first(child("education").withColumns(same), [*SCOPE, "person_id", *same]).withColumns(
-        {x: t.truncate(c(x), 300) for x in ("school", "degree", "field_of_study")})
+    education = dedupe_first(child("education").withColumns(same), [*SCOPE, "person_id", *same])
     education = education.withColumn("education_id", surrogate("ws", "person_id", low(c("school")), low(c("degree")), low(c("field_of_study"))))
     merges["education"] = _latest(stamp, education)
 
     skills = child("skills").groupBy(*SCOPE, "person_id", F.lower("skill").alias("skill_key")).agg(
-        t.truncate(F.min_by("skill", "ord"), 200).alias("skill"), F.sum("points").alias("endorsements"))
+        F.min_by("skill", "ord").alias("skill"), F.sum("points").alias("endorsements"))
     merges["skills"] = _latest(stamp, skills)
     merges["emails"] = _latest(stamp, dedupe_first(child("emails"), [*SCOPE, "person_id", "email"]))
     merges["phone_numbers"] = _latest(stamp, dedupe_first(child("phone_numbers"), [*SCOPE, "person_id", "phone_number"]))
@@ -210,7 +210,8 @@ def summarise(warehouse: Warehouse, uploads: DataFrame, entries: DataFrame, outc
 
 
 def run_wave(warehouse: Warehouse, uploads: DataFrame, completed_at: str, max_rows: int | None = None) -> None:
-    """Import at most one upload per workspace."""
+    """Import at most one upload per workspace. The run's folder goes when everything is merged; a run that fails leaves it, and it can be
+    deleted by hand, as later runs do not read it."""
     stage = Stage(warehouse.spark, warehouse.root)
     uploads = stage.keep("uploads", uploads)
     entries, files, raw = scan(stage, uploads, max_rows)
@@ -225,6 +226,7 @@ def run_wave(warehouse: Warehouse, uploads: DataFrame, completed_at: str, max_ro
     sums = archive.upload_checksums(named)
     first = named.groupBy(*SCOPE).agg(F.min("filename").alias("filename"), F.min("uploaded_at").alias("uploaded_at"))
     warehouse.merge("imports", stage.keep("imports", summarise(warehouse, first, entries, per_file, sums, completed_at)), done["buckets"])
+    stage.drop()
 
 
 def run_import(warehouse: Warehouse, uploads: DataFrame, completed_at: str, max_rows: int | None = None) -> int:

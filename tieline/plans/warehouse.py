@@ -5,6 +5,8 @@ swaps partitions in at commit; a failed job leaves the old files in place."""
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -105,9 +107,38 @@ def surrogate(*parts):
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+LAYOUT = threading.Lock()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that this package wrote itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    """The number of buckets is stored with the tables when the first one is written. It is read back when a warehouse is opened;
+    asking for another one is an error, as rows would be sought and written in the wrong buckets."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.spark, self.root = spark, root.rstrip("/")
+        held = self._layout()
+        if held is not None and buckets not in (None, held):
+            raise ValueError(f"{self.root} has {held} buckets, not {buckets}")
+        self.buckets = held or buckets or BUCKETS
+
+    def _layout(self) -> int | None:
+        if not self.exists("_layout"):
+            return None
+        return self.spark.read.schema("buckets int").json(self.path("_layout")).first()["buckets"]
+
+    def _keep_layout(self) -> None:
+        with LAYOUT:  # tables are written from several threads
+            held = self._layout()
+            if held is None:
+                self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.mode("ignore").json(self.path("_layout"))
+            elif held != self.buckets:
+                raise ValueError(f"{self.root} has {held} buckets, not {self.buckets}")
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -138,6 +169,7 @@ class Warehouse:
     def overwrite(self, table: str, rows: DataFrame) -> None:
         """Replace the buckets present in `rows`. Writers get rows of one bucket from several tasks,
         so a workspace that holds most rows is still written in parallel."""
+        self._keep_layout()
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema(table).fields])
         (typed.withColumn("bucket", self.bucket()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(self.path(table)))
@@ -145,7 +177,7 @@ class Warehouse:
     def replace(self, table: str, rows: DataFrame, buckets: list[int]) -> None:
         """As `overwrite`, for recomputed rows of given buckets; buckets left empty are cleared too."""
         before = set(self.touched(self.read(table, buckets)))
-        staged = f"{self.root}/_staged/{table}"
+        staged = f"{self.root}/_staged/{table}-{uuid.uuid4().hex}"
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema(table).fields])
         typed.write.mode("overwrite").parquet(staged)
         held = self.spark.read.schema(self.schema(table)).parquet(staged)
@@ -155,6 +187,7 @@ class Warehouse:
         for bucket in sorted(before - after):
             path = gone(f"{self.path(table)}/bucket={bucket}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.spark, staged)
 
     def merge(self, table: str, batch: DataFrame, buckets: list[int] | None = None) -> None:
         """Merge a batch by natural key. The batch should be stored data, as it is read more than once."""
@@ -187,7 +220,7 @@ def delete_import(warehouse: Warehouse, import_ids: DataFrame, with_data: bool)
     removed = 0
     if with_data:
         # The list is stored first, because the tables it is read from are rewritten below.
-        path = f"{warehouse.root}/_staged/removed"
+        path = f"{warehouse.root}/_staged/removed-{uuid.uuid4().hex}"
         imported_only_by(warehouse.read("people", buckets), import_ids).select("ws", "person_id").write.mode("overwrite").parquet(path)
         gone = warehouse.spark.read.parquet(path)
         removed = gone.count()
@@ -222,6 +255,6 @@ def append_snapshots(warehouse: Warehouse, summary: DataFrame, now: str, metric_
     at = F.lit(now).cast("timestamp_ntz")
     rows = summary.select("ws", at.alias("snapshot_at"), F.lit(metric_type).alias("metric_type"), F.to_json(F.struct(*summary.columns)).alias("metric_data"))
     due = due_snapshots(rows, warehouse.read("snapshots"), warehouse.read("imports"), now)
-    path = f"{warehouse.root}/_staged/snapshot_rows"
+    path = f"{warehouse.root}/_staged/snapshot_rows-{uuid.uuid4().hex}"
     due.write.mode("overwrite").parquet(path)
     warehouse.merge("snapshots", warehouse.spark.read.parquet(path))

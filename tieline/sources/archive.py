@@ -60,6 +60,16 @@ def extension(filename: str) -> str:
     return found[0].lower() if found else ""
 
 
+def numbered(path: str, taken: set[str]) -> str:
+    """The path, with a number for the second and later members of one name, so that each member is a file of its own."""
+    entry, n = path, 1
+    while entry in taken:
+        n += 1
+        entry = f"{path}#{n}"
+    taken.add(entry)
+    return entry
+
+
 def members(content: bytes, limits: dict[str, int]) -> Iterator[dict]:
     """Entries of one ZIP: each with content, or with the reason it was refused, or one error row."""
     if not content:
@@ -75,32 +85,33 @@ def members(content: bytes, limits: dict[str, int]) -> Iterator[dict]:
         yield {"error_code": "MALFORMED_ARCHIVE"}
         return
     # Sizes come from the directory; reading stops at the declared size, so a false one cannot inflate further.
-    chosen, refused, total = [], [], 0
+    chosen, refused, total, taken = [], [], 0, set()
     for info in infos:
         path = info.filename.replace("\\", "/")
+        entry = numbered(path, taken)
         reason = reject_reason(path)
         if reason is None and len(chosen) >= limits["max_entries"]:
             reason = fv.ARCHIVE_REASONS["many"].format(n=limits["max_entries"])
         if reason is None and info.file_size > limits["max_entry_bytes"]:
             reason = fv.ARCHIVE_REASONS["large"].format(n=round(limits["max_entry_bytes"] / 1024 / 1024))
         if reason is not None:
-            refused.append({"entry_path": path[:120], "reject_reason": reason})
+            refused.append({"entry_path": entry, "name": path, "reject_reason": reason})
             continue
         total += info.file_size
-        chosen.append((path, info))
+        chosen.append((entry, path, info))
     if total > limits["max_total_bytes"]:
         yield {"error_code": "ARCHIVE_BOMB"}
         return
     yield from refused
     read = 0
-    for path, info in chosen:
+    for entry, path, info in chosen:
         try:
             data = archive.read(info)
         except Exception:  # a damaged member must not stop the others
-            yield {"entry_path": path[:120], "reject_reason": fv.ARCHIVE_REASONS["broken"]}
+            yield {"entry_path": entry, "name": path, "reject_reason": fv.ARCHIVE_REASONS["broken"]}
             continue
         read += 1
-        yield {"entry_path": path, "content": data, "bytes": len(data)}
+        yield {"entry_path": entry, "name": path, "content": data, "bytes": len(data)}
     if read == 0:
         yield {"error_code": "EMPTY_ARCHIVE_CONTENTS"}
 
@@ -117,7 +128,7 @@ def archive_entries(uploads: DataFrame, limits: dict[str, int] | None = None, lo
                 content = upload.pop("content") or b""
                 held, size = [], 0
                 for entry in members(content, bounds):
-                    path = entry.get("entry_path")
+                    path = entry.pop("name", None)
                     name = path.rstrip("/").split("/")[-1] if path else None
                     held.append({**upload, "filename": name, "extension": extension(name) if name else None, **entry})
                     size += entry.get("bytes", 0)
