@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tieline.functions import classify, text as t
-from tieline.operators.skew import HOT_ROWS, with_previous
+from tieline.operators.skew import with_previous
 
 
 def _keyed(employment: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def _keyed(employment: DataFrame) -> DataFrame:
     ).filter("_key <> ''")
 
 
-def career_moves(people: DataFrame, employment: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def career_moves(people: DataFrame, employment: DataFrame) -> DataFrame:
     """Moves in the order started_on, observed_at, current last, employment_id.
 
     Only each row's predecessor is looked at, so very long histories split by day segments."""
@@ -26,7 +26,7 @@ def career_moves(people: DataFrame, employment: DataFrame, hot_rows: int = HOT_R
     )
     before = F.struct("_key", "company_name", "title")
     segment = F.struct("started_on", F.date_trunc("day", "_observed").alias("day"))
-    paired = with_previous(rows, ["ws", "person_id"], order, segment, before, "_before", hot_rows)
+    paired = with_previous(rows, ["ws", "person_id"], order, segment, before, "_before")
     moved = paired.filter(F.col("_before").isNotNull() & (F.col("_before._key") != F.col("_key")))
     named = moved.join(people.select("ws", "person_id", "name"), ["ws", "person_id"])
     return named.select(

@@ -319,9 +319,9 @@ def shared_context(people: DataFrame, employment: DataFrame, education: DataFram
 
 
 def profile_sections(employment: DataFrame, education: DataFrame, conversations: DataFrame, interactions: DataFrame,
-                     skills: DataFrame, notes: DataFrame | None = None) -> dict[str, DataFrame]:
+                     skills: DataFrame, notes: DataFrame | None = None, interaction_limit: int = 50) -> dict[str, DataFrame]:
     """The child rows of every person's page with their order of display. Rows stay rows: no person's
-    history is gathered into one value. Interactions keep the 50 latest, as the page shows."""
+    history is gathered into one value. Interactions keep the `interaction_limit` latest, as the page shows."""
     recent = F.row_number().over(
         W.partitionBy(*PERSON).orderBy(F.col("occurred_at").desc_nulls_last(), F.col("interaction_id").desc())
     )
@@ -331,7 +331,7 @@ def profile_sections(employment: DataFrame, education: DataFrame, conversations:
         "education": education,
         "skills": skills,
         "conversations": conversations,
-        "interactions": interactions.withColumn("position", recent).filter("position <= 50").select(
+        "interactions": interactions.withColumn("position", recent).filter(F.col("position") <= interaction_limit).select(
             *PERSON, "position", "kind", "occurred_at"),
     }
     if notes is not None:

@@ -11,8 +11,6 @@ from tieline.functions import classify, fixed_values as fv, text as t
 from tieline.functions.templates import fill, number, people_have, plural
 from tieline.plans.report import AnalyticsReport
 
-RECORDS = 50
-
 
 def with_intent(questions: DataFrame, question: Column) -> DataFrame:
     """Adds `intent`, `subject` and `target` to a table of questions. The first rule that holds wins."""
@@ -66,10 +64,12 @@ def intent_of(question: str) -> tuple[str, str | None, str | None]:
 
 class NetworkAnalyst:
     """Answers one question for every workspace at once: `answer` has one row per workspace,
-    `records` up to 50 rows per workspace behind it."""
+    `records` up to `records_shown` rows per workspace behind it (`changed` of them for what changed); rankings list the `top` largest or
+    the `least` smallest bins."""
 
-    def __init__(self, report: AnalyticsReport):
+    def __init__(self, report: AnalyticsReport, records_shown: int = 50, changed: int = 30, top: int = 8, least: int = 5):
         self.report, self.facts = report, report.facts
+        self.records_shown, self.changed, self.top, self.least = records_shown, changed, top, least
 
     # -- rows behind an answer ------------------------------------------------------------------
 
@@ -106,16 +106,16 @@ class NetworkAnalyst:
         """Ranked bins for intents that list bins."""
         if intent == "top_companies":
             rank = F.row_number().over(W.partitionBy("ws").orderBy(F.col("count").desc(), F.col("label").asc()))
-            return self.report.companies.withColumn("_rank", rank).filter("_rank <= 8")
+            return self.report.companies.withColumn("_rank", rank).filter(F.col("_rank") <= self.top)
         if intent == "underrepresented":
             last = F.row_number().over(W.partitionBy("ws").orderBy(F.col("count").asc(), F.col("label").desc()))
-            return self.report.industries.filter("share_of_known > 0").withColumn("_rank", -last).filter("_rank >= -5")
+            return self.report.industries.filter("share_of_known > 0").withColumn("_rank", -last).filter(F.col("_rank") >= -self.least)
         return None
 
     def records(self, question: str) -> DataFrame:
         """(ws, position, person_id, name, detail)."""
         intent, subject, target = intent_of(question)
-        limit = 30 if intent == "what_changed" else RECORDS
+        limit = self.changed if intent == "what_changed" else self.records_shown
         bins = self._bins(intent)
         if bins is not None:
             order = F.row_number().over(W.partitionBy("ws").orderBy("_rank"))

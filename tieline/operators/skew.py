@@ -4,45 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_ROWS = 1_000_000
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], segment: Column, value: Column, out: str) -> DataFrame:
+    """`lag(value)` within `keys` in ascending `order` (nulls first), for groups of any size.
 
-def split_hot(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(cold, hot) rows by the size of their group.
-
-    Sizes come from a map-side combined count. At most rows/threshold groups can be hot, which
-    bounds the broadcast side whatever the input size."""
-    hot_keys = F.broadcast(df.groupBy(*keys).count().filter(F.col("count") > threshold).drop("count"))
-    return df.join(hot_keys, keys, "left_anti"), df.join(hot_keys, keys, "left_semi")
-
-
-def with_previous(df: DataFrame, keys: list[str], order: list[str], segment: Column, value: Column,
-                  out: str, threshold: int = HOT_ROWS) -> DataFrame:
-    """`lag(value)` within `keys` in ascending `order` (nulls first), safe for groups of any size.
-
-    `segment` must be non-decreasing in `order`. Small groups use one window. A hot group is windowed
-    per segment, and each segment's first row takes the last value of the segment before it, found
-    from one summary row per segment."""
+    `segment` must be non-decreasing in `order`. Windows hold the rows of one segment of a group; a segment's first row takes the last
+    value of the segment before it, found from one row per segment."""
     forward = [F.col(c).asc_nulls_first() for c in order]
     backward = [F.col(c).desc_nulls_last() for c in order]
-    cold, hot = split_hot(df, keys, threshold)
-    cold = cold.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*forward)))
-
-    hot = hot.withColumn("_segment", segment)
+    rows = df.withColumn("_segment", segment)
     inside = W.partitionBy(*keys, "_segment").orderBy(*forward)
-    hot = hot.withColumn(out, F.lag(value).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    last_rank = F.row_number().over(W.partitionBy(*keys, "_segment").orderBy(*backward))
-    ends = hot.withColumn("_end", last_rank).filter("_end = 1").select(*keys, "_segment", value.alias("_last"))
-    carried = ends.withColumn(
-        "_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy(F.col("_segment").asc_nulls_first()))
-    ).drop("_last")
+    rows = rows.withColumn(out, F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    last = F.row_number().over(W.partitionBy(*keys, "_segment").orderBy(*backward)) == 1
+    ends = rows.withColumn("_end", last).filter("_end").select(*keys, "_segment", value.alias("_last"))
+    between = W.partitionBy(*keys).orderBy(F.col("_segment").asc_nulls_first())
+    carried = ends.withColumn("_carried", F.lag("_last").over(between)).drop("_last")
     same = [F.col(f"h.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_segment"]]
-    joined = hot.alias("h").join(carried.alias("c"), same, "left")
-    hot = joined.select(
+    joined = rows.alias("h").join(carried.alias("c"), same, "left")
+    return joined.select(
         *[F.col(f"h.{c}").alias(c) for c in df.columns],
         F.when(F.col("h._first"), F.col("c._carried")).otherwise(F.col(f"h.{out}")).alias(out),
     )
-    return cold.unionByName(hot)
-

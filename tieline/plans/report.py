@@ -113,14 +113,14 @@ class AnalyticsReport:
         }
         return out
 
-    def compact(self) -> dict[str, DataFrame]:
-        """As `tables`, with the long lists cut to what a report shows."""
+    def compact(self, shown: dict[str, int] | None = None) -> dict[str, DataFrame]:
+        """As `tables`, with the long lists cut to what a report shows; `shown` overrides the lengths by list."""
         out = self.tables()
         orders = {
             "career_moves": ["person_id", "employment_id"], "career_flows": [F.col("count").desc(), "from_label", "from_key", "to_key"],
             "company_changes": ["person_id", "from", "to"], "title_changes": ["person_id", "from", "to"],
         }
-        for name, limit in SHOWN.items():
+        for name, limit in {**SHOWN, **(shown or {})}.items():
             rank = F.row_number().over(W.partitionBy("ws").orderBy(*orders.get(name, ["person_id"])))
             out[name] = out[name].withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
         return out

@@ -94,7 +94,7 @@ TABLES = {
         "records_imported long, records_rejected long, status string, reason string, warnings array<string>, errors array<string>"),
     # User-authored; imports never write these.
     "tags": Table(["ws", "tag_key"], {"tag": K}, "ws string, tag_key string, tag string"),
-    "person_tags": Table(["ws", "person_id", "tag_key"], {}, "ws string, person_id string, tag_key string"),
+    "person_tags": Table(["ws", "person_id", "tag_key"], {"tag": K}, "ws string, person_id string, tag_key string, tag string"),
     "segments": Table(["ws", "segment_key"], {"name": K, "description": R, "query": R, "created_at": K, "updated_at": R},
         "ws string, segment_key string, name string, description string, query string, created_at timestamp_ntz, updated_at timestamp_ntz"),
     "snapshots": Table(["ws", "snapshot_at", "metric_type"], {"metric_data": R},

@@ -155,9 +155,9 @@ def file_summaries(scanned: DataFrame) -> DataFrame:
     return scanned.filter("row_no = 0").drop("row_no", "row")
 
 
-def delimiter_of(sample: Column) -> Column:
+def delimiter_of(sample: Column, lines_seen: int = 25) -> Column:
     """The same choice as a Column, for text that already is one: at most 25 lines are scored."""
-    lines = F.slice(F.filter(F.split(sample, r"\r?\n"), lambda line: F.trim(line) != ""), 1, 25)
+    lines = F.slice(F.filter(F.split(sample, r"\r?\n"), lambda line: F.trim(line) != ""), 1, lines_seen)
     bare = F.transform(lines, lambda line: F.regexp_replace(line, r'"(?:[^"]|"")*("|$)', ""))
 
     def score(d: str) -> Column:
