@@ -98,9 +98,9 @@ def grams(words: Column, n: int) -> Column:
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    """`df` (text) with w1, w2, w3: distinct words, pairs and triples of neighbours."""
-    df = df.withColumn("w", words_of(F.col("text")))
-    return df.withColumn("w1", F.array_distinct("w")).withColumn("w2", F.array_distinct(grams(F.col("w"), 2))).withColumn("w3", F.array_distinct(grams(F.col("w"), 3))).drop("w")
+    """`df` (text) with w1, w2, w3: words, pairs and triples of neighbours."""
+    df = df.withColumn("w1", words_of(F.col("text")))
+    return df.withColumn("w2", grams(F.col("w1"), 2)).withColumn("w3", grams(F.col("w1"), 3))
 
 
 def notices(spark: SparkSession, variants: int = 24) -> DataFrame:
@@ -148,7 +148,7 @@ class Scanner:
         spark = SparkSession.getActiveSession()
         texts = [t for f in families for t in TEMPLATES[f]]
         known = spark.createDataFrame([(t,) for t in texts], "text string")
-        parts = [r.w2 for r in with_grams(known).collect()]
+        parts = [list(dict.fromkeys(r.w2)) for r in with_grams(known).collect()]
         shares = [F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in p]))) / F.lit(len(p)) for p in parts]
         return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
