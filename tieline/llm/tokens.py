@@ -20,12 +20,18 @@ def byte_letters() -> dict[int, str]:
 class Chunks(dict):
     """Ids of the chunks between white space, found when first asked for. Few enough to stay in the processor's cache."""
 
-    def __init__(self, find):
+    def __init__(self, owner: WordTokenizer):
         super().__init__()
-        self.find = find
+        self.words, self.unknown = owner.words, owner.unknown
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.find(chunk)
+        core = chunk.rstrip(TAIL)
+        ids = self.words.get(core.lower())
+        if ids is None:
+            ids = self.unknown(chunk, core)
+        elif len(core) < len(chunk):
+            ids += self[chunk[len(core) :]]
+        self[chunk] = ids
         return ids
 
 
@@ -37,7 +43,7 @@ class WordTokenizer:
     go straight to its BPE model, and its ids are kept for later texts. Everything else goes through the whole tokenizer. What is kept is
     dropped when it has more than `entries` words."""
 
-    def __init__(self, path: str, entries: int = 1_500_000, chunks: int = 60_000):
+    def __init__(self, path: str, entries: int = 1_500_000, chunks: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,8 +52,9 @@ class WordTokenizer:
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.raw = [i.to_bytes(2, "little") for i in range(1 << 16)]
         self.entries, self.chunk_entries = entries, chunks
-        self.words: dict[str, bytes] = {}
-        self.chunks = Chunks(self._find)
+        self.words: dict[str, bytes] = {}  # lower-case runs of Latin letters
+        self.others: dict[str, bytes] = {}
+        self.chunks = Chunks(self)
         probe = "Straßeñé"
         if self._word(probe.lower()) != self._whole(probe):
             raise ValueError("not a tokenizer of lower-cased byte-level words")
@@ -57,22 +64,20 @@ class WordTokenizer:
         for text in texts:
             if len(self.chunks) > self.chunk_entries:
                 self.chunks.clear()
-            if len(self.words) > self.entries:
-                self.words.clear()
+            for kept in (self.words, self.others):
+                if len(kept) > self.entries:
+                    kept.clear()
             out.append(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
         return out
 
-    def _find(self, chunk: str) -> bytes:
-        core = chunk.rstrip(TAIL)
-        if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
-            word, tail = core.lower(), chunk[len(core) :]
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self._word(word)
-            return ids + self.chunks[tail] if tail else ids
-        ids = self.words.get(chunk)
+    def unknown(self, chunk: str, core: str) -> bytes:
+        """Ids of a chunk whose core, without punctuation after it, is not among the words kept."""
+        if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
+            ids = self.words[core.lower()] = self._word(core.lower())
+            return ids + self.chunks[chunk[len(core) :]] if len(core) < len(chunk) else ids
+        ids = self.others.get(chunk)
         if ids is None:
-            ids = self.words[chunk] = self._whole(chunk)
+            ids = self.others[chunk] = self._whole(chunk)
         return ids
 
     def _word(self, word: str) -> bytes:
