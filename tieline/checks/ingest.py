@@ -17,13 +17,13 @@ from tieline.operators.merge import dedupe_first
 from tieline.sources import archive, catalogue, delimited
 from tieline.sources.binding import pick
 
-IMPORT = F.lit("i1")
+IMPORT = "i1"
 
 
 def raw_rows(df, dataset, number, cells, ws="ws", source=None):
     """Raw rows as the file scan would give them: cells by header, as text."""
     cells = F.create_map(*[x for h, c in cells.items() for x in (F.lit(h), F.coalesce(c.cast("string"), F.lit("")))])
-    return df.select(F.col(ws).cast("string").alias("ws"), IMPORT.alias("import_id"), (F.lit(dataset + ".csv") if source is None else source).alias("source_file"),
+    return df.select(F.col(ws).cast("string").alias("ws"), F.lit(IMPORT).alias("import_id"), (F.lit(dataset + ".csv") if source is None else source).alias("source_file"),
                      number.cast("long").alias("row_no"), cells.alias("row"), F.lit(dataset).alias("dataset"))
 
 
@@ -145,7 +145,7 @@ def _dataset(tables):
   FROM (SELECT page_id, 'page-' || page_id || '.html' AS filename, sha256(html) AS digest FROM pages) GROUP BY page_id // 20""", base=False)
 def _checksum(tables):
     files = tables.table("pages").select(
-        F.concat(F.lit("w"), (F.col("page_id") / 20).cast("long").cast("string")).alias("ws"), IMPORT.alias("import_id"),
+        F.concat(F.lit("w"), (F.col("page_id") / 20).cast("long").cast("string")).alias("ws"), F.lit(IMPORT).alias("import_id"),
         F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("html").cast("binary").alias("content"))
     return archive.upload_checksums(files).drop("import_id")
 
@@ -354,7 +354,7 @@ def _person_key(tables):
 def candidate_people(tables):
     """Two strong and one weak sighting per customer name; names repeat over keys 1000 apart."""
     c = F.col
-    base = tables.people.select("ws", IMPORT.alias("import_id"), c("person_id"), F.concat(F.lit("Person "), (c("person_id") % 400).cast("string")).alias("name"), "industry", "location", "email")
+    base = tables.people.select("ws", F.lit(IMPORT).alias("import_id"), c("person_id"), F.concat(F.lit("Person "), (c("person_id") % 400).cast("string")).alias("name"), "industry", "location", "email")
     null = lambda kind="string": F.lit(None).cast(kind)
     rows = base.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     key = F.when(c("copy") == 0, F.concat(F.lit("url:"), c("person_id").cast("string"))).otherwise(F.concat(F.lit("name:"), F.lower("name")))
