@@ -9,6 +9,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tieline.functions.text import let
 from tieline.llm.common import pick, stored
 
 UNKNOWN = "unknown"
@@ -100,7 +101,7 @@ def grams(words: Column, n: int) -> Column:
 def with_grams(df: DataFrame) -> DataFrame:
     """`df` (text) with w1, w2, w3: words, pairs and triples of neighbours."""
     df = df.withColumn("w1", words_of(F.col("text")))
-    return df.withColumn("w2", grams(F.col("w1"), 2)).withColumn("w3", grams(F.col("w1"), 3))
+    return df.withColumn("w2", let(F.col("w1"), lambda w: grams(w, 2))).withColumn("w3", let(F.col("w1"), lambda w: grams(w, 3)))
 
 
 def notices(spark: SparkSession, variants: int = 24) -> DataFrame:
