@@ -68,3 +68,23 @@ def test_graph_search_finds_the_nearest_centroids():
     assert np.mean([len(set(a) & set(b[:20])) for a, b in zip(near, ids)]) >= 9.5
     sizes = np.bincount(lists.postings(rng.normal(size=(3000, 8)), 0.1, 4)[1], minlength=300)
     assert sizes.max() < 12 * sizes.mean()
+
+
+def test_recall_without_clusters_over_hundreds_of_lists(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(12_000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    got, want = found(table(spark, v), list_rows=40), exact(v, 20, 20)
+    assert got.keys() == want.keys()
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.93 * 20 * len(want)
+
+
+def test_all_lists_within_the_ratio_are_probed():
+    rng = np.random.default_rng(5)
+    lists, x = neighbours.Lists(rng.normal(size=(3000, 8)), 6.0, 300), rng.normal(size=(50, 8))
+    gaps = lists.gaps(lists.lift_queries(x))
+    row, at = lists.probes(x, 1.2, 16, np.ones(300, int), 1)
+    assert len(row) > 16 * 50
+    missed = set(zip(*np.nonzero(gaps <= 1.2 * gaps.min(1)[:, None]))) ^ set(zip(row, at))
+    assert len(missed) <= 0.01 * len(row)

@@ -93,13 +93,38 @@ class Lists:
         row, column = np.nonzero(taken)
         return row, ids[row, column]
 
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        """Distances of lifted rows to all centroids."""
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + self.norms - 2 * x @ self.centroids.T, 0))
+
     def probes(self, x: np.ndarray, ratio: float, width: int, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, list): lists within `ratio` of the nearest centroid's distance, and as many as hold `least` rows."""
-        ids, gaps = self.search(self.lift_queries(x), width)
-        held = np.cumsum(rows[ids], axis=1) - rows[ids]
-        taken = ((gaps <= ratio * gaps[:, :1]) | (held < least)) & np.isfinite(gaps)
-        row, column = np.nonzero(taken)
-        return row, ids[row, column]
+        """(query, list): all lists within `ratio` of the nearest centroid's distance, and as many as hold `least` rows. Queries for
+        which a walk of `width` ends within these bounds, and all where lists are few, are compared with every centroid."""
+        x = self.lift_queries(x)
+
+        def within(at: np.ndarray, ids: np.ndarray, gaps: np.ndarray):
+            held = np.cumsum(rows[ids], axis=1) - rows[ids]
+            taken = ((gaps <= ratio * gaps[:, :1]) | (held < least)) & np.isfinite(gaps)
+            more = (taken.sum(1) == np.isfinite(gaps).sum(1)) & (taken.sum(1) < len(self.centroids))
+            row, column = np.nonzero(taken & ~more[:, None])
+            return at[row], ids[row, column], at[more]
+
+        parts, rest = [], np.arange(len(x))
+        if len(self.centroids) > 4 * width:
+            row, found, rest = within(rest, *self.search(x, width))
+            parts.append((row, found))
+        if len(rest):
+            every = self.gaps(x[rest])
+            order = np.argsort(every, axis=1, kind="stable")
+            parts.append(within(rest, order, np.take_along_axis(every, order, 1))[:2])
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.array([], int), np.array([], int))
+
+    def ratio_for(self, x: np.ndarray, wanted: list[tuple[int, list[int]]], recall: float) -> float:
+        """The smallest ratio at which a share `recall` of the `wanted` (query, lists that hold one of its neighbours) is found."""
+        gaps = self.gaps(self.lift_queries(x))
+        near = np.maximum(gaps.min(1), 1e-9 * self.reach)
+        need = np.sort([gaps[q, at].min() / near[q] for q, at in wanted])
+        return float(max(1.0, need[min(len(need) - 1, int(np.ceil(recall * len(need))))])) * (1 + 1e-9)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -126,6 +151,25 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     return query_ids[q[top]], ids[v[top]], score[top]
 
 
+def exact(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the `k` nearest of all `rows` for a bounded set of queries. A task returns its `k` best for each."""
+    dim = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.array([], t) for t in (np.int64, np.int64, np.float64)]
+        for batch in batches:
+            if batch.num_rows:
+                new = best_of(queries, query_ids, matrix(batch.column("embedding"), dim), batch.column("vec_id").to_numpy(), k)
+                q, v, score = (np.concatenate(x) for x in zip(best, new, strict=True))
+                order = np.lexsort((v, -score, q))
+                top = np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k
+                best = [x[order[top]] for x in (q, v, score)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "vec_id", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return rows.mapInArrow(run, FOUND).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the rows that take part; rows that share an id count once, with the least vector."""
     rows = pick(vectors, "vec_id", "embedding").filter("vec_id IS NOT NULL AND size(embedding) > 0")
@@ -134,11 +178,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000, list_rows: int = 2048, most_lists: int = 4096, slack: float = 0.1, copies: int = 4, ratio: float = 1.06, width: int = 128, block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000, list_rows: int = 2048, most_lists: int = 4096, slack: float = 0.1, copies: int = 4, ratio: float = 1.06, recall: float = 0.985, trials: int = 256, width: int = 128, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest found of the rows for which `is_query(vec_id)` holds, their own rows left out.
 
-    Centroids are fitted on a sample of at most `sample_rows` vectors; every vector is in a list, those near borders in up to `copies`. A
-    list longer than `block` rows, as of a vector that is repeated very often, is searched in blocks, and so are its queries. Vectors that
+    Centroids are fitted on a sample of at most `sample_rows` vectors; every vector is in a list, those near borders in up to `copies`. How
+    far a query reaches is fitted too: at most `trials` queries are compared with all rows, and lists are searched up to that multiple of
+    the nearest centroid's distance, at least `ratio`, at which a share `recall` of their true neighbours is found, however many lists that
+    takes. A list longer than `block` rows, as of a vector that is repeated very often, is searched in blocks, and so are its queries. Vectors that
     are null, zero, empty, hold null or non-finite components or lack an id take no part, nor do those whose length is not the
     commonest. Equal scores rank by vec_id. A table without rows gives none. Other columns are left out."""
     spark = vectors.sparkSession
@@ -165,7 +211,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000
     posted = stored(rows.mapInArrow(lambda b: routed(b, lambda x: shared.value.postings(x, slack, copies)), spec), "postings")
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}
     held = np.array([sizes.get(i, 0) for i in range(len(lists.centroids))])
-    asked = rows.filter(is_query(F.col("vec_id"))).mapInArrow(lambda b: routed(b, lambda x: shared.value.probes(x, ratio, width, held, 8 * k)), spec)
+    queries = rows.filter(is_query(F.col("vec_id")))
+    tried = queries.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(trials).collect()
+    if tried:
+        x, at = np.array([r.embedding for r in tried], float), {r.vec_id: i for i, r in enumerate(tried)}
+        true = F.broadcast(exact(rows, x, np.array(list(at), np.int64), k).select("query_id", "vec_id"))  # at most `k` rows a trial
+        where = posted.select(F.col("id").alias("vec_id"), "list").join(true, "vec_id").groupBy("query_id", "vec_id").agg(F.collect_list("list").alias("at")).collect()
+        if where:
+            ratio = max(ratio, lists.ratio_for(x, [(at[r.query_id], r["at"]) for r in where], recall))
+    asked = queries.mapInArrow(lambda b: routed(b, lambda x: shared.value.probes(x, ratio, width, held, 8 * k)), spec)
     asked = stored(asked, "probes")
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks = F.broadcast(spark.createDataFrame([(i, -(-sizes.get(i, 0) // block), -(-asks.get(i, 0) // block)) for i in range(len(held)) if sizes.get(i) and asks.get(i)], "list long, parts int, ask_parts int"))
