@@ -37,3 +37,40 @@ def test_other_documents_have_none(answers):
 
 def test_empty_table(spark):
     assert licences.licences(empty(spark)).collect() == []
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+PROSE = "\n".join(" ".join("w%d" % (i * 7 + j) for j in range(11)) for i in range(30))
+WRAPPED = {
+    600: (f"Title\n\n{MIT}\n\nw1 w2", ["MIT"]),
+    601: ("/*\n" + "".join(f" * {x}\n" for x in BSD.split("\n")) + " */", ["BSD"]),
+    602: ("\r\n".join(["# " + x for x in GPL.split("\n")]), ["GPL"]),
+    603: (LGPL, ["LGPL"]),
+    604: (f"{PROSE}\n{MIT}\n{PROSE}", ["MIT"]),
+    605: (f"{GPL}\n \t\n{PROSE}\n\n\n\n{BSD}", ["BSD", "GPL"]),
+    606: (f"{PROSE}\n\n{PROSE}", []),
+}
+
+
+def test_wrapped_notices(spark):
+    data = rows() + [(d, t, "en", "s", 1) for d, (t, _) in WRAPPED.items()]
+    got = {r.doc_id: r for r in licences.licences(frame(spark, data)).collect()}
+    assert {d: got[d].families for d in WRAPPED} == {d: want for d, (_, want) in WRAPPED.items()}
+    assert got[600].n_notices == 1 and got[605].n_notices == 2 and got[600].n_paragraphs == 8

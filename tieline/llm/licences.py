@@ -119,6 +119,26 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.filter(F.trim(F.translate("text", "\t\r\x0b\x0c", "    ")) != "")
 
 
+def runs(docs: DataFrame) -> DataFrame:
+    """(r1, r2, run, text, w1): paragraphs, which are lines between blank ones, and their words."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id").alias("r2"), F.posexplode(F.split("text", r"\n[ \t\r\x0b\x0c]*\n")).alias("run", "text"))
+    # explode keeps filters on the words from being moved under them, where they would be split again.
+    return rows.select("*", F.explode(F.array(words_of(F.col("text")))).alias("w1")).filter(F.size("w1") > 0)
+
+
+def units(rows: DataFrame, width: int) -> DataFrame:
+    """(r1, r2, run, pos, text) of what is compared of each run: its lines, and with pos -1 the run as a whole, where it has several
+    lines, and overlapping runs of `width` words, where it is longer."""
+    unit = "array<struct<pos:int,text:string>>"
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("text"))), lambda u: F.trim(F.translate(u["text"], "\t\r\x0b\x0c", "    ")) != "")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w1") - width // 2 - 1, F.lit(0)), F.lit(width // 2))
+    parts = F.transform(starts, lambda at: F.struct(F.lit(-1).alias("pos"), F.array_join(F.slice("w1", at + 1, width), " ").alias("text")))
+    none = F.array().cast(unit)
+    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("pos"), F.col("text").alias("text")))).otherwise(none)
+    every = F.concat(lines.cast(unit), whole.cast(unit), F.when(F.size("w1") > width, parts).otherwise(none).cast(unit))
+    return rows.select("r1", "r2", "run", F.explode(every).alias("u")).select("r1", "r2", "run", "u.pos", "u.text")
+
+
 class Scanner:
     """Multinomial logistic regression over hashed words, pairs and triples."""
 
@@ -126,6 +146,7 @@ class Scanner:
         spark = docs.sparkSession
         self.families = [*TEMPLATES, UNKNOWN]
         self.overlap = overlap
+        self.pairs = None
         self.hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
         sample = self._background(docs, sample_rows).select("text", F.lit(UNKNOWN).alias("family"))
         number = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")) - 1
@@ -144,12 +165,38 @@ class Scanner:
         drawn = lines.filter(F.pmod(draw, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(draw, "text").limit(sample_rows)
         return stored(with_grams(drawn.select("text")).withColumn("close", self._closest(F.col("w2"), list(TEMPLATES))).filter("close < 0.5").select("text"), "background")
 
+    def _pairs(self) -> dict[str, list[list[str]]]:
+        """The distinct pairs of words of each template, by family."""
+        if self.pairs is None:
+            spark = SparkSession.getActiveSession()
+            known = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, text string")
+            self.pairs = {f: [] for f in TEMPLATES}
+            for r in with_grams(known).collect():
+                self.pairs[r.family].append(list(dict.fromkeys(r.w2)))
+        return self.pairs
+
+    def _vocabulary(self) -> dict[int, Column]:
+        """The words, pairs and triples of all templates."""
+        spark = SparkSession.getActiveSession()
+        rows = with_grams(spark.createDataFrame([(t,) for texts in TEMPLATES.values() for t in texts], "text string")).collect()
+        return {n: F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r[f"w{n}"]})]) for n in (1, 2, 3)}
+
+    def _telling(self) -> Column:
+        """Pairs of which a text must hold one to hold `overlap` of any template: of each template more than it may lack."""
+        out = []
+        for p in (p for parts in self._pairs().values() for p in parts):
+            out += sorted(p, key=lambda x: (-len(x), x))[: len(p) - math.ceil(self.overlap * len(p) - 1e-9) + 1]
+        return F.array(*[F.lit(x) for x in dict.fromkeys(out)])
+
+    def _kin(self) -> Column:
+        """"a>b" where a template of b holds enough of one of a to be taken for it."""
+        known = self._pairs()
+        kin = [f"{a}>{b}" for a in known for b in known if a != b and any(len(set(x) & set(y)) >= self.overlap * len(x) for x in known[a] for y in known[b])]
+        return F.array(*[F.lit(x) for x in kin]).cast("array<string>")
+
     def _closest(self, pairs: Column, families: list[str]) -> Column:
         """The largest share of a template's pairs of words that a paragraph holds."""
-        spark = SparkSession.getActiveSession()
-        texts = [t for f in families for t in TEMPLATES[f]]
-        known = spark.createDataFrame([(t,) for t in texts], "text string")
-        parts = [list(dict.fromkeys(r.w2)) for r in with_grams(known).collect()]
+        parts = [p for f in families for p in self._pairs()[f]]
         shares = [F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in p]))) / F.lit(len(p)) for p in parts]
         return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
@@ -169,30 +216,49 @@ class Scanner:
 
         return min((0.25 * 1.25**i for i in range(20)), key=loss)
 
-    def scan(self, docs: DataFrame) -> DataFrame:
-        """(r1, r2, pos, family, probability, share) of the paragraphs that are notices: a family is likelier than not after
-        calibration, and the paragraph holds enough of one of its templates."""
-        rows = self.model.transform(self._featured(with_grams(paragraphs(docs))))
+    def scan(self, docs: DataFrame, width: int = 64) -> DataFrame:
+        """(r1, r2, run, pos, family, probability, share) of the units that are notices: a family is likelier than not after
+        calibration, and the unit holds enough of one of its templates. Texts that hold enough of none are left out before the model."""
+        telling = self._telling()
+        rows = runs(docs).filter(F.arrays_overlap(let(F.col("w1"), lambda w: grams(w, 2)), telling))
+        rows = units(rows, width).select("*", F.explode(F.array(words_of(F.col("text")))).alias("w1"))
+        rows = rows.select("*", F.explode(F.array(let(F.col("w1"), lambda w: grams(w, 2)))).alias("w2")).filter(F.arrays_overlap("w2", telling))
+        rows = rows.withColumn("w3", let(F.col("w1"), lambda w: grams(w, 3)))
+        for n, known in self._vocabulary().items():  # what else a run of lines holds must not outweigh its notice
+            rows = rows.withColumn(f"g{n}", F.when(F.col("pos") >= 0, F.col(f"w{n}")).otherwise(F.array_intersect(f"w{n}", known)))
+        rows = self.model.transform(self.hashing.transform(rows.withColumn("grams", F.concat("g1", "g2", "g3"))))
         # explode keeps the filters below from being moved under the model, where it would run once for each use of its output.
         raw = F.explode(F.array(vector_to_array("rawPrediction")))
-        rows = rows.select("r1", "r2", "pos", "w2", raw.alias("raw")).withColumn("top", F.array_max("raw"))
+        rows = rows.select("r1", "r2", "run", "pos", "w2", raw.alias("raw")).withColumn("top", F.array_max("raw"))
         spread = F.aggregate("raw", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / F.lit(self.temperature)))
         rows = rows.withColumn("probability", 1 / spread).withColumn("family", F.element_at(F.array(*[F.lit(f) for f in self.families]), F.array_position("raw", F.col("top")).cast("int")))
         rows = rows.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= 0.5))
         share = F.lit(0.0)
         for family in TEMPLATES:
             share = F.when(F.col("family") == family, self._closest(F.col("w2"), [family])).otherwise(share)
-        return rows.withColumn("share", share).filter(F.col("share") >= self.overlap).select("r1", "r2", "pos", "family", "probability", "share")
+        return rows.withColumn("share", share).filter(F.col("share") >= self.overlap).select("r1", "r2", "run", "pos", "family", "probability", "share")
+
+    def found(self, docs: DataFrame) -> DataFrame:
+        """(r1, r2, n, families): notices on lines, and one for each family that a run holds over several lines or amid other words,
+        unless it holds more of a family that is easily taken for that one."""
+        line = F.when(F.col("pos") >= 0, F.col("pos"))
+        each = self.scan(docs).groupBy("r1", "r2", "run", "family").agg(F.countDistinct(line).alias("lines"), F.max("share").alias("share"))
+        each = each.groupBy("r1", "r2", "run").agg(F.collect_list(F.struct("family", "lines", "share")).alias("all"))  # one a family at most
+        kin = self._kin()
+        beaten = lambda f: F.exists("all", lambda g: F.array_contains(kin, F.concat_ws(">", f["family"], g["family"])) & (g["share"] > f["share"]))
+        each = each.select("r1", "r2", F.explode(F.filter("all", lambda f: (f["lines"] > 0) | ~beaten(f))).alias("f"))
+        return each.groupBy("r1", "r2").agg(F.sum(F.greatest("f.lines", F.lit(1))).alias("n"), F.array_sort(F.collect_set("f.family")).alias("families"))
 
 
 def licences(docs: DataFrame, **settings: float) -> DataFrame:
     """(doc_id, n_paragraphs, n_notices, families) for each row of `docs` (doc_id, text); families sorted, each once.
 
-    Every paragraph (line) of every text is classified; the classifier is fitted on the templates and at most `sample_rows` paragraphs.
-    Null and empty texts have no paragraphs. Repeated rows get the same answer. A table without rows gives none. Other columns are
+    Every line of every text, every run of lines between blank ones and, where it is long, every overlapping part of it that can hold enough
+    of a template is classified; the classifier is fitted on the templates and at most `sample_rows` lines. n_paragraphs counts lines
+    that are not blank. Null and empty texts have none. Repeated rows get the same answer. A table without rows gives none. Other columns are
     left out."""
     docs = pick(docs, "doc_id", "text")
-    found = Scanner(docs, **settings).scan(docs).groupBy("r1", "r2").agg(F.countDistinct("pos").alias("n"), F.array_sort(F.collect_set("family")).alias("families"))
+    found = Scanner(docs, **settings).found(docs)
     filled = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id").alias("r2"), F.size(filled).cast("long").alias("n_paragraphs"))
     out = rows.join(found, ["r1", "r2"], "left")
