@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieline.llm import host_rules, licences, line_dedup, mixing, neighbours, packing, sharding, simhash, suffix_dedup, toxicity
+from tieline.llm import host_rules, licences, line_dedup, merkle, mixing, neighbours, packing, sharding, simhash, suffix_dedup, toxicity
 from tieline.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op13_merkle", merkle.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered(F.col("text")))
+    found = found.withColumn("proof_sha256", merkle.proof_digest(F.col("path"))).withColumn("folded_root", merkle.folded(F.col("seen"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
