@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieline.llm import host_rules, licences, line_dedup, merkle, mixing, neighbours, packing, sharding, simhash, suffix_dedup, toxicity
+from tieline.llm import host_rules, licences, line_dedup, merkle, mixing, neighbours, packing, periods, sharding, simhash, suffix_dedup, toxicity
 from tieline.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op11_periods")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periods.periodic_runs(docs.select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.reduce("runs", F.lit(None).cast(periods.RUNS[6:-1]), lambda a, r: F.when(a.isNull() | (r["length"] > a["length"]), r).otherwise(a))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    top = found.withColumn("top", longest)
+    run = [F.col("top")[c].alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli")
+    digests = [F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return top.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *run, milli, *digests)
+
+
 @query("op13_merkle", merkle.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered(F.col("text")))
