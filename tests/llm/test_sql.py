@@ -68,5 +68,6 @@ def test_repeated_words(spark, text, repeated):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries(spark, name):
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     compare(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), queries.SQL[name], con)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieline.llm import host_rules, licences, line_dedup, merkle, mixing, neighbours, packing, periods, sharding, simhash, suffix_dedup, toxicity
+from tieline.llm import decontamination, host_rules, licences, line_dedup, merkle, mixing, neighbours, packing, periods, sharding, simhash, suffix_dedup, toxicity
 from tieline.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *run, milli, *digests)
 
 
+@query("op12_decontamination", decontamination.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontamination.n_hit())
+    items = [F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")]
+    return found.select("doc_id", "n_words", "n_hit", *items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op13_merkle", merkle.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered(F.col("text")))
