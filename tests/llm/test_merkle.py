@@ -6,6 +6,7 @@ from llm_cases import empty, frame, rows
 from pyspark.sql import functions as F
 
 from tieline.llm import merkle
+from tieline.llm.common import ranked
 
 
 def sha(text):
@@ -81,5 +82,5 @@ def test_tampering_shows(spark):
 
 def test_ranks_of_equal_rows_are_spread_over_ranges(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), F.lit(1).alias("k"))
-    got = merkle.ranked(df, ["g"], ["k"])
+    got = ranked(df, ["g"], ["k"])
     assert sorted(r["rank"] for r in got.collect()) == list(range(5000)) and {r.total for r in got.collect()} == {5000}

@@ -54,12 +54,12 @@ def test_parts_of_long_texts(spark, block, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     docs = cases(3)[: 30 if block == 1 else None]
     ids = [d for d, _ in docs]
-    batch = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "tag": pa.array([0] * len(docs), pa.int64()), "text": [t for _, t in docs]})
+    batch = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "h1": pa.array([0] * len(docs), pa.int64()), "h2": pa.array([0] * len(docs), pa.int64()), "text": [t for _, t in docs]})
 
     def earliest(batches):
         best = {}
         for b in batches:
-            for anchor, name, doc, place in zip(*[c.to_pylist() for c in b.columns]):
+            for anchor, name, doc, _, _, place in zip(*[c.to_pylist() for c in b.columns]):
                 best[anchor, name] = min(best.get((anchor, name), (doc, place)), (doc, place))
         return best
 
@@ -92,3 +92,48 @@ def test_awkward_rows(spark):
     assert by[123][0][0] == 150_000 and by[123][0][1] == b"word "  # all but the first period is covered by repeats
     assert len(by[None]) == 2 and len(set(by[None])) == 1
     assert suffix_dedup.repeated_spans(empty(spark)).collect() == []
+
+
+def shared_ids(n):
+    """Texts that share an id or have none, with passages that smaller ids, their likes and they themselves hold too."""
+    rng = random.Random(n)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    common, known, own = word(150), word(200), word(130)
+    docs = [(1, word(50) + known), (2, "x" * 20 + common), (2, common + "y" * 30), (2, common + "y" * 30), (3, common + known[:120]), (3, own + word(40) + own)]
+    docs += [(None, f"{i:07d}" + (known if i % 2 else own + common[:100]) + (word(110) * 2 if i % 50 == 0 else "")) for i in range(n)]
+    return docs + [(None, own + own), (None, None), (2, None)]
+
+
+def brute_rows(docs):
+    """As `brute`, for rows that may share ids: earlier is a smaller id, or before in the same row."""
+    least = {}
+    for d, t in docs:
+        data = (t or "").encode()
+        for i in range(len(data) - 99):
+            key = data[i : i + 100]
+            least[key] = min(least.get(key, (2, 0)), (d is None, d or 0))
+    out = []
+    for d, t in docs:
+        data, seen = (t or "").encode(), set()
+        gone = bytearray(len(data))
+        for i in range(len(data) - 99):
+            key = data[i : i + 100]
+            if key in seen or least[key] < (d is None, d or 0):
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(key)
+        out.append((d, len(data), bytes(x for x, g in zip(data, gone) if not g)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 5, 8, 13])
+def test_texts_that_share_an_id(spark, parts):
+    docs = shared_ids(60)
+    random.Random(parts).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.repeated_spans(df).collect()), key=repr) == brute_rows(docs)
+
+
+def test_many_rows_without_id(spark):
+    docs = shared_ids(30_000)
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got), key=repr) == brute_rows(docs)

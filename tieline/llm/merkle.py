@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tieline.llm.common import DOCUMENT, pick, running_start, same, stored
+from tieline.llm.common import DOCUMENT, pick, ranked, stored
 
 FAN = 16
 DEPTH = 3  # levels nested in one row: a block holds at most FAN ** DEPTH rows
@@ -33,23 +33,6 @@ def levels_of(total: Column) -> Column:
     return reduce(lambda a, b: a + b, [(total > FAN**k).cast("int") for k in range(16)])
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """`df` with `rank`, a row's number in its group by `order` (from 0, nulls first, ties as they come), and `total`, the group's rows.
-
-    Rows are dealt by ranges of group, order and arrival, so that neither one group nor many equal rows share a task by rule; row
-    numbers inside a range and the ranges' counts give ranks, without a window over rows."""
-    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*group, *order, "_tie").sortWithinPartitions(*group, *order, "_tie")
-    dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)).drop("_tie"), "ranks")
-    counts = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    counts = stored(running_start(counts, group, "_range", "_n", "_before"), "ranges")
-    if group:
-        starts = same(counts, counts.groupBy(*group).agg(F.sum("_n").alias("total")), group)
-    else:
-        starts = counts.withColumn("total", F.lit(counts.agg(F.sum("_n")).first()[0]).cast("long"))
-    starts = starts.select(*group, "_range", (F.col("_before") - F.col("_first")).alias("_shift"), "total")
-    return same(dealt, starts, [*group, "_range"]).withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
-
-
 def nested(rows: DataFrame, payload: list[str]) -> DataFrame:
     """(grp, block, levels, node, kids) of rows (grp, rank, levels, node, *payload): the rank's digits are grouped away one after the
     other, lowest first, each time nesting the children's structs; one shuffle serves all of them."""
@@ -103,7 +86,7 @@ def met(blocks: DataFrame, paths: DataFrame, carry: list[str]) -> DataFrame:
 
 def proven(leaves: DataFrame, group: str, order: list[str], payload: list[str]) -> DataFrame:
     """(grp, rank, leaf, *payload, subroot, root, path) of leaves (group, leaf, *order, *payload): every leaf's siblings up to the root."""
-    rows = ranked(leaves, [group], [*order, "leaf"])
+    rows = ranked(stored(leaves, "leaves"), [group], [*order, "leaf"])  # texts are digested once
     rows = rows.select(F.col(group).alias("grp"), "rank", levels_of(F.col("total")).alias("levels"), F.col("leaf").alias("node"), *payload)
     stages = rolled_up(rows, payload)
     tops = ranked(stages[-1].select(F.col("grp").alias("name"), F.col("node").alias("subroot")), [], ["name"])

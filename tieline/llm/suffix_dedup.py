@@ -27,8 +27,8 @@ BLOCK = 1 << 20  # bytes looked at together
 PLACE = np.uint64((1 << 21) - 1)
 LAST = np.iinfo(np.int64).max
 ROW = 1 << 44  # places of runs are below
-TAG_BITS = 20
-NAMED = ["anchor", "name", "doc_id", "place"]
+KEY = ["doc_id", "h1", "h2"]  # rows that agree in all three are one document
+NAMED = ["anchor", "name", *KEY, "place"]
 KINDS = ["run", "open_run", "grain", "open_grain", "window"]
 
 
@@ -146,18 +146,18 @@ def listed(batch: pa.RecordBatch, column: str, unit: int) -> np.ndarray:
     lists = batch.column(column)
     size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
     row = np.repeat(np.arange(len(size)), size)
-    return np.sort(row * unit + (lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) >> TAG_BITS))
+    return np.sort(row * unit + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def sent(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """(anchor, name, row, place) of a batch: the first of each name of a text, with document and tag."""
+    """NAMED of a batch: the first of each name of a text, with its document."""
     if not found:
         return
     anchor, name, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
     kept = np.sort(np.unique(pair(name, row.astype(np.uint64)), return_index=True)[1])
     row = row[kept]
-    doc, tag = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "tag"))
-    columns = (anchor[kept].view(np.int64), name[kept].view(np.int64), doc, (place[kept] << TAG_BITS) | tag)
+    document = [batch.column(c).to_numpy(zero_copy_only=False)[row] for c in KEY]
+    columns = (anchor[kept].view(np.int64), name[kept].view(np.int64), *document, place[kept])
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], NAMED)
 
 
@@ -228,37 +228,58 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
-def _earliest(found: DataFrame) -> DataFrame:
-    """Of each name its first document, and there its place; copies meet in the tasks that read them before they are sent."""
-    return found.groupBy("anchor", "name").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
+def _first(docs: DataFrame, work, twins: DataFrame | None, kind: str) -> DataFrame:
+    """(anchor, doc_id, h1, h2, place), stored: of each name the documents with the smallest doc_id that hold it, and there its first
+    place. h1 and h2 are null where the id tells the document.
+
+    Copies meet in the tasks that read them before they are sent. `twins` are documents that share their id with others: as none of
+    them is earlier, each asks on its own whether a smaller id holds its names."""
+    named = ", ".join(f"{x} long" for x in NAMED)
+    least = docs.mapInArrow(work, named).groupBy("anchor", "name").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
+    alone = [F.lit(None).cast("long").alias(h) for h in KEY[1:]]
+    if twins is None:
+        return stored(least.select("anchor", "doc_id", *alone, "place"), kind)
+    least = stored(least, "names")
+    shared = twins.select("doc_id").distinct()
+    own = docs.join(twins, KEY, "left_semi").mapInArrow(work, named).join(least.select("anchor", "name", "doc_id"), ["anchor", "name", "doc_id"], "left_semi")
+    single = least.join(shared, "doc_id", "left_anti").select("anchor", "doc_id", *alone, "place")
+    return stored(single.union(own.select("anchor", *KEY, "place")), kind)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept) for each row of `docs` (doc_id, text): the maximal byte ranges [start, end) covered by
     a 100-byte string that also starts earlier, and the bytes left.
 
-    Earlier: in a smaller doc_id, or before in the same document; rows without doc_id come last. A row repeated with id and text is
-    one document and gets one answer. Of texts that share an id neither is earlier by rule: what they share stays in one of them at
-    least. Null and empty texts have no bytes; those under 100 bytes lose none. Texts of any length are read whole, in parts that
-    overlap. A table without rows gives none. Other columns are left out."""
+    Earlier: in a smaller doc_id, or before in the same document; rows without doc_id come after all others. A row repeated with id and
+    text is one document and gets one answer. Of texts that share an id, or have none, neither is earlier: each loses what smaller ids
+    hold and what it repeats itself. Null and empty texts have no bytes; those under 100 bytes lose none. Texts of any length are read
+    whole, in parts that overlap. A table without rows gives none. Other columns are left out."""
     bounded_batches(docs.sparkSession)
-    named = ", ".join(f"{x} long" for x in NAMED)
-    docs = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)).alias("tag"), "text")
-    key = [F.col("doc_id"), F.col("place").bitwiseAND((1 << TAG_BITS) - 1).alias("tag")]
+    docs = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    known = stored(docs.select(*KEY).distinct(), "known")
+    ids = stored(known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h1").alias("h1"), F.min("h2").alias("h2")), "ids")
+    twins = known.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    twins = None if twins.isEmpty() else stored(twins, "twins")
+    single = ids.filter("n = 1").select(*KEY)
+
+    def listed_by_document(rows: DataFrame, *lists) -> DataFrame:
+        """One row for each document, with h1 and h2 also where its id tells it."""
+        rows = rows.groupBy(*KEY).agg(*lists)
+        known = rows.filter("h1 IS NOT NULL")
+        return rows.filter("h1 IS NULL").drop("h1", "h2").join(single, "doc_id").select(*known.columns).union(known)
+
     found, asked = {}, None
     for kind, work in (("run", _runs), ("grain", _grains), ("window", _windows)):
-        first = _earliest((docs if asked is None else docs.join(asked, ["doc_id", "tag"])).mapInArrow(work, named))
+        found[kind] = first = _first(docs if asked is None else docs.join(asked, KEY), work, twins, kind)
         if kind == "window":
-            found[kind] = stored(first.select("doc_id", "place"), kind)
             break
-        found[kind] = first = stored(first.select("anchor", "doc_id", "place"), kind)
         shared = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-        found["open_" + kind] = stored(first.join(shared, "anchor", "left_semi").select("doc_id", "place"), "open_" + kind)
-        asked = found["open_" + kind].groupBy(*key).agg(F.collect_list("place").alias("places"))
+        found["open_" + kind] = stored(first.join(shared, "anchor", "left_semi").drop("anchor"), "open_" + kind)
+        asked = listed_by_document(found["open_" + kind], F.collect_list("place").alias("places"))
     rows = None
     for kind, df in found.items():
-        df = df.select(*key, "place", F.lit(KINDS.index(kind)).cast("byte").alias("kind"))
+        df = df.select(*KEY, "place", F.lit(KINDS.index(kind)).cast("byte").alias("kind"))
         rows = df if rows is None else rows.union(df)
-    lists = rows.groupBy("doc_id", "tag").agg(*[F.collect_list(F.when(F.col("kind") == i, F.col("place"))).alias(kind) for i, kind in enumerate(KINDS)])
-    cut = docs.join(lists, ["doc_id", "tag"], "left").mapInArrow(_cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    lists = listed_by_document(rows, *[F.collect_list(F.when(F.col("kind") == i, F.col("place"))).alias(kind) for i, kind in enumerate(KINDS)])
+    cut = docs.join(lists, KEY, "left").mapInArrow(_cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
