@@ -75,3 +75,15 @@ def test_repeated_rows_follow_the_mix(spark):
     copies = Counter(r.doc_id for r in mixing.repeated(docs).collect())
     for d, r in taken.items():
         assert copies[d] == (int(r.taken / r.size + 0.5) if r.size else 0)
+
+
+def test_many_rows_without_words(spark):
+    """They would all share one bucket of their source, as buckets are counted by words."""
+    bare = spark.range(200_000).selectExpr("id + 1000 AS doc_id", "CASE WHEN id % 2 = 0 THEN ' ' END AS text", "'en' AS lang", "'src1' AS source", "0L AS n_chars")
+    data = [r for r in rows() if r[0] is not None]
+    found = mixing.taken(mixing.numbered(spark.createDataFrame(data, SCHEMA).union(bare)))
+    got = found.groupBy(mixing.F.col("doc_id") >= 1000).agg(mixing.F.count("*"), mixing.F.sum("taken")).collect()
+    assert sorted(got)[1][1:] == (200_000, 0) and sorted(got)[0][1] == len(data) and sorted(got)[0][2] > 0
+    placed = mixing.streams(mixing.numbered(spark.createDataFrame(data, SCHEMA).union(bare)), 5, 1 << 20)
+    sizes = placed.filter("size = 0").agg(mixing.F.max("begin")).first()[0]
+    assert sizes == 0

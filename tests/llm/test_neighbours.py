@@ -52,11 +52,17 @@ def test_awkward_rows(spark):
     good = [[1.0, 0.0], [0.5, 0.5], [0.0, 2.0]]
     bad = [None, [], [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0]]
     df = table(spark, good + bad, [0, 1, 2, 20, 40, 60, 80, 100, 120, 140])
-    df = df.union(table(spark, [[1.0, 0.0], [9.0, 9.0]], [0, None]))
+    df = df.union(table(spark, [[9.0, 9.0]], [None]))
     assert found(df) == {0: [(1, 0.5), (2, 0.0)]}
     assert found(df.limit(0)) == {}
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    df = table(spark, [[1.0, 0.0], [0.0, 3.0], [0.5, 0.5], [2.0, 2.0], [0.5, 0.5]], [0, 0, 1, 1, 1])
+    got = sorted(tuple(r) for r in neighbours.nearest(df, lambda c: c % 20 == 0, k=3).collect())
+    assert got == sorted([(0, 1, 1, 2.0), (0, 2, 1, 0.5), (0, 3, 1, 0.5), (0, 1, 1, 6.0), (0, 2, 1, 1.5), (0, 3, 1, 1.5)])
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(3)
     lists = neighbours.Lists(rng.normal(size=(3000, 8)), 6.0, 300)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tieline.llm.common import DOCUMENT, n_words, pick, running_start, same, stored
+from tieline.llm.common import DOCUMENT, n_words, pick, ranked, running_start, same, stored
 
 #: The golden ratio's fraction in 32 bits, and the weights dealt to sources in order.
 GOLDEN = 2654435769
@@ -24,10 +24,9 @@ def source_targets(docs: DataFrame) -> DataFrame:
     share the size of all sources by weight; one that would be above `MAX_EPOCHS` times its source stops there, and the excess is shared
     again by weight until none is above. One row per source; the driver sees sums only."""
     sizes = stored(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
-    ordered = sizes.select("source", "source_size").orderBy(F.col("source").isNull(), "source")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], WEIGHTS[x[1] % len(WEIGHTS)]))
-    spark: SparkSession = docs.sparkSession
-    weighed = stored(spark.createDataFrame(numbered, "source string, source_size long, weight long"), "weights")
+    numbered = ranked(sizes.withColumn("last", F.col("source").isNull()), [], ["last", "source"])
+    weight = F.get(F.array(*[F.lit(w).cast("long") for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS)).cast("int"))
+    weighed = stored(numbered.select("source", "source_size", weight.alias("weight")), "weights")
     limit = F.col("source_size") * MAX_EPOCHS
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     share = None  # words for a weight of one, as a fraction
@@ -85,16 +84,18 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 
 
 def streams(docs: DataFrame, seed: int, bucket_words: int) -> DataFrame:
-    """`docs` (with source, size) with `begin`, where a document starts in the shuffled words of its source."""
+    """`docs` (with source, size) with `begin`, where a document starts in the shuffled words of its source. Those without words, which
+    may be any share of a source, take no place and no part in the sums; they begin at 0."""
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
     total = docs.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_words))
-    rows = docs.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
+    rows = docs.filter("size > 0").withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
     counts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     starts = running_start(counts, ["source"], "bucket", "n", "start").select("source", "bucket", "start")
     before = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum("size").over(before), F.lit(0))
-    return same(rows.withColumn("own", own), starts, ["source", "bucket"]).withColumn("begin", F.col("start") + F.col("own")).drop("own", "start", "bucket", "draw")
+    placed = same(rows.withColumn("own", own), starts, ["source", "bucket"]).withColumn("begin", F.col("start") + F.col("own")).drop("own", "start", "bucket", "draw")
+    return placed.unionByName(docs.filter("size = 0").withColumn("begin", F.lit(0).cast("long")))
 
 
 def numbered(docs: DataFrame, *others: str) -> DataFrame:

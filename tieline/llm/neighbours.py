@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tieline.llm.common import pick, stored
+from tieline.llm.common import pick, ranked, stored
 
 SPACING = 0.2
 FOUND = "query_id long, vec_id long, score double"
@@ -99,7 +99,7 @@ class Lists:
 
     def probes(self, x: np.ndarray, ratio: float, width: int, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, list): all lists within `ratio` of the nearest centroid's distance, and as many as hold `least` rows. Queries for
-        which a walk of `width` ends within these bounds, and all where lists are few, are compared with every centroid."""
+        which a walk of `width` ends within these bounds are compared with every centroid."""
         x = self.lift_queries(x)
 
         def within(at: np.ndarray, ids: np.ndarray, gaps: np.ndarray):
@@ -109,15 +109,13 @@ class Lists:
             row, column = np.nonzero(taken & ~more[:, None])
             return at[row], ids[row, column], at[more]
 
-        parts, rest = [], np.arange(len(x))
-        if len(self.centroids) > 4 * width:
-            row, found, rest = within(rest, *self.search(x, width))
-            parts.append((row, found))
+        row, found, rest = within(np.arange(len(x)), *self.search(x, width))
+        parts = [(row, found)]
         if len(rest):
             every = self.gaps(x[rest])
             order = np.argsort(every, axis=1, kind="stable")
             parts.append(within(rest, order, np.take_along_axis(every, order, 1))[:2])
-        return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.array([], int), np.array([], int))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
     def ratio_for(self, x: np.ndarray, wanted: list[tuple[int, list[int]]], recall: float) -> float:
         """The smallest ratio at which a share `recall` of the `wanted` (query, lists that hold one of its neighbours) is found."""
@@ -171,15 +169,16 @@ def exact(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of the rows that take part; rows that share an id count once, with the least vector."""
+    """(vec_id, embedding as doubles) of the rows that take part; rows that share an id are rows of their own."""
     rows = pick(vectors, "vec_id", "embedding").filter("vec_id IS NOT NULL AND size(embedding) > 0")
     rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return rows.filter(sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.filter(sound)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000, list_rows: int = 2048, most_lists: int = 4096, slack: float = 0.1, copies: int = 4, ratio: float = 1.06, recall: float = 0.985, trials: int = 256, width: int = 128, block: int = 16_384) -> DataFrame:
-    """(query_id, rank, vec_id, score): the `k` nearest found of the rows for which `is_query(vec_id)` holds, their own rows left out.
+    """(query_id, rank, vec_id, score): the `k` nearest found of each row for which `is_query(vec_id)` holds, its own row left out. Rows
+    that share a vec_id are candidates and queries of their own.
 
     Centroids are fitted on a sample of at most `sample_rows` vectors; every vector is in a list, those near borders in up to `copies`. How
     far a query reaches is fitted too: at most `trials` queries are compared with all rows, and lists are searched up to that multiple of
@@ -188,7 +187,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000
     are null, zero, empty, hold null or non-finite components or lack an id take no part, nor do those whose length is not the
     commonest. Equal scores rank by vec_id. A table without rows gives none. Other columns are left out."""
     spark = vectors.sparkSession
-    rows = stored(usable(vectors), "vectors")
+    rows = ranked(usable(vectors), [], ["vec_id"]).withColumnRenamed("vec_id", "name").withColumnRenamed("rank", "vec_id").drop("total")
+    rows = stored(rows, "vectors")  # from here on vec_id is a row's number in the order of ids
     lengths = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("long")).orderBy(F.desc("n"), "dim").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -211,7 +211,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000
     posted = stored(rows.mapInArrow(lambda b: routed(b, lambda x: shared.value.postings(x, slack, copies)), spec), "postings")
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}
     held = np.array([sizes.get(i, 0) for i in range(len(lists.centroids))])
-    queries = rows.filter(is_query(F.col("vec_id")))
+    queries = rows.filter(is_query(F.col("name")))
     tried = queries.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(trials).collect()
     if tried:
         x, at = np.array([r.embedding for r in tried], float), {r.vec_id: i for i, r in enumerate(tried)}
@@ -240,4 +240,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 20_000
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, FOUND)
     once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = once.withColumn("rank", rank).filter(F.col("rank") <= k)
+    names = rows.select("vec_id", "name")
+    best = best.join(names, "vec_id").drop("vec_id").withColumnRenamed("name", "found")
+    best = best.join(names.select(F.col("vec_id").alias("query_id"), F.col("name").alias("asked")), "query_id")
+    return best.select(F.col("asked").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("found").alias("vec_id"), "score")

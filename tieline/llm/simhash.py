@@ -9,22 +9,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tieline.llm.common import pick, same, stored
+from tieline.llm.common import pick, stored
 from tieline.llm.components import roots
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits as a signed long: a bit is set if it is set in more than half of the shingle hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles, repeats included; of fewer words the whole sequence."""
     words = (text or "").encode().lower().split()
     if not words:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits as a signed long: a bit is set if it is set in more than half of the shingle hashes."""
+    return folded(shingle_hashes(text, shingle))
+
+
+def folded(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
     total = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 65536):
         part = hashes[start : start + 65536]
@@ -42,8 +49,8 @@ class Tree:
     distance is at most `mu`, else in the far one; a ball around it also reaches the other child if the distance is within the
     radius of the border (triangle inequality)."""
 
-    def __init__(self, sample: np.ndarray, shards: int, seed: int = 7):
-        self.vantage, self.mu, self.child = [], [], []
+    def __init__(self, sample: np.ndarray, shards: int, seed: int = 7, radius: int = RADIUS):
+        self.vantage, self.mu, self.child, self.radius = [], [], [], radius
         self.leaves = 0
         self.rng = np.random.default_rng(seed)
         self.top = self._grow(sample, shards)
@@ -74,13 +81,14 @@ class Tree:
                 near = d <= mu
             if not near.any():
                 continue
-            crossing = int((np.abs(2 * d.astype(int) - 2 * mu - 1) < 2 * RADIUS).sum()) + abs(int(near.sum()) * 2 - len(points)) // 4
+            crossing = int((np.abs(2 * d.astype(int) - 2 * mu - 1) < 2 * self.radius).sum()) + abs(int(near.sum()) * 2 - len(points)) // 4
             if best is None or crossing < best[0]:
                 best = (crossing, vantage, mu, near)
         return best and best[1:]
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, leaf, is home): the leaf of each point and every other leaf that its ball reaches."""
+        """(index, leaf, is home): the leaf of each point, and other leaves that its ball reaches: where a point's own leaf is on the near
+        side of a border, it visits the far side, not the other way round, as either meeting finds a pair."""
         out, work = [], [(self.top, np.arange(len(points)), np.ones(len(points), bool))]
         while work:
             node, at, home = work.pop()
@@ -91,7 +99,8 @@ class Tree:
                 continue
             d = distances(self.vantage[node], points[at]).astype(int)
             near, mu = d <= self.mu[node], self.mu[node]
-            for child, here, reach in ((self.child[node][0], near, d - RADIUS <= mu), (self.child[node][1], ~near, d + RADIUS > mu)):
+            closer, farther = near | (~home & (d - self.radius <= mu)), ~near | (d + self.radius > mu)
+            for child, here, reach in ((self.child[node][0], near, closer), (self.child[node][1], ~near, farther)):
                 work.append((child, at[reach], (home & here)[reach]))
         if not out:
             return np.array([], int), np.array([], int), np.array([], bool)
@@ -105,7 +114,7 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def shard_links(points: np.ndarray, home: np.ndarray, small: int = 512) -> np.ndarray:
+def shard_links(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, small: int = 512) -> np.ndarray:
     """Links within the radius between the points of one shard, of which at least one is at home there, as a forest: the links of
     a connected group are left out where others already connect it. Vantage points prune on within the shard."""
     parent = np.arange(len(points))
@@ -115,7 +124,7 @@ def shard_links(points: np.ndarray, home: np.ndarray, small: int = 512) -> np.nd
     def compare(rows: np.ndarray, cols: np.ndarray) -> None:
         for start in range(0, len(rows), 256):
             part = rows[start : start + 256]
-            a, b = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[cols][None, :]) <= RADIUS)
+            a, b = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[cols][None, :]) <= radius)
             other = part[a] != cols[b]
             for i, j in zip(part[a][other].tolist(), cols[b][other].tolist(), strict=True):
                 x, y = _find(parent, i), _find(parent, j)
@@ -139,13 +148,13 @@ def shard_links(points: np.ndarray, home: np.ndarray, small: int = 512) -> np.nd
         if not (dm <= mu).any():
             compare(mine, reach)
             continue
-        work.append((mine[dm <= mu], reach[dr - RADIUS <= mu]))
-        work.append((mine[dm > mu], reach[dr + RADIUS > mu]))
+        work.append((mine[dm <= mu], reach[dr - radius <= mu]))
+        work.append((mine[dm > mu], reach[dr + radius > mu]))
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def components(fps: DataFrame, sample_rows: int = 100_000, shard_rows: int = 16_384) -> DataFrame:
-    """(doc_id, fp) -> (fp, root, component_id): fingerprints linked at `RADIUS` or fewer differing bits. root names the component;
+def components(fps: DataFrame, radius: int = RADIUS, sample_rows: int = 100_000, shard_rows: int = 1 << 17) -> DataFrame:
+    """(doc_id, fp) -> (fp, root, component_id): fingerprints linked at `radius` or fewer differing bits. root names the component;
     component_id is its smallest doc_id, null if none of its rows has one.
 
     Distinct fingerprints only take part, each with its smallest doc_id, so copies cost nothing. The tree is fitted on a sample of
@@ -159,7 +168,7 @@ def components(fps: DataFrame, sample_rows: int = 100_000, shard_rows: int = 16_
     share = min(1.0, sample_rows / n)
     draw = F.xxhash64("fp")
     taken = nodes.filter(F.pmod(draw, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(draw).limit(sample_rows).select("fp").collect()
-    tree = spark.sparkContext.broadcast(Tree(np.array([r.fp for r in taken], np.int64).view(np.uint64), shards))
+    tree = spark.sparkContext.broadcast(Tree(np.array([r.fp for r in taken], np.int64).view(np.uint64), shards, radius=radius))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +178,7 @@ def components(fps: DataFrame, sample_rows: int = 100_000, shard_rows: int = 16_
 
     def link(group: pa.Table) -> pa.Table:
         fp, home = group.column("fp").to_numpy(), group.column("home").to_numpy()
-        pairs = shard_links(fp.view(np.uint64), home)
+        pairs = shard_links(fp.view(np.uint64), home, radius)
         return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
     routed = nodes.select("fp").mapInArrow(route, "leaf long, fp long, home boolean")
@@ -190,16 +199,6 @@ def near_duplicates(docs: DataFrame, **settings: int) -> DataFrame:
     return fps.join(components(fps, **settings), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **settings: int) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; of several rows with that id (or of rows without id, where
-    no row of the component has one) the first in the order of their columns. Returns the columns of documents."""
-    rows = stored(with_fingerprint(docs), "docfps")
-    found = components(rows.select("doc_id", "fp"), **settings)
-    leaders = same(rows, found.withColumnRenamed("component_id", "doc_id"), ["doc_id", "fp"])
-    first = leaders.groupBy("root").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return first.select("row.*")
-
-
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """`docs` with the column fp."""
 
@@ -209,3 +208,90 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "fp"])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("fp")).schema)
+
+
+# Near copies by similarity. A radius wide enough for texts that share four fifths of their shingles (10 bits and more) prunes nothing
+# in 64 bits, whose distances crowd around 32. So besides the fingerprint of a whole text there are `SAMPLES` of it, each of the
+# `SAMPLE` shingles that come first in an order of its own: near copies agree in one of them at least, and candidates are confirmed.
+
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+SAMPLES, SAMPLE = 10, 3
+SKETCH = 512  # smallest hashes kept of a text: its similarity is exact up to so many shingles, and has a standard error of 0.018 beyond
+ORDERS = np.random.default_rng(17).integers(0, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+MARKS = "row long, whole long, fp long, samples array<long>, sketch binary"
+
+
+def sampled(found: np.ndarray) -> np.ndarray:
+    """A fingerprint of each sample of the distinct hashes: a bit is set if it is set in most of the sample."""
+    out = np.zeros(SAMPLES, np.uint64)
+    for k, order in enumerate(ORDERS if len(found) else ()):
+        first = np.sort(found * order)[:SAMPLE] if len(found) <= SAMPLE else np.sort(np.partition(found * order, SAMPLE - 1)[:SAMPLE])
+        a, b, c = (first[i % len(first)] for i in range(SAMPLE))
+        out[k] = (a & b) | (a & c) | (b & c)
+    return out.view(np.int64)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Share of shingles in common, from the smallest hashes of both texts; two without shingles are alike."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) == SKETCH else np.union1d(x, y)
+    common = np.intersect1d(x, y, assume_unique=True)
+    return 1.0 if not len(both) else float((common <= both[-1]).sum() / len(both))
+
+
+def marked(rows: DataFrame, shingle: int) -> DataFrame:
+    """MARKS of rows (row, text): a name of the shingle set, the fingerprint, those of the samples, and the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column("text"):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                found = np.unique(hashes)
+                with np.errstate(over="ignore"):
+                    whole = int((found * np.uint64(0x9E3779B97F4A7C15) ^ (found >> np.uint64(31))).sum(dtype=np.uint64).view(np.int64))
+                small = np.unique((found >> np.uint64(32)).astype("<u4"))[:SKETCH]
+                out.append((whole, folded(hashes), sampled(found).tolist(), small.tobytes()))
+            whole, fp, samples, sketch = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.int64()), pa.array(fp, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["row", "whole", "fp", "samples", "sketch"])
+
+    return rows.mapInArrow(run, MARKS)
+
+
+def confirmed(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (row, sketch) are at least so similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    side = lambda n: sketches.select(F.col("row").alias(n), F.col("sketch").alias("s" + n))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, **settings: int) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id; rows without id come last, ties as they lie in the
+    stored table. Returns the columns of `docs` (doc_id, text and any others).
+
+    Texts with the same set of shingles are one. Candidates are texts whose fingerprints meet in the tree at `radius` bits or that agree in
+    a sample; each is compared with the first and the last of those it meets, so a group of any size makes at most two pairs a row and
+    sample, and pairs of which the share of common shingles is `least` or more link. Two texts that are alike to that degree miss each
+    other in all samples with a probability of (1 - 0.8 ** 3) ** 10, one in a thousand, and less if they are more alike or meet
+    through others. Texts without words, null ones too, are copies of each other, as are rows that repeat. Texts of any length are read
+    whole. A table without rows gives none."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    marks = stored(marked(rows.select(F.col("_row").alias("row"), "text"), shingle), "marks")
+    place = stored(rows.select(F.col("_row").alias("row"), order.alias("at")), "places")
+    sets = marks.select("row", "whole").join(place, "row").groupBy("whole").agg(F.min("at").alias("at"))
+    leads = stored(sets.select("at", F.col("at.row").alias("row")).join(marks.drop("whole"), "row"), "leads")
+    found = components(leads.select(F.col("row").alias("doc_id"), "fp"), radius, **settings)
+    keys = leads.join(found, "fp").select("row", "at", F.lit(-1).alias("k"), F.col("root").alias("key")).union(leads.select("row", "at", F.posexplode("samples").alias("k", "key")))
+    ends = keys.groupBy("k", "key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("k", "key", F.explode(F.array("low.row", "high.row")).alias("a"))
+    met = keys.select("k", "key", F.col("row").alias("b")).join(ends, ["k", "key"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(confirmed(met, leads.select("row", "sketch"), least), "alike")
+    member = leads.select("row", "at").join(roots(links).withColumnRenamed("node", "row"), "row", "left")
+    first = member.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("at").alias("at"))
+    kept = first.select(F.col("at.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
