@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tieline.llm.common import bounded_batches, pick, stored
+from tieline.llm.common import bounded_batches, pick, running_start, stored
 from tieline.llm.tokens import word_tokenizer
 
 END = 1
 K1, B = 1.2, 0.75
+DIM = 128  # directions that documents are placed by
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 PIECE_COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
 
@@ -140,21 +142,137 @@ def fill(sizes: np.ndarray, index: Index, window: int) -> Iterator[list[tuple[in
         yield out
 
 
+@lru_cache(maxsize=1)
+def directions() -> np.ndarray:
+    """A seeded direction of `DIM` signs for each term."""
+    return (2 * np.random.default_rng(3).integers(0, 2, (1 << 16, DIM), np.int8) - 1).astype(np.float32)
+
+
+def outlines(batch: pa.RecordBatch, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of ids, strongest term, unit vector) of each row: BM25 weights of its terms, projected on `DIM` directions."""
+    top, size, vectors = np.full(batch.num_rows, -1, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, DIM), np.float32)
+    for i, x in enumerate(batch.column("ids")):
+        ids = np.sort(np.frombuffer(x.as_buffer(), "<u2"))
+        size[i] = len(ids)
+        edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        term, count = ids[edge], np.diff(edge, append=len(ids)).astype(np.float32)
+        weight = (idf[term] * count / (count + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32)
+        top[i] = term[weight.argmax()]
+        vectors[i] = weight @ directions()[term]
+    return size, top, vectors / np.maximum(np.sqrt((vectors**2).sum(1)), 1e-9)[:, None]
+
+
+class Halvings:
+    """A balanced tree of halvings by two means, fitted on a sample; leaves are numbered so that near ones lie side by side."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: int):
+        self.axis, self.cut, self.child, self.leaves = [], [], [], 0
+        self.rng = np.random.default_rng(9)
+        self.top = self._grow(sample, leaf_rows)
+
+    def _grow(self, rows: np.ndarray, leaf_rows: int) -> int:
+        """Index of a node, or -1 - leaf."""
+        if len(rows) >= 2 * leaf_rows:
+            axis = rows[self.rng.integers(len(rows))] - rows[self.rng.integers(len(rows))]
+            for _ in range(8):
+                along = rows @ axis
+                high = along > np.median(along)
+                if not high.any():
+                    break
+                axis = rows[high].mean(0) - rows[~high].mean(0)
+            along = rows @ axis
+            # The widest gap near the middle, so that a group of like rows is not cut where it need not be.
+            order = np.sort(along)
+            middle = order[len(order) * 2 // 5 : len(order) * 3 // 5 + 1]
+            gap = int(np.diff(middle).argmax()) if len(middle) > 1 else 0
+            cut = float(middle[gap : gap + 2].mean())
+            if (along > cut).any() and (along <= cut).any():
+                at = len(self.axis)
+                self.axis.append(axis)
+                self.cut.append(cut)
+                self.child.append(None)
+                self.child[at] = (self._grow(rows[along <= cut], leaf_rows), self._grow(rows[along > cut], leaf_rows))
+                return at
+        self.leaves += 1
+        return -self.leaves
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        out, work = np.zeros(len(x), np.int64), [(self.top, np.arange(len(x)))]
+        while work:
+            node, at = work.pop()
+            if node < 0:
+                out[at] = -node - 1
+            elif len(at):
+                far = x[at] @ self.axis[node] > self.cut[node]
+                work += [(self.child[node][0], at[~far]), (self.child[node][1], at[far])]
+        return out
+
+
+class Places:
+    """Centroids of unit vectors, by the leaves of a tree and a few rounds of k-means, in an order in which like ones lie side by side."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: int, rounds: int = 8):
+        at = Halvings(sample, leaf_rows).route(sample)
+        for _ in range(rounds if len(sample) else 0):
+            total = np.zeros((at.max() + 1, DIM), np.float32)
+            np.add.at(total, at, sample)
+            size = np.sqrt((total**2).sum(1))
+            self.centroids = total[size > 1e-6] / size[size > 1e-6, None]
+            if not len(self.centroids):
+                break
+            at = self.route(sample)
+        else:
+            self.centroids = self.centroids[np.argsort(Halvings(self.centroids, 1).route(self.centroids), kind="stable")] if len(sample) else sample
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.centroids):
+            return np.zeros(len(x), np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *((x[i : i + 1024] @ self.centroids.T).argmax(1) for i in range(0, len(x), 1024))])
+
+
+def placed(tails: DataFrame, idf: Broadcast, mean: float, shard_tokens: int, sample_rows: int = 20_000, leaf_rows: int = 8) -> DataFrame:
+    """(row, shard) of rows (row, ids): documents in the order of their nearest centroids, then of their strongest terms, cut every
+    `shard_tokens` ids or so. The centroids are fitted on at most `sample_rows` documents; all are placed by them."""
+    spark = tails.sparkSession
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(outlines(batch, idf.value, mean)[2]), pa.list_(pa.float32()))], ["v"])
+
+    n, draw = tails.count(), F.xxhash64(F.lit(4), "row")
+    share = min(1.0, 1.2 * sample_rows / max(n, 1))
+    sample = tails.filter(F.pmod(draw, F.lit(1 << 30)) <= int(share * (1 << 30))).select("ids", draw.alias("draw")).orderBy("draw").limit(sample_rows).select("ids")
+    sample = np.array([r.v for r in sample.mapInArrow(drawn, "v array<float>").collect()], np.float32).reshape(-1, DIM)
+    tree = spark.sparkContext.broadcast(Places(sample, leaf_rows))  # about sample_rows / leaf_rows centroids at most
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, top, vectors = outlines(batch, idf.value, mean)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(size), pa.array(tree.value.route(vectors)), pa.array(top)], ["row", "n", "leaf", "top"])
+
+    rows = tails.mapInArrow(found, "row long, n long, leaf long, top long").repartitionByRange("leaf", "top", "row").sortWithinPartitions("leaf", "top", "row")
+    rows = stored(rows.select("row", "n", F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("at")), "order")
+    counts = rows.groupBy("part").agg(F.sum("n").alias("all"))
+    starts = running_start(counts, [], "part", "all", "start").select("part", "start")
+    before = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).join(starts, "part")
+    return rows.select("row", F.floor((F.col("start") + F.col("own")) / shard_tokens).alias("shard"))
+
+
 def packed(docs: DataFrame, tokenizer: str, window: int = 2048, shard_tokens: int = 1 << 20) -> DataFrame:
     """Pieces of all documents (doc_id, text) in sequences of at most `window` ids: PIECE.
 
     A document's ids are the tokenizer's and an end id, so null and empty texts are one id. Whole windows of long documents are
-    sequences of their own; what remains of each document goes to one of the shards, of about `shard_tokens` ids each, by an
-    even hash of its row number in the stored token table, so that equal rows, ids or sources share no shard by rule. Repeated rows are
-    documents of their own. Document frequencies and the mean length are those of all documents. Sequences other than the last of
+    sequences of their own; what remains of each document is put in an order in which documents of like BM25 weights lie side by side (see
+    `placed`), and this order is cut into shards of about `shard_tokens` ids each. So neighbours meet in a shard's index however many
+    shards there are, and a group of equal documents of any size is cut like any other stretch. Repeated rows are documents of their own. Document frequencies and the mean length are those of all documents. Sequences other than the last of
     a shard are full. Texts of any length are read whole; a table without rows gives none. Other columns are left out."""
     spark = docs.sparkSession
     bounded_batches(spark)
     size = (F.length("ids") / 2).cast("long")
     both = stored(tokenised(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
     tokens, terms = both.filter("terms IS NULL").drop("terms"), both.filter("terms IS NOT NULL")
-    n, total, tails = tokens.agg(F.count("*"), F.sum(size), F.sum(size % window)).first()
-    shards = max(1, -(-(tails or 0) // shard_tokens))
+    n, total = tokens.agg(F.count("*"), F.sum(size)).first()
     frequency = np.zeros(1 << 16)
     for r in document_frequencies(terms).collect():  # one row for each id of the tokenizer at most
         frequency[r.id] = r.df
@@ -194,5 +312,5 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, shard_tokens: in
     full = tokens.filter(size >= window).select("doc_id", "ids")
     start = size - size % window
     rest = tokens.filter(size % window > 0).select("doc_id", "row", start.alias("start"), F.expr(f"substring(ids, 2 * (length(ids) div 2 - length(ids) div 2 % {window}) + 1)").alias("ids"))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    rest = rest.join(placed(rest.select("row", "ids"), idf, mean, shard_tokens), "row")
     return full.mapInArrow(long_ones, PIECE).union(rest.groupBy("shard").applyInArrow(shard, PIECE))
