@@ -61,7 +61,7 @@ def _latest(stamp: DataFrame, rows: DataFrame) -> DataFrame:
 def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: DataFrame) -> dict[str, DataFrame]:
     """Merge a wave's canonical tables. People come first; tables that only need them go together."""
     stamp = stage.keep("stamp", uploads.groupBy(*SCOPE).agg(F.min("uploaded_at").alias("_at")))
-    buckets = warehouse.touched(stamp)
+    workspaces = stage.keep("workspaces", uploads.select("ws").distinct())
     c = F.col
     one = lambda name: canonical.tables[name][0]
     people = stage.keep("people_0", one("people"))
@@ -71,7 +71,7 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
     companies = _latest(stamp, companies).withColumns(zero)
 
     # Weak identities may belong to people stored by earlier imports.
-    remap = stage.keep("remap", identity.weak_to_stored(people, warehouse.read("people", buckets)))
+    remap = stage.keep("remap", identity.weak_to_stored(people, warehouse.of("people", workspaces)))
     moved = lambda df: identity.remap_keys(df, remap).withColumn("person_id", surrogate("ws", "person_key"))
     # A weak row and the strong row it turns out to be may both be in this import; the first one stands.
     rows = dedupe_first(identity.remap_keys(people, remap), [*SCOPE, "person_key"]).withColumns({
@@ -120,28 +120,33 @@ def persist(stage: Stage, warehouse: Warehouse, canonical: Canonical, uploads: D
     touched = child("interactions").withColumn("interaction_id", surrogate(
         "ws", "person_id", "kind", F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("undated"))))
     merges["interactions"] = _latest(stamp, dedupe_first(touched, [*SCOPE, "interaction_id"]))
-    run_together(warehouse.spark, *[lambda n=n, df=df: warehouse.merge(n, df, buckets) for n, df in merges.items()])
+    run_together(warehouse.spark, *[lambda n=n, df=df: warehouse.merge(n, df, workspaces) for n, df in merges.items()])
 
-    stored = warehouse.read("people", buckets)
+    stored = warehouse.of("people", workspaces)
     talks = identity.resolve_counterparts(one("conversations"), stored).withColumn("conversation_id", surrogate("ws", "conversation_key"))
     talks = stage.keep("conversations", _latest(stamp, talks).withColumn("message_count", F.lit(0)))
-    warehouse.merge("conversations", talks, buckets)
+    warehouse.merge("conversations", talks, workspaces)
     other = talks.select(*SCOPE, "conversation_key", "conversation_id", c("person_id").alias("other_id"))
     messages = one("messages").join(other, [*SCOPE, "conversation_key"]).join(owner, SCOPE, "left").withColumns({
         "sender_id": F.when(c("direction") == "outbound", c("owner_id")).otherwise(c("other_id")), "message_id": surrogate("ws", "external_id")})
-    warehouse.merge("messages", _latest(stamp, dedupe_first(messages, [*SCOPE, "message_id"])), buckets)
+    warehouse.merge("messages", _latest(stamp, dedupe_first(messages, [*SCOPE, "message_id"])), workspaces)
 
-    return {"stamp": stamp, "buckets": buckets}
+    return {"stamp": stamp, "workspaces": workspaces}
 
 
-def derive(warehouse: Warehouse, buckets: list[int]) -> None:
-    """Recompute everything derived in the touched buckets; running it again changes nothing."""
-    read = lambda table: warehouse.read(table, buckets)
+def derive(warehouse: Warehouse, workspaces: DataFrame) -> None:
+    """Recompute everything derived of the workspaces (ws), others' rows and files stay; running it again changes nothing."""
+    with warehouse.transaction():
+        _derive(warehouse, workspaces)
+
+
+def _derive(warehouse: Warehouse, workspaces: DataFrame) -> None:
+    read = lambda table: warehouse.of(table, workspaces)
     linked = rollups.link_employment(read("employment"), read("companies"))
     talks = read("conversations").drop("message_count", "last_message_at", "started_at").join(
         rollups.conversation_totals(read("messages")), ["ws", "conversation_id"], "left").fillna(0, ["message_count"])
-    run_together(warehouse.spark, lambda: warehouse.overwrite("employment", rollups.retire_snapshots(linked)),
-                 lambda: warehouse.overwrite("conversations", talks))
+    run_together(warehouse.spark, lambda: warehouse.put("employment", rollups.retire_snapshots(linked), workspaces),
+                 lambda: warehouse.put("conversations", talks, workspaces))
     employment, people = read("employment"), rollups.connection_dates(read("people"), read("connections"))
     totals = rollups.interaction_totals(read("conversations"), read("messages"), read("interactions"))
     role = rollups.owner_current_role(employment, people).select(
@@ -154,8 +159,7 @@ def derive(warehouse: Warehouse, buckets: list[int]) -> None:
     )
     bare = read("companies").drop("connection_count", "current_count", "former_count")
     counted = rollups.company_totals(bare, employment, read("people"))
-    warehouse.overwrite("companies", counted)
-    warehouse.overwrite("people", people)
+    run_together(warehouse.spark, lambda: warehouse.put("companies", counted, workspaces), lambda: warehouse.put("people", people, workspaces))
 
 
 def file_outcomes(entries: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -191,7 +195,7 @@ def summarise(warehouse: Warehouse, uploads: DataFrame, entries: DataFrame, outc
         checksums, SCOPE, "left").fillna(0, ["file_count", "records_discovered", "records_rejected", "failed", "usable", "warnings", "errors"])
     created, updated, repeated = F.lit(0), F.lit(0), F.lit(0)
     for table in ("people", "connections", "companies", "employment", "education", "skills", "messages", "activities", "jobs"):
-        counts = warehouse.counts(table).select(*SCOPE, c("created").alias(f"{table}_created"), c("updated").alias(f"{table}_updated"))
+        counts = warehouse.counts(table, uploads).select(*SCOPE, c("created").alias(f"{table}_created"), c("updated").alias(f"{table}_updated"))
         out = out.join(counts, SCOPE, "left").fillna(0, [f"{table}_created", f"{table}_updated"])
         created = created + c(f"{table}_created")
         if table in ("people", "connections"):
@@ -210,22 +214,23 @@ def summarise(warehouse: Warehouse, uploads: DataFrame, entries: DataFrame, outc
 
 
 def run_wave(warehouse: Warehouse, uploads: DataFrame, completed_at: str, max_rows: int | None = None) -> None:
-    """Import at most one upload per workspace. The run's folder goes when everything is merged; a run that fails leaves it, and it can be
-    deleted by hand, as later runs do not read it."""
+    """Import at most one upload per workspace, as one version of the warehouse. The run's folder goes when everything is merged; a run that
+    fails leaves it, and it can be deleted by hand, as later runs do not read it."""
     stage = Stage(warehouse.spark, warehouse.root)
     uploads = stage.keep("uploads", uploads)
     entries, files, raw = scan(stage, uploads, max_rows)
     together = lambda *actions: run_together(warehouse.spark, *actions)
     canonical = normalize_datasets(raw, stage.keep, together)
     outcomes = canonical.tables["outcomes"][0]
-    done = persist(stage, warehouse, canonical, uploads)
-    derive(warehouse, done["buckets"])
-    per_file = stage.keep("import_files", file_outcomes(entries, files, outcomes))
-    warehouse.merge("import_files", per_file, done["buckets"])
-    named = uploads.withColumn("filename", F.element_at(F.split("archive", "/"), -1))
-    sums = archive.upload_checksums(named)
-    first = named.groupBy(*SCOPE).agg(F.min("filename").alias("filename"), F.min("uploaded_at").alias("uploaded_at"))
-    warehouse.merge("imports", stage.keep("imports", summarise(warehouse, first, entries, per_file, sums, completed_at)), done["buckets"])
+    with warehouse.transaction():
+        workspaces = persist(stage, warehouse, canonical, uploads)["workspaces"]
+        derive(warehouse, workspaces)
+        per_file = stage.keep("import_files", file_outcomes(entries, files, outcomes))
+        warehouse.merge("import_files", per_file, workspaces)
+        named = uploads.withColumn("filename", F.element_at(F.split("archive", "/"), -1))
+        sums = archive.upload_checksums(named)
+        first = named.groupBy(*SCOPE).agg(F.min("filename").alias("filename"), F.min("uploaded_at").alias("uploaded_at"))
+        warehouse.merge("imports", stage.keep("imports", summarise(warehouse, stage.keep("named", first), entries, per_file, sums, completed_at)), workspaces)
     stage.drop()
 
 

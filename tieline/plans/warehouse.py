@@ -1,17 +1,19 @@
-"""The stored network: Parquet tables partitioned by a hash bucket of the workspace.
+"""The stored network: versioned Parquet tables in hash buckets of the workspace.
 
-A merge reads and rewrites only the buckets a batch touches, with dynamic partition overwrite, which
-swaps partitions in at commit; a failed job leaves the old files in place."""
+A change reads and writes only the rows of the workspaces it touches; a failed job leaves the version before it."""
 
 from __future__ import annotations
 
 import threading
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tieline.operators import merge as m
+from tieline.plans.versions import Files, Log
 
 BUCKETS = 64
 STAMP = {"first_import_id": m.KEEP, "last_import_id": m.REPLACE}
@@ -108,27 +110,33 @@ def surrogate(*parts):
 
 
 LAYOUT = threading.Lock()
+MAX_FOLDERS = 8  # of a bucket; more are rewritten as one
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder that this package wrote itself."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Files(spark).delete(folder)
 
 
 class Warehouse:
     """The number of buckets is stored with the tables when the first one is written. It is read back when a warehouse is opened;
-    asking for another one is an error, as rows would be sought and written in the wrong buckets."""
+    asking for another one is an error, as rows would be sought and written in the wrong buckets.
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+    A change writes the rows of the workspaces it touches to a new folder and lists these workspaces, whose older rows are then passed over;
+    other workspaces' files stay as they are. Changes inside `transaction()` become visible together, or not at all."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, version: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log, self.pin = Log(spark, self.root), version
+        self._open: dict | None = None
+        self._lock = threading.RLock()
         held = self._layout()
         if held is not None and buckets not in (None, held):
             raise ValueError(f"{self.root} has {held} buckets, not {buckets}")
         self.buckets = held or buckets or BUCKETS
 
     def _layout(self) -> int | None:
-        if not self.exists("_layout"):
+        if not self.log.files.listed(self.path("_layout")):
             return None
         return self.spark.read.schema("buckets int").json(self.path("_layout")).first()["buckets"]
 
@@ -146,64 +154,149 @@ class Warehouse:
     def schema(self, table: str) -> T.StructType:
         return T._parse_datatype_string(TABLES[table].schema)
 
+    def pinned(self, version: int | None = None) -> Warehouse:
+        """The warehouse as of a version, the latest by default; all its tables are of that version. It cannot be written."""
+        return Warehouse(self.spark, self.root, version=self.log.latest() if version is None else version)
+
+    def _state(self) -> dict:
+        if self._open is not None:
+            return self._open["state"]
+        return self.log.state(self.log.latest() if self.pin is None else self.pin)
+
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return table in self._state()["tables"]
+
+    @contextmanager
+    def transaction(self):
+        """Changes made inside are committed together at its end; where it fails, none is. Reads inside see them. May be nested."""
+        if self.pin is not None:
+            raise ValueError("a pinned warehouse is read-only")
+        with self._lock:
+            outer = self._open is None
+            if outer:
+                base = self.log.latest()
+                self._open = {"base": base, "state": self.log.state(base), "changed": set(), "lists": [], "staged": {}}
+        try:
+            yield self
+            if outer:
+                self._compact()
+                if self._open["changed"]:
+                    self.log.commit(self._open["base"], self._open["state"], self._open["changed"])
+        finally:
+            if outer:
+                self._open = None
 
     def bucket(self):
         return F.pmod(F.xxhash64("ws"), F.lit(self.buckets)).cast("int")
 
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        schema = self.schema(table)
-        if not self.exists(table):
+        schema, lists, folders = self.schema(table), set(), {}
+        for bucket, entry in self._state()["tables"].get(table, {}).items():
+            if buckets is None or int(bucket) in buckets:
+                for folder, seq in entry["folders"]:
+                    newer = [g for g, at in entry["gone"] if at > seq]
+                    folders.setdefault((folder, seq, bool(newer)), []).append(f"{self.path(table)}/{folder}/bucket={bucket}")
+                lists |= {(g, at) for g, at in entry["gone"]}
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path(table))
-        if buckets is not None:
-            stored = stored.filter(F.col("bucket").isin(buckets))
-        return stored.drop("bucket")
+        parts = {False: [], True: []}
+        for (_, seq, aged), paths in sorted(folders.items()):
+            parts[aged].append(self.spark.read.schema(schema).parquet(*paths).withColumn("_seq", F.lit(seq)))
+        live = [df.drop("_seq") for df in parts[False]]
+        if parts[True]:
+            gone = reduce(DataFrame.union, [self.spark.read.schema("ws string").parquet(f"{self.root}/_gone/{g}").withColumn("_gone", F.lit(at)) for g, at in sorted(lists)])
+            gone = gone.groupBy("ws").agg(F.max("_gone").alias("_gone"))
+            older = reduce(DataFrame.union, parts[True]).join(gone, "ws", "left").filter("_gone IS NULL OR _seq >= _gone")
+            live.append(older.select(*schema.names))
+        return reduce(DataFrame.union, live)
 
     def touched(self, batch: DataFrame) -> list[int]:
         """Buckets of a batch: at most as many small numbers as there are buckets."""
         return sorted(r[0] for r in batch.select("ws").distinct().select(self.bucket()).distinct().collect())
 
-    def overwrite(self, table: str, rows: DataFrame) -> None:
-        """Replace the buckets present in `rows`. Writers get rows of one bucket from several tasks,
-        so a workspace that holds most rows is still written in parallel."""
+    def _write(self, table: str, rows: DataFrame) -> tuple[str, list[str]]:
+        """A new folder with the rows, and its buckets. Writers get even parts of buckets, also of one that holds most rows."""
         self._keep_layout()
+        folder = uuid.uuid4().hex
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema(table).fields])
-        (typed.withColumn("bucket", self.bucket()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(self.path(table)))
-
-    def replace(self, table: str, rows: DataFrame, buckets: list[int]) -> None:
-        """As `overwrite`, for recomputed rows of given buckets; buckets left empty are cleared too."""
-        before = set(self.touched(self.read(table, buckets)))
-        staged = f"{self.root}/_staged/{table}-{uuid.uuid4().hex}"
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema(table).fields])
-        typed.write.mode("overwrite").parquet(staged)
-        held = self.spark.read.schema(self.schema(table)).parquet(staged)
-        after = set(self.touched(held))
-        self.overwrite(table, held)
-        gone = self.spark._jvm.org.apache.hadoop.fs.Path
-        for bucket in sorted(before - after):
-            path = gone(f"{self.path(table)}/bucket={bucket}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        delete_folder(self.spark, staged)
-
-    def merge(self, table: str, batch: DataFrame, buckets: list[int] | None = None) -> None:
-        """Merge a batch by natural key. The batch should be stored data, as it is read more than once."""
+        typed.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path(table)}/{folder}")
+        return folder, [n.split("=")[1] for n, _ in self.log.files.listed(f"{self.path(table)}/{folder}") if n.startswith("bucket=")]
+
+    def _listed(self, workspaces: DataFrame) -> tuple[str, list[str]]:
+        """A stored list of workspaces, written once a transaction, and its buckets."""
+        with self._lock:
+            for known, name, buckets in self._open["lists"]:
+                if known is workspaces:
+                    return name, buckets
+            name = uuid.uuid4().hex
+            workspaces.select("ws").distinct().write.parquet(f"{self.root}/_gone/{name}")
+            buckets = [str(b) for b in self.touched(self.spark.read.schema("ws string").parquet(f"{self.root}/_gone/{name}"))]
+            self._open["lists"].append((workspaces, name, buckets))
+            return name, buckets
+
+    def _entry(self, table: str, bucket: str) -> dict:
+        self._open["changed"].add((table, bucket))
+        return self._open["state"]["tables"].setdefault(table, {}).setdefault(bucket, {"folders": [], "gone": []})
+
+    def put(self, table: str, rows: DataFrame, workspaces: DataFrame) -> None:
+        """Replace all rows of the workspaces (ws) by `rows`, which are theirs only."""
+        with self.transaction():
+            name, touched = self._listed(workspaces)
+            folder, filled = self._write(table, rows)
+            with self._lock:
+                state = self._open["state"]
+                state["seq"] += 1
+                earlier = self._open["staged"].setdefault((table, name), [])
+                for bucket in touched:
+                    entry = self._entry(table, bucket)
+                    entry["folders"] = [x for x in entry["folders"] if x[0] not in earlier] + ([[folder, state["seq"]]] if bucket in filled else [])
+                    entry["gone"] = [x for x in entry["gone"] if x[0] != name] + [[name, state["seq"]]]
+                earlier.append(folder)
+
+    def replace(self, table: str, rows: DataFrame, buckets: list[int] | None = None) -> None:
+        """Replace whole buckets by `rows`: those given, which may be left empty, or else those that `rows` hold."""
+        with self.transaction():
+            folder, filled = self._write(table, rows)
+            with self._lock:
+                state = self._open["state"]
+                state["seq"] += 1
+                for bucket in {str(b) for b in buckets or ()} | set(filled):
+                    self._entry(table, bucket).update({"folders": [[folder, state["seq"]]] if bucket in filled else [], "gone": []})
+
+    def _compact(self) -> None:
+        """Rewrite changed buckets that have come to lie in many folders."""
+        for table in sorted({t for t, _ in self._open["changed"]}):
+            many = [int(b) for b, e in self._open["state"]["tables"][table].items() if (table, b) in self._open["changed"] and len(e["folders"]) > MAX_FOLDERS]
+            if many:
+                self.replace(table, self.read(table, many), many)
+
+    def vacuum(self, keep: int = 2, older_than_hours: float = 24) -> int:
+        return self.log.vacuum(self.root, keep, older_than_hours * 3600)
+
+    def merge(self, table: str, batch: DataFrame, workspaces: DataFrame | None = None) -> None:
+        """Merge a batch by natural key into the rows of its workspaces. The batch should be stored data, as it is read more than once.
+        `workspaces` holds at least those of the batch; given the same frame, several changes of a transaction share one list."""
         spec = TABLES[table]
         typed = batch.select(*[
-            (F.col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(table).fields])
-        at = buckets if buckets is not None else self.touched(typed)
-        merged = m.merge_rows(self.read(table, at), typed, spec.keys, spec.rules).drop("inserted")
-        self.overwrite(table, merged)
-
-    def counts(self, table: str) -> DataFrame:
-        """(ws, import_id, created, updated): rows an import made, and rows it saw again. An import's
-        rows carry its id, so counting needs no bookkeeping and can be repeated."""
-        return self.read(table).groupBy("ws", F.col("last_import_id").alias("import_id")).agg(
-            F.count_if(F.col("first_import_id") == F.col("last_import_id")).alias("created"),
-            F.count_if(F.col("first_import_id") != F.col("last_import_id")).alias("updated"),
+            (F.col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(table).fields],
+            *[F.col("ord")] * ("ord" in batch.columns))
+        with self.transaction():
+            workspaces = batch.select("ws").distinct() if workspaces is None else workspaces
+            merged = m.merge_rows(self.of(table, workspaces), typed, spec.keys, spec.rules).drop("inserted")
+            self.put(table, merged, workspaces)
+
+    def of(self, table: str, workspaces: DataFrame) -> DataFrame:
+        """The rows of some workspaces."""
+        buckets = [int(b) for b in self._listed(workspaces)[1]] if self._open is not None else self.touched(workspaces)
+        return self.read(table, buckets).join(workspaces.select("ws").distinct(), "ws", "left_semi").select(*self.schema(table).names)
+
+    def counts(self, table: str, imports: DataFrame) -> DataFrame:
+        """(ws, import_id, created, updated) of the imports (ws, import_id): rows each made, and rows it saw again. An import's rows carry
+        its id, so counting needs no bookkeeping and can be repeated."""
+        rows = self.of(table, imports).withColumnRenamed("last_import_id", "import_id").join(imports.select("ws", "import_id").distinct(), ["ws", "import_id"], "left_semi")
+        return rows.groupBy("ws", "import_id").agg(
+            F.count_if(F.col("first_import_id") == F.col("import_id")).alias("created"),
+            F.count_if(F.col("first_import_id") != F.col("import_id")).alias("updated"),
         )
 
 
@@ -216,35 +309,37 @@ def delete_import(warehouse: Warehouse, import_ids: DataFrame, with_data: bool)
     from tieline.operators.maintenance import imported_only_by, without_people
     from tieline.plans.import_job import derive
 
-    buckets = warehouse.touched(import_ids)
     removed = 0
-    if with_data:
-        # The list is stored first, because the tables it is read from are rewritten below.
-        path = f"{warehouse.root}/_staged/removed-{uuid.uuid4().hex}"
-        imported_only_by(warehouse.read("people", buckets), import_ids).select("ws", "person_id").write.mode("overwrite").parquet(path)
-        gone = warehouse.spark.read.parquet(path)
-        removed = gone.count()
-        for table in ["people", *PERSON_TABLES]:
+    workspaces = import_ids.select("ws").distinct()
+    with warehouse.transaction():
+        if with_data:
+            path = f"{warehouse.root}/_staged/removed-{uuid.uuid4().hex}"
+            imported_only_by(warehouse.of("people", workspaces), import_ids).select("ws", "person_id").write.parquet(path)
+            gone = warehouse.spark.read.schema("ws string, person_id string").parquet(path)
+            removed = gone.count()
+            for table in ["people", *PERSON_TABLES]:
+                if warehouse.exists(table):
+                    warehouse.put(table, without_people(warehouse.of(table, workspaces), gone), workspaces)
+            if warehouse.exists("conversations"):
+                unlinked = warehouse.of("conversations", workspaces).join(gone.withColumn("_gone", F.lit(True)), ["ws", "person_id"], "left")
+                warehouse.put("conversations", unlinked.withColumn("person_id", F.when(F.col("_gone").isNull(), F.col("person_id"))), workspaces)
+            derive(warehouse, workspaces)
+        for table in ("imports", "import_files"):
             if warehouse.exists(table):
-                warehouse.replace(table, without_people(warehouse.read(table, buckets), gone), buckets)
-        for table in ("conversations",):
-            unlinked = warehouse.read(table, buckets).join(gone.withColumn("_gone", F.lit(True)), ["ws", "person_id"], "left")
-            warehouse.replace(table, unlinked.withColumn("person_id", F.when(F.col("_gone").isNull(), F.col("person_id"))), buckets)
-        derive(warehouse, buckets)
-    for table in ("imports", "import_files"):
-        if warehouse.exists(table):
-            warehouse.replace(table, warehouse.read(table, buckets).join(import_ids, ["ws", "import_id"], "left_anti"), buckets)
+                warehouse.put(table, warehouse.of(table, workspaces).join(import_ids, ["ws", "import_id"], "left_anti"), workspaces)
+    if with_data:
+        delete_folder(warehouse.spark, path)
     return removed
 
 
 def reset_workspaces(warehouse: Warehouse, workspaces: DataFrame, confirm: str) -> None:
-    """Erase every stored row of the given workspaces. Must be confirmed with the word DELETE."""
+    """Erase every stored row of the given workspaces. Must be confirmed with the word DELETE. Their files go with the next vacuum."""
     if confirm != "DELETE":
         raise ValueError('pass confirm="DELETE" to erase every imported record')
-    buckets = warehouse.touched(workspaces)
-    for table in TABLES:
-        if warehouse.exists(table):
-            warehouse.replace(table, warehouse.read(table, buckets).join(workspaces, "ws", "left_anti"), buckets)
+    with warehouse.transaction():
+        for table in TABLES:
+            if warehouse.exists(table):
+                warehouse.put(table, warehouse.of(table, workspaces).limit(0), workspaces)
 
 
 def append_snapshots(warehouse: Warehouse, summary: DataFrame, now: str, metric_type: str = "network_report") -> None:
