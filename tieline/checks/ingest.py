@@ -437,6 +437,20 @@ def _rules(tables):
     return merge.merge_rows(stored, batch, ["person_id"], {"n": merge.KEEP, "last_at": merge.PREFER_OLD, "tag": merge.REPLACE, "f": merge.KEEP})
 
 
+@query("merge_repeat", """, seen AS (SELECT person_id, order_id, CASE WHEN order_id % 3 <> 0 THEN priority END AS tag, CASE WHEN order_id % 4 <> 1 THEN order_status END AS status FROM ords),
+  early AS (SELECT person_id, arg_max(tag, order_id) FILTER (tag IS NOT NULL) AS newest, arg_min(status, order_id) FILTER (status IS NOT NULL) AS oldest, arg_min(order_id, order_id) AS kept, arg_max(order_id, order_id) AS replaced FROM seen WHERE order_id % 2 = 0 GROUP BY 1),
+  late AS (SELECT person_id, arg_max(tag, order_id) FILTER (tag IS NOT NULL) AS newest, arg_min(status, order_id) FILTER (status IS NOT NULL) AS oldest, arg_min(order_id, order_id) AS kept, arg_max(order_id, order_id) AS replaced FROM seen WHERE order_id % 2 = 1 GROUP BY 1)
+  SELECT person_id, coalesce(l.newest, e.newest) AS newest, coalesce(e.oldest, l.oldest) AS oldest, coalesce(e.kept, l.kept) AS kept, coalesce(l.replaced, e.replaced) AS replaced, e.person_id IS NULL AS inserted FROM early e FULL JOIN late l USING (person_id)""".replace("e.person_id IS NULL", "e.kept IS NULL"))
+def _repeat(tables):
+    """Even orders are merged into nothing, odd ones into what that left; keys repeat in both, with nulls on either side."""
+    c = F.col
+    rows = tables.orders.select("person_id", F.when(c("order_id") % 3 != 0, c("priority")).alias("newest"), F.when(c("order_id") % 4 != 1, c("order_status")).alias("oldest"),
+                                c("order_id").alias("kept"), c("order_id").alias("replaced"), c("order_id").alias("ord"))
+    rules = {"newest": merge.PREFER_NEW, "oldest": merge.PREFER_OLD, "kept": merge.KEEP, "replaced": merge.REPLACE}
+    stored = merge.merge_rows(rows.limit(0).drop("ord"), rows.filter("ord % 2 = 0"), ["person_id"], rules).drop("inserted")
+    return merge.merge_rows(stored, rows.filter("ord % 2 = 1"), ["person_id"], rules)
+
+
 @query("import_files", """ SELECT ws, count(*) FILTER (person_id % 11 <> 0) AS accepted, count(*) FILTER (person_id % 11 = 0) AS rejected FROM people GROUP BY ws""")
 def _outcomes(tables):
     raw = connection_raw(tables)

@@ -21,18 +21,24 @@ def dedupe_first(df: DataFrame, keys: list[str], order: str = "ord") -> DataFram
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def one_per_key(batch: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
-    """A batch with repeated keys reduced by the rules: EITHER, LARGEST and SUM over all rows of a key, the other columns from the
-    largest row, so that the outcome does not depend on the order of rows. The join on the same keys needs no further shuffle."""
-    over = {EITHER: F.bool_or, LARGEST: F.max, SUM: F.sum}
-    rest = [c for c in batch.columns if c not in keys and rules.get(c) not in over]
-    folded = [over[rules[c]](c).alias(c) for c in batch.columns if rules.get(c) in over]
-    grouped = batch.groupBy(*keys).agg(F.max(F.struct(F.lit(True).alias("_held"), *rest)).alias("_row"), *folded)
-    return grouped.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in batch.columns])
+def one_per_key(batch: DataFrame, keys: list[str], rules: dict[str, str], order: str = "ord") -> DataFrame:
+    """A batch with repeated keys reduced column by column, as if its rows were merged one after the other: the last value that is not
+    null for PREFER_NEW, the first one for PREFER_OLD, the first row's for KEEP, the last one's for REPLACE, and EITHER, LARGEST and SUM over
+    all. Rows follow each other by the column `order`. Without it they follow by all their values, so that the outcome does not depend on
+    how they lie, and KEEP takes the largest row's value too."""
+    rest = [c for c in batch.columns if c not in keys and c != order]
+    ordered = order in batch.columns
+    at = F.col(order) if ordered else F.struct(F.lit(True).alias("_held"), *rest)
+    last = lambda c, by: F.max_by(c, by)
+    first = lambda c, by: F.min_by(c, by)
+    filled = lambda c: F.when(F.col(c).isNotNull(), at)
+    fold = {PREFER_NEW: lambda c: last(c, filled(c)), PREFER_OLD: lambda c: first(c, filled(c)), KEEP: lambda c: (first if ordered else last)(c, at), REPLACE: lambda c: last(c, at),
+            EITHER: F.bool_or, LARGEST: F.max, SUM: F.sum}
+    return batch.groupBy(*keys).agg(*[fold[rules.get(c, REPLACE)](c).alias(c) for c in rest]).select(*[c for c in batch.columns if c != order])
 
 
 def merge_rows(stored: DataFrame, batch: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
-    """Stored rows after the batch, with `inserted` telling new rows from known ones.
+    """Stored rows after the batch, with `inserted` telling new rows from known ones. A column `ord` of the batch orders its rows.
     Keys must be non-null, and unique among stored rows; a batch may repeat them. Applying the same batch again changes nothing,
     unless a SUM rule is used."""
     unknown = set(rules.values()) - set(RULES)
