@@ -101,9 +101,9 @@ def test_colleagues_and_related_companies_by_brute_force(spark):
     everyone = people(spark, [{"person_id": p} for p in sets]).withColumn("is_self", F.col("person_id") == "p0")
     employment = jobs(spark, rows).withColumn("company_id", F.concat(F.lit("id-"), F.col("company_key")))
     want = {p: sum(1 for q in sets if q != p and q != "p0" and sets[p] & sets[q]) for p in sets if sets[p]}
-    for limit in (12, 2, 0):
-        got = {r.person_id: r.colleagues for r in pe.colleague_counts(everyone, employment, limit).collect()}
-        assert got == want, limit
+    for slot in (16_384, 12, 2):
+        got = {r.person_id: r.colleagues for r in pe.colleague_counts(everyone, employment, slot).collect()}
+        assert got == want, slot
     known = spark.createDataFrame([("w", k, f"id-{k}", k) for k in [*"abcdefgh", "big"]], "ws string, company_key string, company_id string, name string")
     related = {(r.company_id, r.other_name): r.shared_people for r in co.related_companies(employment, everyone, known, limit=50).collect()}
     keys = {k for s in sets.values() for k in s}
@@ -111,6 +111,23 @@ def test_colleagues_and_related_companies_by_brute_force(spark):
     assert related == brute
 
 
+def test_colleagues_of_a_hot_employer_and_of_a_person_with_many(spark):
+    """Most people share an employer, and one person has had 40."""
+    rows, sets = [], {}
+    for p in range(3000):
+        sets[f"p{p}"] = {"big"} if p % 10 else {f"c{p % 200}"}
+    sets["p10"] = {f"c{i}" for i in range(0, 400, 10)} | {"big"}
+    rows = [{"person_id": p, "company_name": k, "company_key": k, "is_current": True} for p, mine in sets.items() for k in mine]
+    everyone = people(spark, [{"person_id": p} for p in sets]).withColumn("is_self", F.col("person_id") == "p20")
+    holders = {}
+    for p, mine in sets.items():
+        for k in mine:
+            holders.setdefault(k, set()).add(p)
+    want = {p: len(set().union(*[holders[k] for k in mine]) - {p, "p20"}) for p, mine in sets.items()}
+    for slot in (16_384, 100):
+        assert {r.person_id: r.colleagues for r in pe.colleague_counts(everyone, jobs(spark, rows), slot).collect()} == want
+
+
 def facts_of(spark, rows, history):
     owner = spark.createDataFrame([("w", "me", "You", None, "Berlin, Germany", "Computer Software", None)],
                                   "ws string, person_id string, name string, headline string, location string, industry string, profile_url string")

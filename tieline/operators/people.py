@@ -249,54 +249,37 @@ def employer_sets(people: DataFrame, employment: DataFrame) -> DataFrame:
     )
 
 
-SUBSET_LIMIT = 9
+SLOT_PEOPLE = 16_384  # numbered together on average; a bitmap has room for twice as many
 
 
-def _subsets(c: Column) -> Column:
-    """All non-empty subsets of a small array, each in the array's order."""
-    grown = F.aggregate(
-        c, F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x))))
-    )
-    return F.filter(grown, lambda s: F.size(s) > 0)
+def numbered_people(rows: DataFrame, slot_people: int = SLOT_PEOPLE) -> DataFrame:
+    """(ws, person_id, slot, bit): dense numbers of a workspace's people. They are dealt to slots by an even hash first, so that no task numbers
+    a whole workspace, and numbered from 0 in their slot."""
+    total = rows.groupBy("ws").agg(F.count(F.lit(1)).alias("_total"))
+    slot = F.pmod(F.xxhash64("person_id"), F.ceil(F.col("_total") / slot_people)).alias("slot")
+    bit = F.row_number().over(W.partitionBy("ws", "slot").orderBy("person_id")) - 1
+    return rows.join(total, "ws").select(*PERSON, slot).withColumn("bit", bit.cast("long"))
 
 
-def colleague_counts(people: DataFrame, employment: DataFrame, subset_limit: int = SUBSET_LIMIT) -> DataFrame:
+def colleague_counts(people: DataFrame, employment: DataFrame, slot_people: int = SLOT_PEOPLE) -> DataFrame:
     """(ws, person_id, colleagues): distinct other people, owners aside, who share an employer.
 
-    Pairs of people are never formed. People are first grouped by their set of employers. Sets of up to
-    `subset_limit` employers use inclusion and exclusion: each set emits its subsets, one count per
-    subset says how many people hold it, and every set adds and subtracts the counts of its own subsets,
-    which is linear in the number of sets. Where a larger set is involved, a colleague is counted at the
-    most popular employer shared, that is, where the two sets of still more popular employers are
-    disjoint; only distinct such sets meet there, at least one of them a large one's."""
-    sets = employer_sets(people, employment)
-    distinct_sets = sets.groupBy("ws", "employers").agg(F.sum((~F.col("is_self")).cast("long")).alias("members")).withColumn(
-        "large", F.size("employers") > subset_limit)
-    # Few bytes become many rows below, so the sets are spread by number, which AQE does not undo.
-    slots = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct_sets = distinct_sets.repartition(slots, "ws", "employers")
-
-    parts = distinct_sets.filter("NOT large").select("ws", "employers", "members", F.explode(_subsets(F.col("employers"))).alias("part"))
-    holding = parts.groupBy("ws", "part").agg(F.sum("members").alias("_n"))
-    sign = F.when(F.size("part") % 2 == 1, F.col("_n")).otherwise(-F.col("_n"))
-    among_small = parts.join(holding, ["ws", "part"]).groupBy("ws", "employers").agg(F.sum(sign).alias("_n"))
-
-    at = distinct_sets.select(
-        "ws", "employers", "members", "large", F.posexplode("employers").alias("_position", "company_key")
-    ).withColumn("ahead", F.slice("employers", F.lit(1), F.col("_position")))
-    place = ["ws", "company_key", "ahead", "large"]
-    groups = at.groupBy(*place).agg(F.sum("members").alias("members"))
-    other = groups.filter("members > 0").select(
-        "ws", "company_key", F.col("ahead").alias("_theirs"), F.col("large").alias("_large"), F.col("members").alias("_n"))
-    meet = lambda mine, theirs: mine.select(*place).join(theirs, ["ws", "company_key"]).filter(~F.arrays_overlap("ahead", "_theirs"))
-    met = (
-        meet(groups.filter("large"), other).unionByName(meet(groups.filter("NOT large"), other.filter("_large")))
-        .groupBy(*place).agg(F.sum("_n").alias("_n"))
-    )
-    with_large = at.join(met, place).groupBy("ws", "employers").agg(F.sum("_n").alias("_n"))
-    per_set = among_small.unionByName(with_large).groupBy("ws", "employers").agg(F.sum("_n").alias("_n"))
-    return sets.join(per_set, ["ws", "employers"], "left").select(
-        *PERSON, (F.coalesce("_n", F.lit(0)) - F.when(F.col("is_self") | F.col("_n").isNull(), 0).otherwise(1)).alias("colleagues")
+    An employer's people are bitmaps over the people of each slot. The people of a set of employers are these bitmaps or-ed, once for each
+    distinct set, and counted. So neither the size of an employer nor the number of a person's employers matters, and pairs of
+    people are never formed; a slot's bitmap is 4 KiB however many people it holds."""
+    rows = employment.filter(F.col("company_key").isNotNull()).select(*PERSON, "company_key").distinct()
+    owners = people.filter("is_self").select(*PERSON, F.lit(True).alias("is_self"))
+    sets = rows.groupBy(*PERSON).agg(F.sort_array(F.collect_list("company_key")).alias("employers")).join(owners, PERSON, "left")
+    sets = sets.withColumn("is_self", F.coalesce("is_self", F.lit(False))).withColumn("set", F.sha2(F.to_json("employers"), 256))
+    others = rows.join(owners, PERSON, "left_anti")
+    places = numbered_people(others.select(*PERSON).distinct(), slot_people)
+    held = others.join(places, PERSON).groupBy("ws", "company_key", "slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    distinct_sets = sets.groupBy("ws", "set").agg(F.first("employers").alias("employers"))
+    met = distinct_sets.select("ws", "set", F.explode("employers").alias("company_key")).join(held, ["ws", "company_key"])
+    met = met.groupBy("ws", "set", "slot").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("_n"))
+    per_set = met.groupBy("ws", "set").agg(F.sum("_n").alias("_n"))
+    return sets.join(per_set, ["ws", "set"], "left").select(
+        *PERSON, (F.coalesce("_n", F.lit(0)) - F.when(F.col("is_self"), 0).otherwise(1)).alias("colleagues")
     )
 
 
