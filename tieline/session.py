@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,25 +37,20 @@ def local_session(cores: int | str = "*", app: str = "tieline", **extra: str) ->
     return spark
 
 
+@lru_cache
+def _scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tieline-checkpoint-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only where none is named (tests)."""
+    """The shared folder the cluster names; a scratch one only where none is named and everything runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    scratch = tempfile.mkdtemp(prefix="tieline-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return _scratch(context.applicationId)
 
 
 def run_together(spark: SparkSession, *actions: Callable[[], object], at_once: int = 8) -> list:
