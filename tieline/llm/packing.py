@@ -74,7 +74,7 @@ class Index:
         often = np.flatnonzero(np.bincount(term, minlength=len(idf)) * 8 > self.n)
         self.place = np.full(len(idf), -1)
         self.place[often] = np.arange(len(often))
-        self.rows = np.zeros((len(often), self.n))
+        self.rows = np.zeros((len(often), self.n), np.float32)
         frequent = self.place[term] >= 0
         self.rows[self.place[term[frequent]], doc[frequent]] = weight[frequent]
         used = np.flatnonzero((weight > 0) & ~frequent)
@@ -88,7 +88,9 @@ class Index:
         begin, end = self.begin[terms], self.begin[terms + 1]
         size = end - begin
         at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n) + self.rows[place[place >= 0]].sum(0)
+        here = np.zeros(len(self.rows), np.float32)
+        here[place[place >= 0]] = 1
+        return np.bincount(self.doc[at], self.weight[at], self.n) + here @ self.rows
 
 
 def best_first(scores: np.ndarray, rest: np.ndarray, some: int = 64) -> Iterator[np.ndarray]:
@@ -150,15 +152,21 @@ def directions() -> np.ndarray:
 
 def outlines(batch: pa.RecordBatch, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of ids, strongest term, unit vector) of each row: BM25 weights of its terms, projected on `DIM` directions."""
-    top, size, vectors = np.full(batch.num_rows, -1, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, DIM), np.float32)
-    for i, x in enumerate(batch.column("ids")):
-        ids = np.sort(np.frombuffer(x.as_buffer(), "<u2"))
-        size[i] = len(ids)
-        edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        term, count = ids[edge], np.diff(edge, append=len(ids)).astype(np.float32)
-        weight = (idf[term] * count / (count + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32)
-        top[i] = term[weight.argmax()]
-        vectors[i] = weight @ directions()[term]
+    ids = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("ids")]
+    size = np.array([len(x) for x in ids], np.int64)
+    key = np.sort(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64) + (np.repeat(np.arange(len(ids)), size) << 16))
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(key))).astype(np.float32)
+    doc, term = key[edge] >> 16, key[edge] & 0xFFFF
+    weight = (idf[term] * count / (count + K1 * (1 - B + B * size[doc] / mean))).astype(np.float32)
+    end = np.searchsorted(doc, np.arange(len(ids)), "right")
+    top, vectors, along, start = np.full(len(ids), -1, np.int64), np.zeros((len(ids), DIM), np.float32), directions(), 0
+    for i, stop in enumerate(end.tolist()):
+        if stop > start:
+            w, t = weight[start:stop], term[start:stop]
+            top[i] = t[w.argmax()]
+            vectors[i] = w @ along[t]
+        start = stop
     return size, top, vectors / np.maximum(np.sqrt((vectors**2).sum(1)), 1e-9)[:, None]
 
 
@@ -225,10 +233,32 @@ class Places:
             self.centroids = self.centroids[np.argsort(Halvings(self.centroids, 1).route(self.centroids), kind="stable")] if len(sample) else sample
 
     def route(self, x: np.ndarray) -> np.ndarray:
+        """The nearest centroid of each row."""
         if not len(self.centroids):
             return np.zeros(len(x), np.int64)
         return np.concatenate([np.zeros(0, np.int64), *((x[i : i + 1024] @ self.centroids.T).argmax(1) for i in range(0, len(x), 1024))])
 
+    def route_by_groups(self, x: np.ndarray, tried: int = 6) -> np.ndarray:
+        """The nearest centroid among those of the `tried` nearest groups; a group is some that lie side by side."""
+        n = len(self.centroids)
+        width = max(1, int(np.sqrt(n)))
+        if n <= tried * width:
+            return self.route(x)
+        begin = np.arange(0, n, width)
+        middle = np.add.reduceat(self.centroids, begin)
+        middle /= np.maximum(np.sqrt((middle**2).sum(1)), 1e-9)[:, None]
+        near = np.argpartition(-(x @ middle.T), tried, axis=1)[:, :tried]
+        best, found = np.full(len(x), -np.inf, np.float32), np.zeros(len(x), np.int64)
+        for g, b in enumerate(begin.tolist()):
+            at = np.flatnonzero((near == g).any(1))
+            if len(at):
+                score = x[at] @ self.centroids[b : b + width].T
+                one = score.argmax(1)
+                value = score[np.arange(len(at)), one]
+                better = value > best[at]
+                best[at[better]], found[at[better]] = value[better], b + one[better]
+        return found
+
 
 def placed(tails: DataFrame, idf: Broadcast, mean: float, shard_tokens: int, sample_rows: int = 20_000, leaf_rows: int = 8) -> DataFrame:
     """(row, shard) of rows (row, ids): documents in the order of their nearest centroids, then of their strongest terms, cut every
@@ -248,9 +278,10 @@ def placed(tails: DataFrame, idf: Broadcast, mean: float, shard_tokens: int, sam
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, top, vectors = outlines(batch, idf.value, mean)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(size), pa.array(tree.value.route(vectors)), pa.array(top)], ["row", "n", "leaf", "top"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(size), pa.array(tree.value.route_by_groups(vectors)), pa.array(top)], ["row", "n", "leaf", "top"])
 
-    rows = tails.mapInArrow(found, "row long, n long, leaf long, top long").repartitionByRange("leaf", "top", "row").sortWithinPartitions("leaf", "top", "row")
+    rows = stored(tails.mapInArrow(found, "row long, n long, leaf long, top long"), "outlines")  # ranges sample what they deal
+    rows = rows.repartitionByRange("leaf", "top", "row").sortWithinPartitions("leaf", "top", "row")
     rows = stored(rows.select("row", "n", F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("at")), "order")
     counts = rows.groupBy("part").agg(F.sum("n").alias("all"))
     starts = running_start(counts, [], "part", "all", "start").select("part", "start")
