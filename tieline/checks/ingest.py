@@ -564,3 +564,23 @@ def _import_run(tables):
   CASE WHEN no % 9 = 8 THEN 0 ELSE 3 * count(*) + count(DISTINCT (c_mktsegment, c_custkey % 5)) + 1 END::BIGINT AS records_imported, 0::BIGINT AS records_rejected FROM {GOOD} GROUP BY no""", base=False)
 def _import_summary(tables):
     return imported(tables).read("imports").select("ws", "status", "error_code", "file_count", "records_discovered", "records_imported", "records_rejected")
+
+
+@query("import_seen_before", f"""SELECT 'w' || no AS ws, CASE WHEN no % 9 <> 8 THEN '{IMPORT}' END AS previous_import FROM {GOOD} GROUP BY no""", base=False)
+def _seen_before(tables):
+    """The same uploads again, asked for before anything of them is unpacked."""
+    named = derived_files(tables).withColumn("filename", F.element_at(F.split("archive", "/"), -1))
+    return archive.seen_before(archive.upload_checksums(named), imported(tables).read("imports")).select("ws", "previous_import")
+
+
+KNOWN = {"Connections.csv": "connections", "Saved Jobs.csv": "saved_jobs"}
+LISTED = ", ".join(f"({b.lit(n)}, {b.lit(KNOWN.get(n))})" for n in (e.rsplit("/", 1)[-1] for e in ENTRY_NAMES))
+
+
+@query("import_detail", f"""SELECT 'w' || no AS ws, CASE WHEN no % 9 = 8 THEN 'failed' ELSE 'completed' END AS status, position, filename, dataset, CASE WHEN filename IS NOT NULL THEN if(dataset IS NULL, 'skipped', 'normalized') END AS file_status
+  FROM (SELECT DISTINCT no FROM {GOOD}) LEFT JOIN (SELECT row_number() OVER (ORDER BY dataset IS NULL, dataset, filename) AS position, * FROM (VALUES {LISTED}) v(filename, dataset)) f ON no % 9 <> 8""", base=False)
+def _detail(tables):
+    from tieline.operators.dashboard import import_detail
+
+    house = imported(tables).pinned()
+    return import_detail(house.read("imports"), house.read("import_files")).select("ws", "status", "position", "filename", "dataset", "file_status")

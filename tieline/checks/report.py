@@ -8,7 +8,7 @@ from tieline.checks.composition import BAND, CTE, EXPLAIN, IND, SPREAD_SQL, TXT,
 from tieline.checks.registry import query
 from tieline.functions import fixed_values as fv
 from tieline.operators.questions import NetworkAnalyst, with_intent
-from tieline.plans.report import AnalyticsReport
+from tieline.plans.report import LIMITATIONS, AnalyticsReport
 from tieline.sources.binding import NOW
 from tieline.sources.facts import facts_of
 
@@ -144,3 +144,16 @@ def _records(tables):
     coalesce(n.n, 0) AS new_connections, coalesce(gn.n, 0) AS not_seen FROM growth g LEFT JOIN bands USING (ws) LEFT JOIN move_n USING (ws) LEFT JOIN mover_n USING (ws) LEFT JOIN new_n n USING (ws) LEFT JOIN gone_n gn USING (ws)""")
 def _report(tables):
     return report_of(tables).summary
+
+
+@query("report_limitations", f" SELECT ws, i::INT AS position, {b.array(LIMITATIONS)}[i + 1] AS text FROM (SELECT DISTINCT ws FROM people), range({len(LIMITATIONS)}) r(i)")
+def _limitations(tables):
+    return report_of(tables).limitations
+
+
+@query("report_compact", CTE["company"] + MOVES + """ SELECT ws, 'career_moves' AS list, least(count(*), 5) AS shown FROM moves GROUP BY ws
+  UNION ALL SELECT ws, 'company_changes', least(count(*), 3) FROM moves WHERE from_key <> to_key GROUP BY ws""")
+def _compact(tables):
+    out = report_of(tables).compact({"career_moves": 5, "company_changes": 3})
+    count = lambda name: out[name].groupBy("ws").agg(F.lit(name).alias("list"), F.count(F.lit(1)).alias("shown"))
+    return count("career_moves").unionByName(count("company_changes"))

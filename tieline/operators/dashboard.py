@@ -113,3 +113,13 @@ def import_history(imports: DataFrame, files: DataFrame, page: int = 1, limit: i
 def file_order() -> list[Column]:
     """Recognised datasets by name, then the rest by file name."""
     return [F.col("dataset").isNull().asc(), F.col("dataset").asc(), F.col("filename").asc()]
+
+
+def import_detail(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Each import with its files in order: recognised datasets by name, then the rest by file name. A file's place is unique in its import;
+    an upload holds at most 200 files, so the window is small."""
+    place = F.row_number().over(W.partitionBy("ws", "import_id").orderBy(*file_order(), F.col("source_file").asc()))
+    listed = files.withColumn("position", place).select(
+        "ws", "import_id", "position", "source_file", "filename", "dataset", "file_size", F.col("status").alias("file_status"), "reason",
+        F.col("records_discovered").alias("file_records"), F.col("records_imported").alias("file_imported"), F.col("records_rejected").alias("file_rejected"), "warnings", "errors")
+    return imports.select("ws", "import_id", F.col("filename").alias("upload"), "uploaded_at", "status", "error_code", "error_message", "processing_completed_at").join(listed, ["ws", "import_id"], "left")

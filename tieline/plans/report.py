@@ -93,6 +93,16 @@ class AnalyticsReport:
             out = out.join(part, "ws", "left")
         return out.fillna(0, ["moves", "people_with_multiple_employers", "new_connections", "not_seen"])
 
+    @cached_property
+    def limitations(self) -> DataFrame:
+        """(ws, position, text): what no number of the report should be taken to say; part of every report."""
+        return self.growth.select("ws", F.posexplode(F.array(*[F.lit(x) for x in LIMITATIONS])).alias("position", "text"))
+
+    @cached_property
+    def owner(self) -> DataFrame:
+        """Whose networks the report is about, as the facts hold them."""
+        return self.facts.owners
+
     def tables(self) -> dict[str, DataFrame]:
         """All result tables by name."""
         f, c = self.facts, self.compositions
@@ -109,7 +119,7 @@ class AnalyticsReport:
             "industry_transitions": mobility.industry_transitions(f.people, self.moves),
             "import_pair": self.import_pair, "new_connections": self.new, "not_seen_in_latest": self.gone,
             "company_changes": changes.company_changes(self.moves), "title_changes": changes.title_changes(self.moves),
-            "insights": self.insights, "reconnection_candidates": scoring.reconnection_candidates(f, self.now),
+            "limitations": self.limitations, "owner": self.owner, "insights": self.insights, "reconnection_candidates": scoring.reconnection_candidates(f, self.now),
         }
         return out
 
