@@ -8,7 +8,7 @@ from tieline.checks.people import (COMPANY_ROWS, DOCUMENT, FLAGS, HAS_ALL, IND,
 from tieline.checks.registry import query
 from tieline.checks.composition import GEO, GEO_COLUMNS
 from tieline.functions import fixed_values as fv
-from tieline.operators import dashboard as da, graph as gr, mobility, people as pe, rollups, scoring as sc, search as se
+from tieline.operators import dashboard as da, graph as gr, mobility, people as pe, postings as po, rollups, scoring as sc, search as se
 from tieline.sources.binding import NOW
 from tieline.sources.facts import facts_of
 
@@ -231,3 +231,14 @@ def search_query(name, q):
 
 search_query("global_search", "golman saks")
 search_query("global_search_text", "thread 1")
+
+
+TERMS = ["golman saks", "thread 1", "engineer", "c12@example.com", "stri", "PAY", "no", "the 2", "t_read 1%", "deloitte engineer", "zzz nowhere"]
+
+
+@query("search_terms", """ SELECT ws, q, position, type, id, title, subtitle, detail, score, total FROM (SELECT *, count(*) OVER (PARTITION BY q, ws) AS total,
+      row_number() OVER (PARTITION BY q, ws ORDER BY score DESC, t, w)::INT AS position FROM (""" + " UNION ALL ".join(
+    f"SELECT {b.lit(q)} AS q, * FROM ({search_sql(q)})" for q in TERMS) + ")) WHERE position <= 20")
+def _search_terms(tables):
+    f = facts_of(tables)
+    return po.search(tables.postings, tables.posting_counts, f.people, counted_of(tables), tables.talks, tables.messages, tables.people, TERMS)

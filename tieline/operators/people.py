@@ -35,8 +35,11 @@ def holds_text(c: Column, text: str) -> Column:
     return F.ilike(c, F.lit(f"%{text}%"))
 
 
+DOCUMENT = ["name", "headline", "current_title", "current_company", "location", "industry", "email"]
+
+
 def search_document(people: DataFrame) -> Column:
-    return sim.tokens(F.concat_ws(" ", "name", "headline", "current_title", "current_company", "location", "industry", "email"))
+    return sim.tokens(F.concat_ws(" ", *DOCUMENT))
 
 
 def text_match(term: str) -> Column:

@@ -13,6 +13,7 @@ from tieline.functions import fixed_values as fv, text as t
 from tieline.operators import identity, rollups
 from tieline.operators.merge import dedupe_first
 from tieline.operators.normalize import Canonical, normalize_datasets
+from tieline.plans import search_index
 from tieline.plans.warehouse import Warehouse, delete_folder, surrogate
 from tieline.session import run_together
 from tieline.sources import archive, catalogue, delimited
@@ -160,6 +161,7 @@ def _derive(warehouse: Warehouse, workspaces: DataFrame) -> None:
     bare = read("companies").drop("connection_count", "current_count", "former_count")
     counted = rollups.company_totals(bare, employment, read("people"))
     run_together(warehouse.spark, lambda: warehouse.put("companies", counted, workspaces), lambda: warehouse.put("people", people, workspaces))
+    search_index.refresh(warehouse, workspaces)
 
 
 def file_outcomes(entries: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:

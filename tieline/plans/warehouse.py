@@ -27,6 +27,7 @@ class Table:
     keys: list[str]
     rules: dict[str, str]
     schema: str
+    order: tuple[str, ...] = ()  # of the rows inside a file, so that filters pass over most of it
 
 
 N, O, K, R = m.PREFER_NEW, m.PREFER_OLD, m.KEEP, m.REPLACE
@@ -101,6 +102,9 @@ TABLES = {
         "ws string, segment_key string, name string, description string, query string, created_at timestamp_ntz, updated_at timestamp_ntz"),
     "snapshots": Table(["ws", "snapshot_at", "metric_type"], {"metric_data": R},
         "ws string, snapshot_at timestamp_ntz, metric_type string, metric_data string"),
+    # The search index, kept by imports once it has been built (plans/search_index.py).
+    "postings": Table(["ws", "list", "term", "id", "row", "at"], {}, "ws string, list string, term string, id string, row string, at int", ("ws", "list", "term")),
+    "posting_counts": Table(["ws", "list", "term"], {"n": R}, "ws string, list string, term string, n long", ("ws", "list", "term")),
 }
 
 
@@ -219,7 +223,10 @@ class Warehouse:
         self._keep_layout()
         folder = uuid.uuid4().hex
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema(table).fields])
-        typed.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path(table)}/{folder}")
+        placed = typed.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
+        if TABLES[table].order:
+            placed = placed.sortWithinPartitions("bucket", *TABLES[table].order)
+        placed.write.partitionBy("bucket").parquet(f"{self.path(table)}/{folder}")
         return folder, [n.split("=")[1] for n, _ in self.log.files.listed(f"{self.path(table)}/{folder}") if n.startswith("bucket=")]
 
     def _listed(self, workspaces: DataFrame) -> tuple[str, list[str]]:

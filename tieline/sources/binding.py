@@ -305,3 +305,23 @@ class Binding:
             (key == F.col("owner_id")).alias("is_self"),
             import_of("first_year").alias("first_import_id"), import_of("last_year").alias("last_import_id"),
         )
+
+    @stored_table
+    def talks(self) -> DataFrame:
+        """Conversations with their message counts and dates."""
+        from tieline.operators.rollups import conversation_totals
+
+        return self.conversations.join(conversation_totals(self.messages), ["ws", "conversation_id"], "left").fillna(0, ["message_count"])
+
+    @stored_table
+    def postings(self) -> DataFrame:
+        """The search index."""
+        from tieline.operators.postings import postings
+
+        return postings(self.people, self.companies, self.conversations, self.messages).sortWithinPartitions("ws", "list", "term")
+
+    @stored_table
+    def posting_counts(self) -> DataFrame:
+        from tieline.operators.postings import posting_counts
+
+        return posting_counts(self.postings).sortWithinPartitions("ws", "list", "term")
