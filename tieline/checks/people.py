@@ -7,7 +7,7 @@ from tieline.checks.careers import PAIR
 from tieline.checks.composition import KEY_NOW
 from tieline.checks.registry import query
 from tieline.functions import fixed_values as fv, similarity as sim
-from tieline.operators import companies as co, people as pe, rollups, signals as sg
+from tieline.operators import companies as co, pages as pg, people as pe, rollups, signals as sg
 from tieline.sources.binding import NOW
 from tieline.sources.facts import facts_of
 
@@ -137,6 +137,33 @@ def _page(tables):
     return rows.join(total, "ws").select("ws", "person_id", "position", "total", joined("signals"), joined("tags"))
 
 
+PAGE = 40
+AT = "row_number() OVER (PARTITION BY ws ORDER BY {o}, person_id)"
+
+
+def each_sort(tables, page):
+    """`page(rows, order, starts of pages)` of every sort."""
+    rows, out = facts_of(tables).people.withColumn("rank", F.lit(0.0)), None
+    for sort in ORDERS:
+        order = pg.people_order(sort)
+        part = page(rows, order, pg.starts(rows, order, PAGE)).withColumn("sort", F.lit(sort))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("people_page_after", FLAGS + " " + " UNION ALL ".join(
+    f"SELECT '{s}' AS sort, ws, person_id, (row_number() OVER (PARTITION BY ws ORDER BY {o}, person_id) - {2 * PAGE})::INT AS position FROM flagged QUALIFY position BETWEEN 1 AND {PAGE}"
+    for s, o in ORDERS.items()))
+def _page_after(tables):
+    return each_sort(tables, lambda rows, order, starts: pg.after(rows, order, starts.filter("page = 3"), PAGE).select("ws", "person_id", "position"))
+
+
+@query("people_page_starts", FLAGS + " " + " UNION ALL ".join(
+    f"SELECT '{s}' AS sort, ws, person_id, place // {PAGE} + 1 AS page FROM (SELECT ws, person_id, {AT.format(o=o)} AS place FROM flagged) WHERE place % {PAGE} = 0" for s, o in ORDERS.items()))
+def _page_starts(tables):
+    return each_sort(tables, lambda rows, order, starts: starts.select("ws", "person_id", "page"))
+
+
 def counted_of(tables):
     return rollups.company_totals(tables.companies, tables.employment, tables.people)
 

@@ -8,7 +8,7 @@ from tieline.checks.people import (COMPANY_ROWS, DOCUMENT, FLAGS, HAS_ALL, IND,
 from tieline.checks.registry import query
 from tieline.checks.composition import GEO, GEO_COLUMNS
 from tieline.functions import fixed_values as fv
-from tieline.operators import dashboard as da, graph as gr, mobility, people as pe, postings as po, rollups, scoring as sc, search as se
+from tieline.operators import dashboard as da, graph as gr, mobility, pages as pg, people as pe, postings as po, rollups, scoring as sc, search as se
 from tieline.sources.binding import NOW
 from tieline.sources.facts import facts_of
 
@@ -242,3 +242,31 @@ TERMS = ["golman saks", "thread 1", "engineer", "c12@example.com", "stri", "PAY"
 def _search_terms(tables):
     f = facts_of(tables)
     return po.search(tables.postings, tables.posting_counts, f.people, counted_of(tables), tables.talks, tables.messages, tables.people, TERMS)
+
+
+# --- keyset pages of the other lists -----------------------------------------------------------------
+
+LISTS = {
+    "company": ("company_id", "connection_count DESC, name, company_id", "company_counts"),
+    "conversation": ("conversation_id", "last_message_at DESC NULLS LAST, conversation_id",
+                     "(SELECT c.ws, c.conversation_id, max(sent_at) AS last_message_at FROM convs c LEFT JOIN messages m USING (conversation_id) GROUP BY 1, 2)"),
+    "job": ("job_id", "coalesce(applied_at, saved_at) DESC NULLS LAST, title, job_id", "jobs"),
+}
+
+
+@query("list_pages_after", " " + " UNION ALL ".join(
+    f"SELECT ws, '{kind}' AS kind, {id_}::VARCHAR AS id, (row_number() OVER (PARTITION BY ws ORDER BY {o}) - 5)::INT AS position FROM {source} QUALIFY position BETWEEN 1 AND 5"
+    for kind, (id_, o, source) in LISTS.items()))
+def _list_pages(tables):
+    key = lambda id_: (id_, False, True)
+    lists = {
+        "company": (counted_of(tables), [*pg.COMPANIES["connections"], key("company_id")]),
+        "conversation": (tables.talks, [*pg.CONVERSATIONS, key("conversation_id")]),
+        "job": (tables.jobs.withColumn("used_at", F.coalesce("applied_at", "saved_at")), [*pg.JOBS, key("job_id")]),
+    }
+    out = None
+    for kind, (rows, order) in lists.items():
+        page = pg.after(rows, order, pg.starts(rows, order, 5).filter("page = 2"), 5)
+        page = page.select("ws", F.lit(kind).alias("kind"), F.col(LISTS[kind][0]).cast("string").alias("id"), "position")
+        out = page if out is None else out.unionByName(page)
+    return out

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tieline.functions import classify, similarity as sim, text as t
+from tieline.operators import pages
 from tieline.operators.growth import instant
 from tieline.operators.signals import SIGNAL_KEYS, check_signal, signal_array
 from tieline.sources.facts import NetworkFacts
@@ -99,20 +100,8 @@ def filter_people(flagged: DataFrame, wanted: PeopleFilter, employment: DataFram
     return out
 
 
-SORTS = {
-    "name": lambda: [F.col("name").asc()],
-    "connected_desc": lambda: [F.col("connected_at").desc_nulls_last(), F.col("name").asc()],
-    "connected_asc": lambda: [F.col("connected_at").asc_nulls_last(), F.col("name").asc()],
-    "company": lambda: [F.col("current_company").asc_nulls_last(), F.col("name").asc()],
-    "interaction": lambda: [F.col("last_interaction_at").desc_nulls_last(), F.col("interaction_count").desc(), F.col("name").asc()],
-    "relevance": lambda: [F.col("rank").desc(), F.col("name").asc()],
-}
-
-
 def sort_order(sort: str) -> list[Column]:
-    if sort not in SORTS:
-        raise ValueError(f"unknown sort {sort!r}")
-    return [*SORTS[sort](), F.col("person_id").asc()]
+    return pages.columns_of(pages.people_order(sort))
 
 
 def page_of(df: DataFrame, sort: str, page: int, limit: int) -> DataFrame:
