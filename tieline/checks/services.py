@@ -8,7 +8,7 @@ from tieline.checks.people import (COMPANY_ROWS, DOCUMENT, FLAGS, HAS_ALL, IND,
 from tieline.checks.registry import query
 from tieline.checks.composition import GEO, GEO_COLUMNS
 from tieline.functions import fixed_values as fv
-from tieline.operators import dashboard as da, graph as gr, mobility, pages as pg, people as pe, postings as po, rollups, scoring as sc, search as se
+from tieline.operators import dashboard as da, graph as gr, mobility, pages as pg, people as pe, postings as po, rollups, scoring as sc, search as se, segments as sm
 from tieline.sources.binding import NOW
 from tieline.sources.facts import facts_of
 
@@ -145,6 +145,26 @@ def _reconnect(tables):
     return sc.reconnection_candidates(facts_of(tables), NOW).withColumn("reasons", F.array_join("reasons", "|"))
 
 
+SEGMENT_RULES = [
+    ('{"company":"o","pastCompany":"Stripe","role":"Engineer","recentlyMoved":true}',
+     "contains(current_company_key, 'o') AND person_id IN (SELECT person_id FROM employment WHERE NOT is_current AND contains(company_key, 'stripe')) AND contains(lower(current_title), 'engineer') AND employers >= 2"),
+    ('{"industry":" HealthCare","location":"NATION"}', "industry_key = 'healthcare' AND contains(lower(location), 'nation')"),
+    ('{"olderQuiet":true}', QUIET),
+    ('{"role":"manager","company":null}', "contains(lower(current_title), 'manager')"),
+    ('{"company":"","olderQuiet":false}', "false"),
+]
+
+
+@query("segments_members", SELF + """, saved AS (SELECT r_name AS ws, lower(n_name) AS segment_key, n_nationkey % 5 AS rule FROM nation JOIN region ON r_regionkey = n_regionkey)
+  SELECT ws, segment_key, person_id, score AS context_score FROM scored x JOIN saved USING (ws) WHERE CASE rule """
+       + " ".join(f"WHEN {i} THEN {where}" for i, (_, where) in enumerate(SEGMENT_RULES)) + " END")
+def _segment_members(tables):
+    nations = tables.table("nation").join(tables.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rule = F.element_at(F.array(*[F.lit(q) for q, _ in SEGMENT_RULES]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    saved = nations.select(F.col("r_name").alias("ws"), F.lower("n_name").alias("segment_key"), rule.alias("query"))
+    return sm.members(saved, facts_of(tables), NOW)
+
+
 # --- graph -------------------------------------------------------------------------------------------
 
 HUBS = """, hub AS (SELECT * FROM company_counts WHERE connection_count >= 1 QUALIFY row_number() OVER (PARTITION BY ws ORDER BY connection_count DESC, name, company_id) <= {n}),
