@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tieline.checks import base_sql as b
 from tieline.checks.registry import query
+from tieline.checks.text import SQUASH
 from tieline.functions import text as t
 from tieline.operators import exports, identity, maintenance as mt, merge, normalize as nz
 from tieline.operators.merge import dedupe_first
@@ -298,14 +299,16 @@ TALK_KEY = "CASE WHEN conv_id % 3 <> 0 THEN 'c-' || conv_id ELSE 'counterpart:cu
 
 
 @query("norm_messages", f""" SELECT ws, conv_id * 1000 + turn AS row_no, {TALK_KEY} AS conversation_key, CASE WHEN role = 'assistant' OR (conv_id = owner_id AND conv_id % 5 = 0) THEN 'outbound' ELSE 'inbound' END AS direction,
-  TIMESTAMP '2024-01-01 00:00:00' + to_days(conv_id::INT) + to_hours(turn::INT) AS sent_at, 'Customer ' || right(CASE WHEN role = 'assistant' THEN name ELSE owner_name END, 9) AS recipient_name
+  TIMESTAMP '2024-01-01 00:00:00' + to_days(conv_id::INT) + to_hours(turn::INT) AS sent_at, 'Customer ' || right(CASE WHEN role = 'assistant' THEN name ELSE owner_name END, 9) AS recipient_name,
+  {SQUASH('text')} AS content, concat_ws('#', conversation_key, strftime(sent_at, '%Y-%m-%dT%H:%M:%S.000Z'), sha256({SQUASH('text')})) AS external_id
   FROM conversations JOIN cust ON conv_id = person_id JOIN (SELECT ws, name AS owner_name, person_id AS owner_id FROM people_all WHERE is_self) USING (ws)""")
 def _messages(tables):
     return run(nz.normalize_messages, message_raw(tables), owner_profile(tables)).union("messages").select(
-        "ws", "ord.row_no", "conversation_key", "direction", "sent_at", "recipient_name")
+        "ws", "ord.row_no", "conversation_key", "direction", "sent_at", "recipient_name", "content", "external_id")
 
 
-@query("norm_activities", """SELECT doc_id AS row_no, CASE doc_id % 3 WHEN 0 THEN 'comment' WHEN 1 THEN 'reaction' ELSE 'share' END AS activity_type, lang AS content, 'https://example.com/' || doc_id AS content_url,
+@query("norm_activities", f"""SELECT doc_id AS row_no, CASE doc_id % 3 WHEN 0 THEN 'comment' WHEN 1 THEN 'reaction' ELSE 'share' END AS activity_type, nullif({SQUASH('text')}, '') AS content,
+  'https://example.com/' || doc_id AS content_url, activity_type || ':' || content_url || ':2024-03-05T00:00:00.000Z:' || sha256(coalesce(content, '')) AS external_id,
   make_timestamp(2024, 3, 5, 0, 0, 0) AS created_at FROM documents""", base=False)
 def _activities(tables):
     docs = tables.table("documents").withColumn("ws", F.lit("w"))
@@ -313,9 +316,9 @@ def _activities(tables):
     parts = [("comments", "comment", "link"), ("reactions", "type", "url"), ("shares", "sharecommentary", "sharedurl")]
     raw = None
     for i, (dataset, content, link) in enumerate(parts):
-        part = raw_rows(docs.filter(F.col("doc_id") % 3 == i), dataset, F.col("doc_id"), {content: F.col("lang"), link: url, "date": F.lit("March 5, 2024")})
+        part = raw_rows(docs.filter(F.col("doc_id") % 3 == i), dataset, F.col("doc_id"), {content: F.col("text"), link: url, "date": F.lit("March 5, 2024")})
         raw = part if raw is None else raw.unionByName(part)
-    return run(nz.normalize_activities, raw).union("activities").select("ord.row_no", "activity_type", "content", "content_url", "created_at")
+    return run(nz.normalize_activities, raw).union("activities").select("ord.row_no", "activity_type", "content", "content_url", "created_at", "external_id")
 
 
 @query("norm_jobs", f""" SELECT ws, 'application:' || coalesce({b.comparison_key('company_name')}, '') || '|' || coalesce({b.comparison_key('title')}, '') || '|' AS external_id, min(title) AS title, count(*) AS rows

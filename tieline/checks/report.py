@@ -1,5 +1,7 @@
 """Queries over insights, questions and the assembled report."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tieline.checks import base_sql as b
@@ -125,16 +127,36 @@ def _answers(tables):
     return NetworkAnalyst(report_of(tables)).answers(list(QUESTIONS.values())).drop("question")
 
 
-@query("question_records", CTE["company"] + MOVES + """ SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY person_id)::INT AS position, person_id::VARCHAR AS person_id, name,
-    nullif(concat_ws(' at ', current_title, current_company), '') AS detail, 'people_at_company' AS intent
-    FROM people WHERE contains(coalesce(current_company_key, ''), 'openai') OR contains(lower(coalesce(current_company, '')), 'openai') QUALIFY position <= 50
-  UNION ALL SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY person_id, employment_id)::INT AS position, person_id::VARCHAR, name, from_company || ' → ' || to_company, 'career_path'
-    FROM moves WHERE contains(from_key, 'acme') AND contains(to_key, 'globex') QUALIFY position <= 50
-  UNION ALL SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY count DESC, label)::INT AS position, NULL, label, count || ' people', 'top_companies' FROM d_company QUALIFY position <= 8""")
+def listed(intent, where, detail="nullif(concat_ws(' at ', current_title, current_company), '')", limit=50):
+    return f"""SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY person_id)::INT AS position, person_id::VARCHAR AS person_id, name, {detail} AS detail, '{intent}' AS intent
+    FROM people p WHERE {where} QUALIFY position <= {limit}"""
+
+
+def listed_moves(intent, where):
+    return f"""SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY person_id, employment_id)::INT, person_id::VARCHAR, name, from_company || ' → ' || to_company, '{intent}'
+    FROM moves WHERE {where} QUALIFY row_number() OVER (PARTITION BY ws ORDER BY person_id, employment_id) <= 50"""
+
+
+RECORDS = {
+    "people_at_company": listed("people_at_company", "contains(coalesce(current_company_key, ''), 'openai') OR contains(lower(coalesce(current_company, '')), 'openai')"),
+    "people_former_company": listed("people_former_company", "person_id IN (SELECT person_id FROM employment WHERE NOT is_current AND contains(company_key, 'acme'))", "current_company"),
+    "recent_movers": listed_moves("recent_movers", "true"),
+    "career_path": listed_moves("career_path", "contains(from_key, 'acme') AND contains(to_key, 'globex')"),
+    "top_companies": "SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY count DESC, label)::INT AS position, NULL, label, count || ' people', 'top_companies' FROM d_company QUALIFY position <= 8",
+    "underrepresented": """SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY r DESC)::INT, NULL, label, count || ' people', 'underrepresented' FROM (
+    SELECT *, row_number() OVER (PARTITION BY ws ORDER BY count ASC, label DESC) AS r FROM d_industry WHERE share_of_known > 0) WHERE r <= 5""",
+    "industry_count": listed("industry_count", f"({b.industry_key('p.industry', 'p.current_title', 'p.current_company')}) IN (SELECT key FROM d_industry WHERE key = 'consulting' OR contains(lower(label), 'consulting'))"),
+    "what_changed": listed("what_changed", "first_import_id IN (SELECT current_import FROM pair)", "'New in latest connections import'", 30),
+    "people_in_location": listed("people_in_location", "contains(lower(location), 'uk')", "location"),
+}
+
+
+@query("question_records", CTE["company"] + CTE["industry"] + MOVES + PAIR + " " + " UNION ALL ".join(RECORDS.values()))
 def _records(tables):
+    """The records of every intent that has any."""
     analyst = NetworkAnalyst(report_of(tables))
-    parts = [analyst.records(QUESTIONS[i]).withColumn("intent", F.lit(i)) for i in ("people_at_company", "career_path", "top_companies")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [analyst.records(QUESTIONS[i]).withColumn("intent", F.lit(i)) for i in RECORDS]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query("analytics_report", "".join(CTE[d] for d in ("company", "industry", "country", "role_family")) + SPREAD_SQL + GROWTH + MOVES + PAIR + COUNTS + f""",
