@@ -111,6 +111,43 @@ def test_colleagues_and_related_companies_by_brute_force(spark):
     assert related == brute
 
 
+def brute_related(sets, limit):
+    shared = {}
+    for mine in sets:
+        for x in mine:
+            for y in mine:
+                if x != y:
+                    shared.setdefault(x, {}).setdefault(y, 0)
+                    shared[x][y] += 1
+    return {(f"id-{x}", i + 1, f"id-{y}", n) for x, others in shared.items()
+            for i, (y, n) in enumerate(sorted(others.items(), key=lambda o: (-o[1], o[0]))[:limit])}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_related_companies_beside_large_sets(spark, seed):
+    """Sets of many employers, some of them alone in theirs, in blocks of any size; the first few are those of all pairs."""
+    rng = random.Random(seed)
+    names = [f"c{i:03d}" for i in range(60)]
+    sets = [set(rng.sample(names, rng.choice([1, 2, 3, 12, 30]))) for _ in range(25)]
+    sets += [set(mine) for mine in sets[:8]] + [{f"only{seed}-{i}" for i in range(15)} | {names[0], names[1]}, {"x", "y"}]
+    rows = [{"person_id": f"p{p}", "company_name": k, "company_key": k} for p, mine in enumerate(sets) for k in mine]
+    everyone = people(spark, [{"person_id": f"p{p}"} for p in range(len(sets))]).withColumn("is_self", F.lit(False))
+    known = spark.createDataFrame([("w", k, f"id-{k}", k) for k in set().union(*sets)], "ws string, company_key string, company_id string, name string")
+    for limit, block in ((8, 64), (3, 5), (1, 1)):
+        got = co.related_companies(jobs(spark, rows), everyone, known, limit, block).collect()
+        assert {(r.company_id, r.position, r.other_id, r.shared_people) for r in got} == brute_related(sets, limit), (limit, block)
+
+
+def test_related_companies_of_a_person_with_2000_employers(spark):
+    """Their employers form 4 million pairs; those nobody else had meet eight others only."""
+    sets = [{f"c{i:04d}" for i in range(2000)}] + [{f"c{i:04d}", f"c{i + 1:04d}"} for i in range(0, 300, 3)] + [{f"c{i:04d}", "z"} for i in range(0, 40, 2)]
+    rows = [{"person_id": f"p{p}", "company_name": k, "company_key": k} for p, mine in enumerate(sets) for k in mine]
+    everyone = people(spark, [{"person_id": f"p{p}"} for p in range(len(sets))]).withColumn("is_self", F.lit(False))
+    known = spark.createDataFrame([("w", k, f"id-{k}", k) for k in set().union(*sets)], "ws string, company_key string, company_id string, name string")
+    got = co.related_companies(jobs(spark, rows), everyone, known).collect()
+    assert {(r.company_id, r.position, r.other_id, r.shared_people) for r in got} == brute_related(sets, 8)
+
+
 def test_colleagues_of_a_hot_employer_and_of_a_person_with_many(spark):
     """Most people share an employer, and one person has had 40."""
     rows, sets = [], {}

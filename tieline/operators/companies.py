@@ -58,25 +58,54 @@ def company_profile(employment: DataFrame, people: DataFrame, education: DataFra
     return _top(titles, "title", 10).unionByName(_top(places, "location", 10)).unionByName(_top(schools, "school", 10))
 
 
-def related_companies(employment: DataFrame, people: DataFrame, companies: DataFrame, limit: int = 8) -> DataFrame:
-    """Companies that share people, the owner among them, with each company.
-
-    People with the same set of employers are one weighted row, so a popular employer's people do not
-    multiply: only employers inside one distinct set meet."""
-    sets = employer_sets(people, employment).groupBy("ws", "employers").agg(F.count(F.lit(1)).alias("n"))
-    here = sets.filter(F.size("employers") > 1).select("ws", "employers", "n", F.explode("employers").alias("company_key"))
-    pairs = (
-        here.select("ws", "company_key", "n", F.explode("employers").alias("other_key"))
-        .filter("other_key <> company_key").groupBy("ws", "company_key", "other_key").agg(F.sum("n").alias("shared_people"))
-    )
-    ids = companies.select("ws", "company_key", "company_id")
-    named = companies.select("ws", F.col("company_key").alias("other_key"), F.col("company_id").alias("other_id"), F.col("name").alias("other_name"))
+BLOCK = 64  # employers of a set that meet another block of it in one row
+
+
+def related_companies(employment: DataFrame, people: DataFrame, companies: DataFrame, limit: int = 8, block: int = BLOCK) -> DataFrame:
+    """The `limit` companies that share most people, the owner among them, with each company; ties by name, then id.
+
+    This is the product of the (company, set of employers) matrix with its transpose, sets weighted by the people who have them, without
+    the pairs that cannot be among the first `limit`:
+
+    * Two companies that share one set only tie there with all others of the set, so the set's first names stand for them. Companies
+      in a single set never enter the product, whatever the size of the set.
+    * A company whose sets hold fewer people in all than `limit` others already share with this one is left out.
+
+    What remains of a large set is multiplied block by block, each pair of blocks a row of its own. `companies` has one row per key."""
+    sets = employer_sets(people, employment).filter(F.size("employers") > 1).groupBy("ws", "employers").agg(F.count(F.lit(1)).alias("n"))
+    held = sets.select("ws", F.sha2(F.to_json("employers"), 256).alias("set"), "n", F.explode("employers").alias("company_key"))
+    held = held.join(companies.select("ws", "company_key", "company_id", "name"), ["ws", "company_key"]).drop("company_key")
+    inside = W.partitionBy("ws", "set")
+    by_name = inside.orderBy("name", "company_id")
+    held = held.withColumn("size", F.count(F.lit(1)).over(inside)).withColumn("place", F.row_number().over(by_name))
+    # Sets of more than `limit` companies: each shares `n` people with at least `limit` others.
+    known = held.groupBy("ws", "company_id").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("most"), F.coalesce(F.max(F.when(F.col("size") > limit, F.col("n"))), F.lit(0)).alias("least"))
+    held = held.join(known, ["ws", "company_id"])
+
+    this, other = F.struct("company_id", "name", "sets", "most", "least"), F.col("other")
+    first = F.collect_list(F.when(F.col("place") <= limit + 1, this)).over(inside)
+    tied = held.withColumn("other", first).select("ws", this.alias("this"), "n", F.explode("other").alias("other"))
+    tied = tied.filter((F.col("this.company_id") != other["company_id"]) & ((F.col("this.sets") == 1) | (other["sets"] == 1)))
+
+    many = held.filter("sets > 1").withColumn("at", F.row_number().over(by_name) - 1).withColumn("blocks", F.ceil(F.count(F.lit(1)).over(inside) / block))
+    many = many.withColumn("at", F.floor(F.col("at") / block)).select(
+        "ws", "set", "n", "at", this.alias("this"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("meets"))
+    lower = F.col("at") <= F.col("meets")
+    tiles = many.groupBy("ws", "set", "n", F.least("at", "meets").alias("i"), F.greatest("at", "meets").alias("j")).agg(
+        F.collect_list(F.when(lower, F.col("this"))).alias("left"), F.collect_list(F.when(~lower | (F.col("at") == F.col("meets")), F.col("this"))).alias("right"))
+    one_way = tiles.select("ws", "n", "i", "j", "left", F.explode("right").alias("b")).select("ws", "n", "i", "j", "b", F.explode("left").alias("a"))
+    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    product = one_way.filter("a.company_id <> b.company_id").select("ws", "n", F.explode(ways).alias("pair")).filter("pair.b.most >= pair.a.least")
+
+    pairs = product.select("ws", "pair.a.company_id", F.col("pair.b.company_id").alias("other_id"), F.col("pair.b.name").alias("other_name"), "n").unionByName(
+        tied.select("ws", "this.company_id", other["company_id"].alias("other_id"), other["name"].alias("other_name"), "n"))
+    shared = pairs.groupBy("ws", "company_id", "other_id", "other_name").agg(F.sum("n").alias("shared_people"))
     rank = F.row_number().over(
         W.partitionBy("ws", "company_id").orderBy(F.col("shared_people").desc(), F.col("other_name").asc(), F.col("other_id").asc())
     )
     return (
-        pairs.join(named, ["ws", "other_key"]).join(ids, ["ws", "company_key"])
-        .withColumn("position", rank).filter(F.col("position") <= limit)
+        shared.withColumn("position", rank).filter(F.col("position") <= limit)
         .select("ws", "company_id", "position", "other_id", "other_name", "shared_people")
     )
 
