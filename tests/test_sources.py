@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 from tieline.sources import archive, catalogue, delimited
 
 
-def parsed(content, **kw):
-    *rows, about = list(delimited.parse(content, **kw))
-    return rows, about
+def parsed(spark, content, **kw):
+    """(rows below the header in order, what the scan says about the file)"""
+    df = spark.createDataFrame([("w", "i", "a.csv", "a.csv", bytearray(content))], "ws string, import_id string, source_file string, filename string, content binary")
+    scanned = delimited.scan_files(df, **kw)
+    rows = delimited.numbered_rows(scanned).orderBy("row_no").collect()
+    assert [r.row_no for r in rows] == list(range(1, len(rows) + 1))
+    return [r.row for r in rows], delimited.file_summaries(scanned).collect()[0].asDict()
 
 
 def entries(spark, content, **kw):
@@ -16,32 +20,49 @@ def entries(spark, content, **kw):
     return archive.archive_entries(df, **kw).collect()
 
 
-def test_preamble_and_keys():
-    rows, about = parsed(ex.connections(ex.FIRST).encode())
+def test_preamble_and_keys(spark):
+    rows, about = parsed(spark, ex.connections(ex.FIRST).encode())
     assert len(rows) == 12 and rows[0]["first name"] == "Mara" and rows[0]["connected on"] == "01 Jan 2023"
     assert about["header_keys"] == ["first name", "last name", "url", "email address", "company", "position", "connected on"]
     assert "preamble" in about["warnings"][0] and not about["errors"]
 
 
-def test_damaged_rows_do_not_stop_a_file():
-    rows, about = parsed(ex.MALFORMED.encode())
+def test_damaged_rows_do_not_stop_a_file(spark):
+    rows, about = parsed(spark, ex.MALFORMED.encode())
     names = [r["first name"] for r in rows]
     assert "Valid" in names and "Last" in names and "" not in names and about["skipped_rows"] == 2
     assert any("extra columns" in w for w in about["warnings"])
 
 
-def test_quotes_encodings_and_limits():
-    assert parsed(b'A,B\n"x, y","he said ""hi""\nsecond line"\n')[0] == [{"a": "x, y", "b": 'he said "hi" second line'}]
+def test_quotes_encodings_and_limits(spark):
+    assert parsed(spark, b'A,B\n"x, y","he said ""hi""\nsecond line"\n')[0] == [{"a": "x, y", "b": 'he said "hi" second line'}]
     text = "First Name,Last Name\nMara,Quill\n"
     for content, name in ((b"\xff\xfe" + text.encode("utf-16-le"), "utf16le"), (b"\xfe\xff" + text.encode("utf-16-be"), "utf16be"), (b"\xef\xbb\xbf" + text.encode(), "utf8")):
-        rows, about = parsed(content)
+        rows, about = parsed(spark, content)
         assert rows[0]["first name"] == "Mara" and about["encoding"] == name and about["header_keys"][0] == "first name"
-    assert "empty" in parsed(b"")[1]["errors"][0] and "no data" in parsed(b"   \n\n")[1]["errors"][0]
-    assert [r["name"] for r in parsed(b"Name\nGo\nSQL\n")[0]] == ["Go", "SQL"]
-    rows, about = parsed(("Name\n" + "\n".join(f"n{i}" for i in range(50))).encode(), max_rows=10)
+    assert "empty" in parsed(spark, b"")[1]["errors"][0] and "no data" in parsed(spark, b"   \n\n")[1]["errors"][0]
+    assert [r["name"] for r in parsed(spark, b"Name\nGo\nSQL\n")[0]] == ["Go", "SQL"]
+    rows, about = parsed(spark, ("Name\n" + "\n".join(f"n{i}" for i in range(50))).encode(), max_rows=10)
     assert len(rows) == 10 and "Row limit" in about["warnings"][0] and about["skipped_rows"] == 40
 
 
+def test_rows_of_all_chunks(spark):
+    """Small chunks: numbers, blank rows, surplus cells and the row limit run on from one to the next."""
+    lines = ["a note", "", "N,V,N"] + [",," if i % 5 == 4 else f"x{i},{i},y{i}" + ",more" * (i % 3 == 0) for i in range(60)]
+    content = "\n".join(lines).encode()
+    rows, about = parsed(spark, content, chunk_rows=3)
+    kept = [i for i in range(60) if i % 5 != 4]
+    assert rows == [{"n": f"y{i}", "v": str(i)} for i in kept] and (about["row_count"], about["skipped_rows"]) == (48, 12)
+    wide = [f"Row {i + 4} has 4 columns but the header has 3; extra columns ignored" for i in kept if i % 3 == 0]
+    assert about["warnings"] == ["Skipped 2 preamble line(s) before the header", *wide] and about["errors"] == []
+    rows, about = parsed(spark, content, max_rows=10, chunk_rows=3)
+    assert [r["v"] for r in rows] == [str(i) for i in kept[:10]] and (about["row_count"], about["skipped_rows"]) == (10, 50)
+    assert about["warnings"] == ["Skipped 2 preamble line(s) before the header", *wide[:3], "Row limit (10) reached; remaining rows were not imported"]
+    rows, about = parsed(spark, ("a,b\n" + "1,2,3\n" * 50).encode())
+    assert len(rows) == 50 and len(about["warnings"]) == 21 and about["warnings"][-1] == "… and further row warnings were suppressed"
+    assert parsed(spark, b"\n" * 10 + b" ,\n,\n a,b\n")[1]["errors"] == ["No header row found"]
+
+
 def test_delimiters(spark):
     cases = {"a;b;c\n1;2;3": ";", "a\tb\tc\n1\t2\t3": "\t", "a,b,c\n1,2,3": ",", '"a,b";c\n"1,2";3': ";", "": ",", "abc": ","}
     df = spark.createDataFrame([(k,) for k in cases], "x string")
