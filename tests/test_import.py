@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import exports as ex
-from tieline.plans.import_job import run_import
+from tieline.plans.import_job import Stage, run_import
 from tieline.plans.warehouse import TABLES, Warehouse
 
 DONE = "2026-03-01 00:00:00"
@@ -141,7 +141,7 @@ def test_datasets_without_reference_fixture(imported):
     assert jobs["VP Platform"].applied_at is None and jobs["Head of Infrastructure"].saved_at == dt.datetime(2026, 2, 10)
 
 
-def test_report_over_the_warehouse(imported, spark):
+def test_report_over_the_warehouse(imported, spark, tmp_path):
     from tieline.plans.dashboard import dashboard
     from tieline.plans.report import AnalyticsReport
     from tieline.plans.warehouse import append_snapshots
@@ -163,3 +163,6 @@ def test_report_over_the_warehouse(imported, spark):
     append_snapshots(imported, report.summary, "2026-03-02 00:00:00")
     append_snapshots(imported, report.summary, "2026-03-03 00:00:00")
     assert imported.read("snapshots").filter("ws = 'w2'").count() == 1
+    kept = AnalyticsReport(facts_of(tables), "2026-03-01 00:00:00", keep=Stage(spark, str(tmp_path)).keep)
+    assert sorted(map(str, kept.insights.collect())) == sorted(map(str, report.insights.collect()))
+    assert kept.moves.inputFiles() and all(str(tmp_path) in f for f in kept.moves.inputFiles())

@@ -8,20 +8,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 def with_previous(df: DataFrame, keys: list[str], order: list[str], segment: Column, value: Column, out: str) -> DataFrame:
     """`lag(value)` within `keys` in ascending `order` (nulls first), for groups of any size.
 
-    `segment` must be non-decreasing in `order`. Windows hold the rows of one segment of a group; a segment's first row takes the last
-    value of the segment before it, found from one row per segment."""
+    `segment` must be non-decreasing in `order`. Windows hold the rows of one segment of a group, which also puts the segment's last value on its
+    first row. Only first rows go on to a window over their group, where each takes the value of the segment before it."""
     forward = [F.col(c).asc_nulls_first() for c in order]
-    backward = [F.col(c).desc_nulls_last() for c in order]
-    rows = df.withColumn("_segment", segment)
     inside = W.partitionBy(*keys, "_segment").orderBy(*forward)
-    rows = rows.withColumn(out, F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    last = F.row_number().over(W.partitionBy(*keys, "_segment").orderBy(*backward)) == 1
-    ends = rows.withColumn("_end", last).filter("_end").select(*keys, "_segment", value.alias("_last"))
+    whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = df.withColumn("_segment", segment).select(
+        "*", F.lag(value).over(inside).alias(out), (F.row_number().over(inside) == 1).alias("_first"), F.last(value).over(whole).alias("_last"))
     between = W.partitionBy(*keys).orderBy(F.col("_segment").asc_nulls_first())
-    carried = ends.withColumn("_carried", F.lag("_last").over(between)).drop("_last")
-    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_segment"]]
-    joined = rows.alias("h").join(carried.alias("c"), same, "left")
-    return joined.select(
-        *[F.col(f"h.{c}").alias(c) for c in df.columns],
-        F.when(F.col("h._first"), F.col("c._carried")).otherwise(F.col(f"h.{out}")).alias(out),
-    )
+    firsts = rows.filter("_first").withColumn(out, F.lag("_last").over(between))
+    return firsts.select(*df.columns, out).unionByName(rows.filter("NOT _first").select(*df.columns, out))

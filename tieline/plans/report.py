@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -21,14 +22,17 @@ SHOWN = {"career_moves": 250, "career_flows": 100, "new_connections": 200, "not_
 
 
 class AnalyticsReport:
-    """Attributes are DataFrames; nothing runs until one is used."""
+    """Attributes are DataFrames; nothing runs until one is used. `keep(name, df)` stores a table and returns it as stored; given one, tables
+    that several parts of the report start from are computed once."""
 
-    def __init__(self, facts: NetworkFacts, now: str, buckets: list[tuple[str, str, float]] | None = None):
+    def __init__(self, facts: NetworkFacts, now: str, buckets: list[tuple[str, str, float]] | None = None,
+                 keep: Callable[[str, DataFrame], DataFrame] | None = None):
         self.facts, self.now, self.buckets = facts, now, buckets
+        self.keep = keep or (lambda name, df: df)
 
     @cached_property
     def moves(self) -> DataFrame:
-        return mobility.career_moves(self.facts.people, self.facts.employment)
+        return self.keep("moves", mobility.career_moves(self.facts.people, self.facts.employment))
 
     @cached_property
     def movers(self) -> DataFrame:
@@ -36,11 +40,11 @@ class AnalyticsReport:
 
     @cached_property
     def companies(self) -> DataFrame:
-        return dist.current_companies(self.facts.people, self.facts.companies)
+        return self.keep("companies", dist.current_companies(self.facts.people, self.facts.companies))
 
     @cached_property
     def industries(self) -> DataFrame:
-        return dist.industries(self.facts.people)
+        return self.keep("industries", dist.industries(self.facts.people))
 
     @cached_property
     def compositions(self) -> dict[str, DataFrame]:
