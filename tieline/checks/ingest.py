@@ -5,6 +5,7 @@ Files, archives and raw rows are derived from the bound tables by Spark, then re
 import csv
 import io
 import zipfile
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from tieline.functions import text as t
 from tieline.operators import exports, identity, maintenance as mt, merge, normalize as nz
 from tieline.operators.merge import dedupe_first
 from tieline.sources import archive, catalogue, delimited
-from tieline.sources.binding import pick
+from tieline.session import checkpoint_dir
+from tieline.sources.binding import pick, spread, written
 
 IMPORT = "i1"
 
@@ -29,8 +31,11 @@ def raw_rows(df, dataset, number, cells, ws="ws", source=None):
 
 
 def run(step, raw, owner_raw=None):
+    """The canonical tables of raw rows, which are written before they are read: the operators look at a row's cells many times over, and a table
+    of few bytes would be normalised by one task."""
     out = nz.Canonical()
     base = raw if owner_raw is None else raw.unionByName(owner_raw)
+    base = written(base.repartition("ws", "source_file", "row_no"), f"{checkpoint_dir(base.sparkSession)}/tieline/raw-{uuid4().hex}")
     step(base, nz.owners(base), out)
     return out
 
@@ -125,7 +130,7 @@ def _hygiene(tables):
 def _delimiter(tables):
     d = pick([",", ";", "\t", "|"], F.col("c_custkey") % 4)
     line = F.concat(F.lit('"a,b;c"'), d, F.col("c_name"), d, F.col("c_mktsegment"))
-    return tables.table("customer").select("c_custkey", delimited.delimiter_of(F.concat(line, F.lit("\r\n\n"), line)).alias("delimiter"))
+    return spread(tables.table("customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", delimited.delimiter_of(F.concat(line, F.lit("\r\n\n"), line)).alias("delimiter"))
 
 
 FILES = ["Connections.csv", "Job Applications.csv", "export (1).csv", "renamed.csv", "budget.csv", "VOTES.csv", "Honors & Awards.csv", "PhoneNumbers.csv"]
