@@ -19,7 +19,8 @@ def _instant(y: Column, mo: Column, d: Column, h: Column | None = None, mi: Colu
              s: Column | None = None) -> Column:
     zero = F.lit(0)
     as_int = lambda c: c.try_cast("int")
-    filled = lambda c: zero if c is None else F.coalesce(as_int(c), zero)
+    # A group that matched nothing is '', which a cast would refuse by way of an exception; with a leading zero it is a number.
+    filled = lambda c: zero if c is None else F.coalesce(as_int(F.concat(F.lit("0"), c)), zero)
     made = F.try_make_timestamp_ntz(
         as_int(y), as_int(mo), as_int(d), filled(h), filled(mi), filled(s).cast("decimal(16,6)")
     )

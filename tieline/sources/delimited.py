@@ -164,12 +164,17 @@ def delimiter_of(sample: Column, lines_seen: int = 25) -> Column:
     lines = F.slice(F.filter(F.split(sample, r"\r?\n"), lambda line: F.trim(line) != ""), 1, lines_seen)
     bare = F.transform(lines, lambda line: F.regexp_replace(line, r'"(?:[^"]|"")*("|$)', ""))
 
-    def score(d: str) -> Column:
-        counts = F.transform(bare, lambda line: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
-        most = F.array_max(counts)
-        return F.when(most > 0, most * 10 + F.size(F.filter(counts, lambda n: n == most)))
-
-    scored = F.array_compact(F.array(*[
-        F.when(score(d).isNotNull(), F.struct(score(d).alias("s"), F.lit(-i).alias("i"), F.lit(d).alias("d"))) for i, d in enumerate(fv.DELIMITERS)
-    ]))
-    return F.coalesce(F.array_max(scored)["d"], F.lit(","))
+    def scored(counts: Column, i: int, d: str) -> Column:
+        of = lambda most: F.when(most > 0, F.struct(
+            (most * 10 + F.size(F.filter(counts, lambda n: n == most))).alias("s"), F.lit(-i).alias("i"), F.lit(d).alias("d")))
+        return t.let(F.array_max(counts), of)
+
+    def by_delimiter(i: int, d: str):
+        return lambda counts: scored(counts, i, d)
+
+    def best(found: Column) -> Column:
+        counts = lambda d: F.transform(found, lambda line: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
+        every = [t.let(counts(d), by_delimiter(i, d)) for i, d in enumerate(fv.DELIMITERS)]
+        return F.array_max(F.array_compact(F.array(*every)))["d"]
+
+    return F.coalesce(t.let(bare, best), F.lit(","))
