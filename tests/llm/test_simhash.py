@@ -119,6 +119,47 @@ def test_one_of_each_against_all_pairs(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
 
 
+def chained():
+    """Texts that share most shingles with a middle one only: groups whose first and last members are not alike, beside a passage all have."""
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    data, passage = [], word(8)
+    for g in range(60):
+        base = word(120)
+        for k in range(7):  # windows that slide: neighbours are alike, far ones are not
+            data.append(passage + base[k * 6 : k * 6 + 80])
+    for n in (700, 900):  # longer than a sketch, close to the threshold on both sides
+        base = word(n)
+        for edits in (18, 19, 20, 21, 22, 24, 28, 34):
+            x = list(base)
+            for at in rng.choice(n // 6, edits, replace=False):
+                x[at * 6] = "e%d" % rng.integers(10**9)
+            data.append(x)
+        data.append(base)
+    order = rng.permutation(len(data))
+    return [(int(i), " ".join(data[at]), "en", "s", 1) for i, at in enumerate(order)]
+
+
+def test_one_of_each_leaves_out_no_link(spark):
+    data = chained()
+    kept = simhash.one_of_each(pick(frame(spark, data), *DOCUMENT)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(data[i][0] for i in near_groups(data))
+
+
+def test_first_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    often = np.unique(rng.integers(0, 2**63, 50).astype(np.uint64))
+    counts = rng.integers(3, 90, len(often))
+    for n in (1, 2, 4, 5, 9, 10, 61, 400):
+        for _ in range(30):
+            x = np.unique(np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64), rng.choice(often, 5)]))
+            y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(len(x) * rng.uniform(0.78, 1)))], rng.integers(0, 2**63, 1).astype(np.uint64)]))
+            common = len(np.intersect1d(x, y))
+            if common >= 0.8 * len(np.union1d(x, y)):
+                first = [simhash.first_shingles(s, 0.8, (often, counts)) for s in (x, y)]
+                assert len(np.intersect1d(*first))
+
+
 def test_similarity_is_exact_for_short_texts_and_close_for_long_ones():
     rng = np.random.default_rng(4)
     for n, slack in ((400, 0), (20_000, 0.08)):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.llm.common import pick, stored
 from tieline.llm.components import roots
@@ -211,24 +211,13 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 # Near copies by similarity. A radius wide enough for texts that share four fifths of their shingles (10 bits and more) prunes nothing
-# in 64 bits, whose distances crowd around 32. So besides the fingerprint of a whole text there are `SAMPLES` of it, each of the
-# `SAMPLE` shingles that come first in an order of its own: near copies agree in one of them at least, and candidates are confirmed.
+# in 64 bits, whose distances crowd around 32. So besides the tree, texts meet by their first shingles in an order common to all: two sets
+# that share `least` of their shingles cannot both lack a common one among their n - ceil(least * n) + 1 first ones.
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-SAMPLES, SAMPLE = 10, 3
-SKETCH = 512  # smallest hashes kept of a text: its similarity is exact up to so many shingles, and has a standard error of 0.018 beyond
-ORDERS = np.random.default_rng(17).integers(0, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
-MARKS = "row long, whole long, fp long, samples array<long>, sketch binary"
-
-
-def sampled(found: np.ndarray) -> np.ndarray:
-    """A fingerprint of each sample of the distinct hashes: a bit is set if it is set in most of the sample."""
-    out = np.zeros(SAMPLES, np.uint64)
-    for k, order in enumerate(ORDERS if len(found) else ()):
-        first = np.sort(found * order)[:SAMPLE] if len(found) <= SAMPLE else np.sort(np.partition(found * order, SAMPLE - 1)[:SAMPLE])
-        a, b, c = (first[i % len(first)] for i in range(SAMPLE))
-        out[k] = (a & b) | (a & c) | (b & c)
-    return out.view(np.int64)
+COUNTED, FREQUENT = 50_000, 200_000  # texts whose shingles are counted, and shingles known as frequent; both only choose the order
+SKETCH = 512  # smallest hashes of a text that `similarity` compares
+MARKS = "row long, whole long, fp long, n long, first array<long>"
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -239,8 +228,36 @@ def similarity(a: bytes, b: bytes) -> float:
     return 1.0 if not len(both) else float((common <= both[-1]).sum() / len(both))
 
 
-def marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """MARKS of rows (row, text): a name of the shingle set, the fingerprint, those of the samples, and the sketch."""
+def frequent_shingles(rows: DataFrame, shingle: int, texts: int = COUNTED, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that several of at most some `texts` rows (row, text) hold."""
+    share = min(1.0, texts / max(1, rows.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["h"])
+
+    taken = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    held = taken.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most).toPandas()
+    hashes = held["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], held["n"].to_numpy(np.int64)[order]
+
+
+def first_shingles(found: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of distinct hashes those that come first, rare ones before frequent ones: as many as no similar set can lack."""
+    hashes, counts = frequent
+    if not len(found):
+        return found
+    at = np.minimum(np.searchsorted(hashes, found), max(len(hashes) - 1, 0))
+    often = np.where(hashes[at] == found, counts[at], 0) if len(hashes) else np.zeros(len(found), np.int64)
+    order = np.lexsort((found, often))
+    return found[order[: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]]
+
+
+def marked(rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """MARKS of rows (row, text): a name of the shingle set, the fingerprint, the number of distinct shingles, and the first ones."""
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,47 +267,80 @@ def marked(rows: DataFrame, shingle: int) -> DataFrame:
                 found = np.unique(hashes)
                 with np.errstate(over="ignore"):
                     whole = int((found * np.uint64(0x9E3779B97F4A7C15) ^ (found >> np.uint64(31))).sum(dtype=np.uint64).view(np.int64))
-                small = np.unique((found >> np.uint64(32)).astype("<u4"))[:SKETCH]
-                out.append((whole, folded(hashes), sampled(found).tolist(), small.tobytes()))
-            whole, fp, samples, sketch = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.int64()), pa.array(fp, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["row", "whole", "fp", "samples", "sketch"])
+                out.append((whole, folded(hashes), len(found), first_shingles(found, least, frequent.value).view(np.int64)))
+            whole, fp, n, first = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["row", "whole", "fp", "n", "first"])
 
     return rows.mapInArrow(run, MARKS)
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sketches (row, sketch) are at least so similar."""
+def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of rows (row, text) that share `least` of their shingles, by the whole sets; only texts of pairs are read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(held, pa.binary())], ["row", "held"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            alike = []
+            for p, q in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= least * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    side = lambda n: sketches.select(F.col("row").alias(n), F.col("sketch").alias("s" + n))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = stored(pairs, "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    held = rows.join(named, "row", "left_semi").mapInArrow(sets, "row long, held binary")
+    side = lambda n: held.select(F.col("row").alias(n), F.col("held").alias("s" + n))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
+def possible(least: float) -> Column:
+    """Whether sets of n and _n shingles, `common` of which are among the first ones of both, can share `least` of them: of the set whose first
+    ones end earlier, only those after them can be common besides."""
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("_n")) - F.lit(1e-6))
+    after = F.ceil(F.lit(least) * F.greatest("n", "_n") - F.lit(1e-9)) - 1
+    return (F.col("common") + after >= need) & (F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n") - F.lit(1e-9))
 
 
 def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, **settings: int) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; rows without id come last, ties as they lie in the
     stored table. Returns the columns of `docs` (doc_id, text and any others).
 
-    Texts with the same set of shingles are one. Candidates are texts whose fingerprints meet in the tree at `radius` bits or that agree in
-    a sample; each is compared with the first and the last of those it meets, so a group of any size makes at most two pairs a row and
-    sample, and pairs of which the share of common shingles is `least` or more link. Two texts that are alike to that degree miss each
-    other in all samples with a probability of (1 - 0.8 ** 3) ** 10, one in a thousand, and less if they are more alike or meet
-    through others. Texts without words, null ones too, are copies of each other, as are rows that repeat. Texts of any length are read
+    Texts with the same set of shingles are one. Pairs that share `least` of their distinct shingles, by 64-bit hashes of the whole sets,
+    link. Candidates are texts whose fingerprints meet in the tree at `radius` bits, and texts that share as many of their first shingles as
+    every pair to be linked does. First each is compared with the first text of those it meets; then, of texts that share first shingles, all
+    pairs that no links connect yet. So a large group of near copies makes few pairs and no link between groups is left out. Texts without words, null ones too, are copies of each other, as are rows that repeat. Texts of any length are read
     whole. A table without rows gives none."""
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    texts = rows.select(F.col("_row").alias("row"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
-    marks = stored(marked(rows.select(F.col("_row").alias("row"), "text"), shingle), "marks")
+    marks = stored(marked(texts, shingle, least), "marks")
     place = stored(rows.select(F.col("_row").alias("row"), order.alias("at")), "places")
     sets = marks.select("row", "whole").join(place, "row").groupBy("whole").agg(F.min("at").alias("at"))
     leads = stored(sets.select("at", F.col("at.row").alias("row")).join(marks.drop("whole"), "row"), "leads")
+
     found = components(leads.select(F.col("row").alias("doc_id"), "fp"), radius, **settings)
-    keys = leads.join(found, "fp").select("row", "at", F.lit(-1).alias("k"), F.col("root").alias("key")).union(leads.select("row", "at", F.posexplode("samples").alias("k", "key")))
-    ends = keys.groupBy("k", "key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("k", "key", F.explode(F.array("low.row", "high.row")).alias("a"))
-    met = keys.select("k", "key", F.col("row").alias("b")).join(ends, ["k", "key"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(confirmed(met, leads.select("row", "sketch"), least), "alike")
+    near = leads.select("row", "fp").join(found, "fp").select(F.col("component_id").alias("low"), "row")
+    keys = leads.select("row", "n", F.explode("first").alias("key"))
+    ends = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("end"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    ends = stored(ends.select("key", F.col("end.row").alias("low"), F.col("end.n").alias("_n")), "shared")
+    met = stored(keys.join(ends, "key"), "met")
+    alike = lambda pairs: pairs.groupBy("low", "row", "_n", "n").agg(F.count(F.lit(1)).alias("common")).filter(possible(least)).select("low", "row")
+    ordered = lambda pairs: pairs.filter("low <> row").select(F.least("low", "row").alias("a"), F.greatest("low", "row").alias("b")).distinct()
+    pairs = stored(ordered(near.union(alike(met.filter("low <> row")))), "pairs")
+    links = stored(confirmed(pairs, texts, shingle, least), "alike")
+
+    tied = met.select("key", "row", "n").join(roots(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = tied.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
+    open_ = stored(tied.join(several, "key"), "open")
+    other = open_.select("key", F.col("row").alias("low"), F.col("n").alias("_n"), F.col("root").alias("_root"))
+    rest = ordered(alike(open_.join(other, "key").filter("root < _root"))).join(pairs, ["a", "b"], "left_anti")
+    links = stored(links.union(confirmed(rest, texts, shingle, least)), "alike")
+
     member = leads.select("row", "at").join(roots(links).withColumnRenamed("node", "row"), "row", "left")
     first = member.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("at").alias("at"))
     kept = first.select(F.col("at.row").alias("_row"))
