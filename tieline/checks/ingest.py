@@ -538,6 +538,14 @@ def _export_companies(tables):
 # --- the import job ------------------------------------------------------------------------------------------
 
 _IMPORTED = {}
+_UPLOADS = {}
+
+
+def uploads(tables):
+    """`derived_files` written once per directory, as an import reads its uploads several times."""
+    if tables.warehouse not in _UPLOADS:
+        _UPLOADS[tables.warehouse] = written(derived_files(tables), f"{tables.warehouse}/uploads")
+    return _UPLOADS[tables.warehouse]
 
 
 def imported(tables):
@@ -547,7 +555,7 @@ def imported(tables):
 
     if tables.warehouse not in _IMPORTED:
         house = Warehouse(tables.spark, f"{tables.warehouse}/imported", buckets=8)
-        run_import(house, derived_files(tables).withColumn("uploaded_at", F.expr("TIMESTAMP_NTZ'2024-04-01 00:00:00'")), "2024-04-02 00:00:00")
+        run_import(house, uploads(tables).withColumn("uploaded_at", F.expr("TIMESTAMP_NTZ'2024-04-01 00:00:00'")), "2024-04-02 00:00:00")
         _IMPORTED[tables.warehouse] = house
     return _IMPORTED[tables.warehouse]
 
@@ -577,7 +585,7 @@ def _import_summary(tables):
 @query("import_seen_before", f"""SELECT 'w' || no AS ws, CASE WHEN no % 9 <> 8 THEN '{IMPORT}' END AS previous_import FROM {GOOD} GROUP BY no""", base=False)
 def _seen_before(tables):
     """The same uploads again, asked for before anything of them is unpacked."""
-    named = derived_files(tables).withColumn("filename", F.element_at(F.split("archive", "/"), -1))
+    named = uploads(tables).withColumn("filename", F.element_at(F.split("archive", "/"), -1))
     return archive.seen_before(archive.upload_checksums(named), imported(tables).read("imports")).select("ws", "previous_import")
 
 

@@ -202,7 +202,8 @@ class Warehouse:
                     folders.setdefault((folder, seq, bool(newer)), []).append(f"{self.path(table)}/{folder}/bucket={bucket}")
                 lists |= {(g, at) for g, at in entry["gone"]}
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            # A relation known to be empty, so that merges into a table without rows need no join and no task.
+            return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
         parts = {False: [], True: []}
         for (_, seq, aged), paths in sorted(folders.items()):
             parts[aged].append(self.spark.read.schema(schema).parquet(*paths).withColumn("_seq", F.lit(seq)))
