@@ -203,13 +203,16 @@ def normalize_profile_lists(raw: DataFrame, owner: DataFrame, out: Canonical) ->
     """One joined field per file and dataset, cut at 8,000 characters. Only as many leading entries
     as can reach that length are gathered, however long the file is."""
     for dataset, (main, extra, opening, closing) in PROFILE_LISTS.items():
-        value = t.optional(pick(*main))
+        named = t.optional(pick(*main))
+        rows = dataset_rows(raw, dataset)
+        _judge(out, rows, dataset, named.isNotNull())
+        value = named
         if extra:
-            detail = t.optional(pick(*extra))
-            value = F.when(detail.isNotNull(), F.concat(value, F.lit(opening), detail, F.lit(closing))).otherwise(value)
-        rows = dataset_rows(raw, dataset).withColumn("value", value)
-        _judge(out, rows, dataset, F.col("value").isNotNull())
-        head = rows.filter(F.col("value").isNotNull()).groupBy(*SCOPE, "source_file").agg(
+            detailed = lambda v: t.let(t.optional(pick(*extra)), lambda d: F.when(d.isNotNull(), F.concat(v, F.lit(opening), d, F.lit(closing))).otherwise(v))  # noqa: B023
+            value = t.let(named, detailed)
+        # A generator makes a value once; a filter on it would make it a second time.
+        held = rows.select(*TRACE, "row_no", F.explode(F.array_compact(F.array(value))).alias("value"))
+        head = held.groupBy(*SCOPE, "source_file").agg(
             F.sort_array(F.collect_list(F.struct("row_no", "value"))).alias("v"), F.min("ord").alias("ord"))
         joined = F.array_join(F.transform("v", lambda x: x["value"]), "; ")
         out.add("profile_fields", _owned(head, owner).select(*TRACE, "person_key", F.lit(dataset).alias("field_name"), joined.alias("field_value")))
