@@ -216,6 +216,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 COUNTED, FREQUENT = 50_000, 200_000  # texts whose shingles are counted, and shingles known as frequent; both only choose the order
+PART_TEXTS = 500  # of those counted, for each part of their shingles
 SKETCH = 512  # smallest hashes of a text that `similarity` compares
 MARKS = "row long, whole long, fp long, n long, first array<long>"
 
@@ -228,9 +229,16 @@ def similarity(a: bytes, b: bytes) -> float:
     return 1.0 if not len(both) else float((common <= both[-1]).sum() / len(both))
 
 
+def shingle_counts(hashes: DataFrame, parts: int) -> DataFrame:
+    """(h, n). Most shingles occur once, so tables of them before the shuffle would shrink nothing and take memory by the size of a task's
+    texts; after it they are as small as the parts are."""
+    return hashes.repartition(parts, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+
+
 def frequent_shingles(rows: DataFrame, shingle: int, texts: int = COUNTED, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of shingles that several of at most some `texts` rows (row, text) hold."""
-    share = min(1.0, texts / max(1, rows.count()))
+    spark, n = rows.sparkSession, rows.count()
+    share = min(1.0, texts / max(1, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +246,9 @@ def frequent_shingles(rows: DataFrame, shingle: int, texts: int = COUNTED, most:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["h"])
 
     taken = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    held = taken.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most).toPandas()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(texts, n) // PART_TEXTS))
+    counts = shingle_counts(taken.mapInArrow(run, "h long"), parts)
+    held = counts.filter("n > 2").orderBy(F.desc("n"), "h").limit(most).toPandas()
     hashes = held["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], held["n"].to_numpy(np.int64)[order]
@@ -326,8 +336,9 @@ def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIM
     found = components(leads.select(F.col("row").alias("doc_id"), "fp"), radius, **settings)
     near = leads.select("row", "fp").join(found, "fp").select(F.col("component_id").alias("low"), "row")
     keys = leads.select("row", "n", F.explode("first").alias("key"))
-    ends = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("end"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    ends = stored(ends.select("key", F.col("end.row").alias("low"), F.col("end.n").alias("_n")), "shared")
+    # Plain columns, not a struct, are aggregated without a sort of all keys.
+    ends = keys.groupBy("key").agg(F.min("row").alias("low"), F.min_by("n", "row").alias("_n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    ends = stored(ends.select("key", "low", "_n"), "shared")
     met = stored(keys.join(ends, "key"), "met")
     alike = lambda pairs: pairs.groupBy("low", "row", "_n", "n").agg(F.count(F.lit(1)).alias("common")).filter(possible(least)).select("low", "row")
     ordered = lambda pairs: pairs.filter("low <> row").select(F.least("low", "row").alias("a"), F.greatest("low", "row").alias("b")).distinct()
