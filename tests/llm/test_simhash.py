@@ -146,6 +146,43 @@ def test_one_of_each_leaves_out_no_link(spark):
     assert sorted(r.doc_id for r in kept) == sorted(data[i][0] for i in near_groups(data))
 
 
+def drifted():
+    """A text and versions of it, each with edits of its own: most are like none of the others, some are like a few."""
+    rng = np.random.default_rng(33)
+    base = [f"b{x}" for x in rng.integers(0, 10**6, 150)]
+    data = []
+    for edits in [5] * 60 + [3] * 20 + [2] * 12:
+        x = list(base)
+        for at in rng.choice(len(base), edits, replace=False):
+            x[at] = "e%d" % rng.integers(10**9)
+        data += [x, x[: 118 + int(rng.integers(0, 30))]]
+    order = rng.permutation(len(data))
+    return [(int(i), " ".join(data[at]), "en", "s", 1) for i, at in enumerate(order)]
+
+
+def test_versions_too_far_apart_make_no_candidates(spark, monkeypatch):
+    data, made, confirmed = drifted(), [], simhash.confirmed
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(simhash, "confirmed", counted)
+    kept = simhash.one_of_each(pick(frame(spark, data), *DOCUMENT)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(data[i][0] for i in near_groups(data))
+    real = sum(alike(data[i][1], data[j][1]) >= 0.8 for i in range(len(data)) for j in range(i))
+    assert len(kept) > 60 and sum(made) < 2 * real + len(data), (made, real, len(kept))
+
+
+def test_parities_bound_what_sets_do_not_share():
+    rng = np.random.default_rng(12)
+    for size, edits in ((0, 0), (1, 1), (30, 4), (300, 50), (5000, 700)):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[edits:], rng.integers(0, 2**63, edits).astype(np.uint64)]))
+        differ = int(np.bitwise_count((simhash.parities(x) ^ simhash.parities(y)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(x, y)) and (size < 30 or differ > 0)
+
+
 def test_first_shingles_of_similar_sets_meet():
     rng = np.random.default_rng(6)
     often = np.unique(rng.integers(0, 2**63, 50).astype(np.uint64))

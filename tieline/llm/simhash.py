@@ -218,7 +218,8 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 COUNTED, FREQUENT = 50_000, 200_000  # texts whose shingles are counted, and shingles known as frequent; both only choose the order
 PART_TEXTS = 500  # of those counted, for each part of their shingles
 SKETCH = 512  # smallest hashes of a text that `similarity` compares
-MARKS = "row long, whole long, fp long, n long, first array<long>"
+WORDS = 8  # longs of 64 parities that two texts are compared by before their sets are
+MARKS = "row long, whole long, fp long, n long, first array<long>, odd array<long>"
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -265,8 +266,15 @@ def first_shingles(found: np.ndarray, least: float, frequent: tuple[np.ndarray,
     return found[order[: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Distinct hashes are dealt into classes, a bit for each, which is set if the class has an odd number. The bits that differ
+    between two sets are never more than the hashes that only one of them holds."""
+    odd = np.bincount((found % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def marked(rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """MARKS of rows (row, text): a name of the shingle set, the fingerprint, the number of distinct shingles, and the first ones."""
+    """MARKS of rows (row, text): a name of the shingle set, the fingerprint, the number of distinct shingles, the first ones, and parities."""
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +285,9 @@ def marked(rows: DataFrame, shingle: int, least: float) -> DataFrame:
                 found = np.unique(hashes)
                 with np.errstate(over="ignore"):
                     whole = int((found * np.uint64(0x9E3779B97F4A7C15) ^ (found >> np.uint64(31))).sum(dtype=np.uint64).view(np.int64))
-                out.append((whole, folded(hashes), len(found), first_shingles(found, least, frequent.value).view(np.int64)))
-            whole, fp, n, first = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["row", "whole", "fp", "n", "first"])
+                out.append((whole, folded(hashes), len(found), first_shingles(found, least, frequent.value).view(np.int64), parities(found)))
+            whole, fp, n, first, odd = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["row", "whole", "fp", "n", "first", "odd"])
 
     return rows.mapInArrow(run, MARKS)
 
@@ -308,14 +316,35 @@ def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) ->
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def needed(least: float, both: Column) -> Column:
+    """How many shingles two sets that share `least` of them have in common, by the sum of their sizes."""
+    return F.ceil(F.lit(least / (1 + least)) * both - F.lit(1e-6))
+
+
 def possible(least: float) -> Column:
     """Whether sets of n and _n shingles, `common` of which are among the first ones of both, can share `least` of them: of the set whose first
     ones end earlier, only those after them can be common besides."""
-    need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("_n")) - F.lit(1e-6))
+    need = needed(least, F.col("n") + F.col("_n"))
     after = F.ceil(F.lit(least) * F.greatest("n", "_n") - F.lit(1e-9)) - 1
     return (F.col("common") + after >= need) & (F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n") - F.lit(1e-9))
 
 
+def meetings(open_: DataFrame, least: float) -> DataFrame:
+    """Rows (key, row, n, root, at, odd0, ...) of different roots that meet by a key, if they can share `least` of their shingles: (low, row, _n,
+    n, _at, at), low is the one with fewer shingles. `at` counts the shingles that come before the key in the order common to all.
+
+    The first shingle that two sets share leaves enough after it in both to share what they need, and so do all those of their common ones
+    counted here; the shorter set needs no key beyond those that leave enough for a partner of its own size. Parities bound the shingles that
+    only one of both sets holds. So texts that share a passage, or edits of one text that have gone too far from each other, make no rows."""
+    odd = [f"odd{i}" for i in range(WORDS)]
+    short = open_.filter(F.col("at") + needed(least, 2 * F.col("n")) <= F.col("n"))
+    short = short.select("key", F.col("row").alias("low"), F.col("n").alias("_n"), F.col("root").alias("_root"), F.col("at").alias("_at"), *[F.col(c).alias("_" + c) for c in odd])
+    need, both = needed(least, F.col("n") + F.col("_n")), F.col("n") + F.col("_n")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("_" + c))) for c in odd), F.lit(0))
+    meet = F.expr("root <> _root AND (_n < n OR _n = n AND low < row)") & (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= need) & (apart + 2 * need <= both)
+    return open_.join(short, "key").filter(meet).select("low", "row", "_n", "n", "_at", "at")
+
+
 def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, **settings: int) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; rows without id come last, ties as they lie in the
     stored table. Returns the columns of `docs` (doc_id, text and any others).
@@ -335,7 +364,7 @@ def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIM
 
     found = components(leads.select(F.col("row").alias("doc_id"), "fp"), radius, **settings)
     near = leads.select("row", "fp").join(found, "fp").select(F.col("component_id").alias("low"), "row")
-    keys = leads.select("row", "n", F.explode("first").alias("key"))
+    keys = leads.select("row", "n", F.posexplode("first").alias("at", "key"))
     # Plain columns, not a struct, are aggregated without a sort of all keys.
     ends = keys.groupBy("key").agg(F.min("row").alias("low"), F.min_by("n", "row").alias("_n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     ends = stored(ends.select("key", "low", "_n"), "shared")
@@ -345,11 +374,14 @@ def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIM
     pairs = stored(ordered(near.union(alike(met.filter("low <> row")))), "pairs")
     links = stored(confirmed(pairs, texts, shingle, least), "alike")
 
-    tied = met.select("key", "row", "n").join(roots(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    odd = leads.select("row", *[F.col("odd")[i].alias(f"odd{i}") for i in range(WORDS)])
+    tied = met.select("key", "row", "n", "at").join(roots(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     several = tied.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
-    open_ = stored(tied.join(several, "key"), "open")
-    other = open_.select("key", F.col("row").alias("low"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-    rest = ordered(alike(open_.join(other, "key").filter("root < _root"))).join(pairs, ["a", "b"], "left_anti")
+    open_ = stored(tied.join(several, "key").join(odd, "row"), "open")
+    # What follows the last of the shingles counted in either set bounds those that are not.
+    last = meetings(open_, least).groupBy("low", "row", "_n", "n").agg(F.count(F.lit(1)).alias("common"), F.max("at").alias("at"), F.max("_at").alias("_at"))
+    can = F.col("common") + F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) - 1 >= needed(least, F.col("n") + F.col("_n"))
+    rest = ordered(last.filter(can)).join(pairs, ["a", "b"], "left_anti")
     links = stored(links.union(confirmed(rest, texts, shingle, least)), "alike")
 
     member = leads.select("row", "at").join(roots(links).withColumnRenamed("node", "row"), "row", "left")
