@@ -31,6 +31,26 @@ def test_special_strings_in_texts():
         assert CACHED([text])[0] == np.array(ids_of(text), "<u2").tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aBéİ1 '<|>$#%&*_-()[]{}\"/\\^`~=+@.,endoftx"))))
+def test_symbols_after_a_word(text):
+    assert CACHED([text])[0] == np.array(ids_of(text), "<u2").tobytes()
+
+
+def test_a_word_is_encoded_once_whatever_symbols_follow():
+    tokenizer, text = WordTokenizer(PATH), "Onble onble$$$ onble### onble|&% onble>, ONBLE. x<|endoftext|> it's"
+    assert tokenizer([text])[0] == np.array(ids_of(text), "<u2").tobytes()
+    assert not any(x.startswith(("o", "O")) for x in tokenizer.others)
+
+
+def test_document_frequencies_of_all_tasks(spark):
+    docs = frame(spark).repartition(3)
+    both = packing.tokenised(docs, PATH).cache()
+    got = {r.id: r.df for r in packing.document_frequencies(both.filter("terms IS NOT NULL")).collect()}
+    want = Counter(i for r in rows() for i in {*ids_of(r[1]), packing.END})
+    assert got == want
+
+
 @pytest.mark.parametrize("shard_tokens", [1 << 20, 4096])
 def test_round_trip(spark, shard_tokens):
     pieces = packing.packed(frame(spark), PATH, shard_tokens=shard_tokens).collect()

@@ -27,14 +27,12 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(tokenizer), np.array([END], "<u2").tobytes()
-        total, here = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, bool)
+        total = np.zeros(1 << 16, np.uint32)
         for batch in batches:
             rows = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             for ids in rows:
-                here[np.frombuffer(ids, "<u2")] = True
-                found = np.flatnonzero(here)
-                total[found] += 1
-                here[found] = False
+                held = np.sort(np.frombuffer(ids, "<u2"))
+                total[held[np.append(True, held[1:] != held[:-1])]] += 1
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], ["doc_id", "ids", "terms"])
         found = np.flatnonzero(total)
         terms = np.stack([found.astype("<u4"), total[found]], 1).tobytes()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 
 import numpy as np
 
-TAIL = ".,!?;:"
+TAIL = string.punctuation.replace("'", "")  # an apostrophe can begin a word of letters
 
 
 def byte_letters() -> dict[int, str]:
@@ -72,7 +73,7 @@ class WordTokenizer:
 
     def unknown(self, chunk: str, core: str) -> bytes:
         """Ids of a chunk whose core, without punctuation after it, is not among the words kept."""
-        if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
             ids = self.words[core.lower()] = self._word(core.lower())
             return ids + self.chunks[chunk[len(core) :]] if len(core) < len(chunk) else ids
         ids = self.others.get(chunk)
