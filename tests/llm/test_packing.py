@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -43,6 +44,36 @@ def test_a_word_is_encoded_once_whatever_symbols_follow():
     assert not any(x.startswith(("o", "O")) for x in tokenizer.others)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("aBÉéİßªΣ1'<|>,. \n\t\r\x0b\x0c\x1c\x85\xa0\u3000́endofxt")))), max_size=12))
+def test_texts_of_one_batch(texts):
+    """Stretches of 20 chunks end inside texts."""
+    assert CACHED.encode(pa.array(texts, pa.string())).to_pylist() == [np.array(ids_of(t), "<u2").tobytes() for t in texts]
+
+
+def test_a_distinct_word_of_a_batch_is_looked_up_once():
+    asked = []
+
+    class Asked(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+    tokenizer = WordTokenizer(PATH)
+    tokenizer.words = Asked()
+    texts = ["Onble onble, ONBLE.", "onble... <|ENDOFTEXT|> <|endoftext|> onble,", None, "a|b onble"] * 50
+    assert tokenizer.encode(pa.array(texts, pa.string()).slice(1)).to_pylist() == [np.array(ids_of(t), "<u2").tobytes() for t in texts[1:]]
+    assert sorted(asked) == sorted(["onble", ",", ".", "...", "", "<|ENDOFTEXT|>", "<|endoftext|>", "a|b"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, (1 << 16) + 3])
+def test_counted_ids(n):
+    rng = np.random.default_rng(n)
+    docs = [rng.integers(0, 1 << 16, k).astype("<u2") if i % 3 else np.full(k, 7, "<u2") for i, k in enumerate(rng.integers(0, 5, n))]
+    got = list(zip(*[x.tolist() for x in packing.counted(docs)], strict=True))
+    assert got == [(i, t, c) for i, d in enumerate(docs) for t, c in sorted(Counter(d.tolist()).items())]
+
+
 def test_document_frequencies_of_all_tasks(spark):
     docs = frame(spark).repartition(3)
     both = packing.tokenised(docs, PATH).cache()

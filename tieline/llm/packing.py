@@ -21,18 +21,25 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PIECE_COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
 
 
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, count) of the distinct 16-bit ids of each document, in this order."""
+    kind = np.uint32 if len(docs) <= 1 << 16 else np.int64
+    number = np.repeat(np.arange(len(docs), dtype=kind), [len(x) for x in docs])
+    key = np.sort((number << 16) + np.concatenate([np.zeros(0, "<u2"), *docs]))
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return (key[edge] >> 16).astype(np.int64), (key[edge] & 0xFFFF).astype(np.int64), np.diff(np.append(edge, len(key)))
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, terms): 16-bit ids with the end id; null text is empty. Each task adds a row without ids, whose terms are how many of
     its documents hold each id, as 32-bit pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_tokenizer(tokenizer), np.array([END], "<u2").tobytes()
+        encode, end = word_tokenizer(tokenizer).encode, np.array([END], "<u2").tobytes()
         total = np.zeros(1 << 16, np.uint32)
         for batch in batches:
-            rows = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
-            for ids in rows:
-                held = np.sort(np.frombuffer(ids, "<u2"))
-                total[held[np.append(True, held[1:] != held[:-1])]] += 1
+            rows = [x + end for x in encode(batch.column("text")).to_pylist()]
+            total += np.bincount(counted([np.frombuffer(x, "<u2") for x in rows])[1], minlength=1 << 16).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], ["doc_id", "ids", "terms"])
         found = np.flatnonzero(total)
         terms = np.stack([found.astype("<u4"), total[found]], 1).tobytes()
@@ -60,12 +67,10 @@ class Index:
     """BM25 postings of the documents of one shard. Terms in more than half of all documents weigh nothing."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        found = [np.unique(d, return_counts=True) for d in docs]
-        size = np.array([len(d) for d in docs], float)
-        self.terms = [t[idf[t] > 0] for t, _ in found]
-        term = np.concatenate([t for t, _ in found])
-        count = np.concatenate([c for _, c in found]).astype(float)
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
+        doc, term, count = counted(docs)
+        size, count = np.array([len(d) for d in docs], float), count.astype(float)
+        weighty = idf[term] > 0
+        self.terms = np.split(term[weighty], np.searchsorted(doc[weighty], np.arange(1, len(docs))))
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / mean))
         # Postings of terms in an eighth of the documents are kept as rows over all of them, which add up faster.
         self.n = len(docs)
@@ -152,10 +157,8 @@ def outlines(batch: pa.RecordBatch, idf: np.ndarray, mean: float) -> tuple[np.nd
     """(number of ids, strongest term, unit vector) of each row: BM25 weights of its terms, projected on `DIM` directions."""
     ids = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("ids")]
     size = np.array([len(x) for x in ids], np.int64)
-    key = np.sort(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64) + (np.repeat(np.arange(len(ids)), size) << 16))
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(key))).astype(np.float32)
-    doc, term = key[edge] >> 16, key[edge] & 0xFFFF
+    doc, term, count = counted(ids)
+    count = count.astype(np.float32)
     weight = (idf[term] * count / (count + K1 * (1 - B + B * size[doc] / mean))).astype(np.float32)
     end = np.searchsorted(doc, np.arange(len(ids)), "right")
     top, vectors, along, start = np.full(len(ids), -1, np.int64), np.zeros((len(ids), DIM), np.float32), directions(), 0
